@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import exact_dedup, packing
+from . import exact_dedup, packing, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,5 +36,30 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
 FROM documents
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_exact_dedup)}
-SQL = {"op4_exact_dedup": OP4_SQL}
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of the rules on every page's url."""
+    return url_filter.url_filter(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP6_SQL = """
+WITH rules(action, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                                    ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (SELECT page_id, coalesce(translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                 coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
+hits AS (SELECT page_id, max_by(h || p, length(h || p) * 1000 + length(h)) AS rule, max_by(action, length(h || p) * 1000 + length(h)) AS action
+         FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT parts.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM parts LEFT JOIN hits USING (page_id)
+"""
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written to an archive and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_exact_dedup, op6_url_filter, op8_warc)}
+SQL = {"op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL}
