@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import exact_dedup, packing, url_filter, warc
+from . import exact_dedup, packing, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 4096, 1)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the labels outside the held-out quarter."""
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the doc_id that stays of its equal texts."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
@@ -61,5 +66,5 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_exact_dedup, op6_url_filter, op8_warc)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_exact_dedup, op6_url_filter, op8_warc)}
 SQL = {"op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL}
