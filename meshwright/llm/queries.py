@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import exact_dedup, minhash, packing, toxicity, url_filter, warc
+from . import exact_dedup, minhash, packing, pii, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,11 @@ SELECT parts.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FRO
 """
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data."""
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, written to an archive and read back."""
     return warc.round_trip(_table(spark, sf_dir, "pages"))
@@ -71,5 +76,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_exact_dedup, op6_url_filter, op8_warc, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_exact_dedup, op6_url_filter, op7_pii, op8_warc, op10_minhash_near_dedup)}
 SQL = {"op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL}
