@@ -92,8 +92,10 @@ class Index:
 def _by_index(urls: DataFrame, index: bytes) -> DataFrame:
     spark = urls.sparkSession
     name = f"url-rules-{hashlib.sha256(index).hexdigest()[:24]}"
-    with open(path := os.path.join(tempfile.mkdtemp(), name), "wb") as f:
+    path = os.path.join(tempfile.gettempdir(), name)  # the same content always has the same name and place
+    with tempfile.NamedTemporaryFile(delete=False) as f:
         f.write(index)
+    os.replace(f.name, path)
     spark.sparkContext.addFile(path)  # the driver hands it to every executor, also to later ones
 
     def judge(batches: Iterator) -> Iterator:
