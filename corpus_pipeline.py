@@ -1,8 +1,59 @@
-"""Placeholder until the stages exist."""
+"""A training corpus from ``documents``: toxic texts go, then exact copies, then near copies; personal data is masked; what is left is packed.
 
-STAGES = []
-ORACLE_SQL = None
+doc_id is the key of documents.  Every stage handles null and empty texts and empty tables as its operator does.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshwright.llm import exact_dedup, minhash, packing, pii, toxicity
+from meshwright.llm.common import few, stored
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are not predicted to be toxic."""
+    scores = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return few(docs, scores.where("predicted = 1").select(F.col("doc_id").alias("id")), "doc_id", keep=False)
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    return exact_dedup.keep_one(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("id"))
+    return few(docs, gone, "doc_id", keep=False)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked."""
+    return pii.masked(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all documents' pieces in sequences of 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
+ORACLE_SQL = None  # toxicity, near-duplicates and tokens are beyond SQL; tests hold the rows against brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

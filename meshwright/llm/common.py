@@ -61,3 +61,14 @@ def hot_join(left: DataFrame, groups: DataFrame, key: str, size: str, total: int
     cold = cold.select(F.lit(False).alias("_hot"), F.col(key).alias("_k"), *[F.col(c).alias(f"_c_{c}") for c in cols])
     out = tagged.join(cold, ["_hot", "_k"], "left")
     return out.select(*[F.col(c) for c in left.columns], *[F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in cols])
+
+
+#: So many ids may be broadcast; more are joined.
+IDS_BROADCAST = 1_000_000
+
+
+def few(rows: DataFrame, ids: DataFrame, column: str, keep: bool = True) -> DataFrame:
+    """rows whose column is (or, without keep, isn't) in ids, a table of one column id: by broadcast if the ids are few enough, else by a join."""
+    ids = stored(ids.distinct())
+    held = F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids
+    return rows.join(held, rows[column] == ids["id"], "left_semi" if keep else "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hot_join, stored, texts
+from .common import few, hot_join, stored, texts
 
 
 def _numbered(distinct: DataFrame, *keys: str) -> DataFrame:
@@ -80,3 +80,19 @@ def exact_dedup(docs: DataFrame, block: int = 1024, hashed: Callable[[Column], C
     out = hot_join(found, groups, "identity", "group_size", total, "doc_id")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
     return out.select("doc_id", "keep_id", "group_size", ((F.col("doc_id") == F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each text; rows that repeat a doc_id are told apart by their text."""
+    found = stored(exact_dedup(docs))
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    odd = stored(ids.where("n > 1").select(F.col("doc_id").alias("id")))
+    gone = ids.where("not kept or n > 1").select(F.col("doc_id").alias("id"))
+    out = few(docs, gone, "doc_id", keep=False)
+    if odd.isEmpty():
+        return out
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    again = few(docs, odd, "doc_id").withColumn("_sha", key)
+    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept"))
+    again = again.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_sha") == F.col("_kept")), "left_semi")
+    return out.unionByName(again.dropDuplicates(["doc_id", "_sha"]).drop("_sha"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, stored, texts
+from .common import few, hot_join, stored, texts
 from .components import components
 
 WORD = re.compile(r"\w+")
@@ -35,8 +35,6 @@ BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 #: Beyond this estimate of a pair whose similarity is 0.8, five standard deviations lie.
 MARGIN = 5.0
-#: So many ids may be broadcast; more are joined.
-IDS_BROADCAST = 1_000_000
 
 
 class Hashes(dict):
@@ -158,13 +156,6 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     return texts(docs).mapInPandas(sign, "doc_id long, cls binary, bands array<long>, sketch binary")
 
 
-def few(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """rows whose column is in ids (one column id): by broadcast if the ids are few enough, else by a join."""
-    ids = stored(ids.distinct())
-    held = F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids
-    return rows.join(held, rows[column] == ids["id"], "left_semi")
-
-
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose multisets are at least so similar."""
     low = similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / REGISTERS)

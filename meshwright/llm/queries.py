@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import exact_dedup, minhash, packing, pii, toxicity, url_filter, warc
+from . import exact_dedup, fingerprint, minhash, packing, pii, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
 FROM documents
 """
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and its edited text's."""
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
@@ -76,5 +81,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_exact_dedup, op6_url_filter, op7_pii, op8_warc, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_exact_dedup, op5_fingerprints, op6_url_filter, op7_pii, op8_warc, op10_minhash_near_dedup)}
 SQL = {"op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL}
