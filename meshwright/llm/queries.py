@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import exact_dedup, fingerprint, minhash, packing, pii, toxicity, url_filter, warc
+from . import exact_dedup, fingerprint, minhash, packing, pii, suffix_dedup, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,10 +76,15 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the strings of 200 bytes that occur elsewhere."""
+    return suffix_dedup.deduplicated(_table(spark, sf_dir, "documents"), 200).drop("kept")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of equal words and group of near-duplicates."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_exact_dedup, op5_fingerprints, op6_url_filter, op7_pii, op8_warc, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_exact_dedup, op5_fingerprints, op6_url_filter, op7_pii, op8_warc, op9_suffix_array_dedup, op10_minhash_near_dedup)}
 SQL = {"op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL}
