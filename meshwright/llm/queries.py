@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import exact_dedup, fingerprint, minhash, packing, pii, suffix_dedup, toxicity, url_filter, warc
+from . import exact_dedup, fingerprint, minhash, packing, pii, sentencepiece_codec, suffix_dedup, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SentencePiece ids (count and CRC) and whether they decode to its text."""
+    return sentencepiece_codec.encoded(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), keep_ids=False).drop("ids")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the doc_id that stays of its equal texts."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
@@ -86,5 +91,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_exact_dedup, op5_fingerprints, op6_url_filter, op7_pii, op8_warc, op9_suffix_array_dedup, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_sentencepiece, op4_exact_dedup, op5_fingerprints, op6_url_filter, op7_pii, op8_warc, op9_suffix_array_dedup, op10_minhash_near_dedup)}
 SQL = {"op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL}
