@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import Tolerances
+from ..operators import curves, resolve
 from ..operators.rules import RULES
 from . import mesh
 
@@ -114,3 +116,74 @@ def key(name: str) -> str:
 
 QUERIES = {key(n): rule_query(n) for n in sorted(RULES)}
 SQL = {key(n): rule_sql(n) for n in sorted(ORACLES)}
+
+
+def geometry_query(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        line = {"edges": resolve.curve_lines, "faces": resolve.polygons, "solids": resolve.solids}[kind](mesh.mesh(spark, sf_dir))
+        c = line.columns[-1]
+        depth = {"edges": c, "faces": F.flatten(c), "solids": F.flatten(F.flatten(c))}[kind]
+        text = F.array_join(F.transform(depth, lambda p: F.concat_ws(" ", *[F.get(p, F.lit(i)).cast("decimal(20,6)") for i in range(3)])), ",")
+        return line.select("id", F.size(depth).cast("long").alias("n_vertices"), text.alias("vertices"))
+
+    run.__doc__ = f"The geometry of all {kind}."
+    return run
+
+
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many edges and points lie below every surface and solid."""
+    return resolve.reachable(mesh.mesh(spark, sf_dir)).groupBy("feature_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+ARC = """SELECT CAST(p_partkey AS BIGINT) AS k, 5 + p_partkey % 50 AS r, p_partkey % 7 AS a0, 1 + p_partkey % 5 AS turn, p_partkey % 2 AS cw FROM part"""
+
+
+def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arcs and circles made from the parts: vertices and length of each within a sagitta of 0.02."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    a = spark.sql(ARC.replace("part", "{part}").replace("p_{part}key", "p_partkey"), part=part)
+    at = lambda angle: F.array(F.col("r") * F.cos(angle), F.col("r") * F.sin(angle))
+    sign = F.when(F.col("cw") == 1, -1).otherwise(1)
+    end = F.col("a0") + sign * F.col("turn")
+    zero = F.array(F.lit(0.0), F.lit(0.0))
+    rows = a.select(F.col("k").cast("string").alias("id"), F.when(F.col("k") % 10 == 0, "CircleByCenter").otherwise("ArcWithCenter").alias("type"), F.when(F.col("k") % 10 == 0, F.array(zero)).otherwise(F.array(at(F.col("a0")), zero, at(end))).alias("p"), F.col("r").cast("double").alias("radius"), F.when(F.col("cw") == 1, "cw").otherwise("ccw").alias("orientation"))
+    line = curves.densified(rows)
+    step = lambda i: (F.get("line", i), F.get("line", i + 1))
+    d = lambda u, v: F.sqrt((u[0] - v[0]) * (u[0] - v[0]) + (u[1] - v[1]) * (u[1] - v[1]))
+    length = F.aggregate(F.sequence(F.lit(0), F.size("line") - 2), F.lit(0.0), lambda acc, i: acc + d(*step(i)))
+    return line.select("id", "type", F.size("line").cast("long").alias("n_vertices"), F.round(length, 4).alias("length"))
+
+
+ARC_SQL = f"""WITH a AS ({ARC}), s AS (SELECT *, CASE WHEN k % 10 = 0 THEN 2 * pi() ELSE CAST(turn AS DOUBLE) END AS sweep, 2 * acos(1 - 0.02 / r) AS th FROM a),
+n AS (SELECT *, CASE WHEN k % 10 = 0 THEN greatest(3, CAST(ceil(sweep / th) AS BIGINT)) ELSE greatest(1, CAST(ceil(sweep / th) AS BIGINT)) END AS n FROM s)
+SELECT CAST(k AS VARCHAR) AS id, CASE WHEN k % 10 = 0 THEN 'CircleByCenter' ELSE 'ArcWithCenter' END AS type, CAST(n + 1 AS BIGINT) AS n_vertices, round(n * 2 * r * sin(sweep / n / 2), 4) AS length FROM n"""
+
+
+def splines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splines through five points made from each part: vertices of each within a sagitta of 0.02."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey")
+    pts = F.array(*[F.array((i * 4).cast("double") if not isinstance(i, int) else F.lit(4.0 * i), ((k * (i + 3)) % 11).cast("double")) for i in range(5)])
+    rows = part.select(k.cast("string").alias("id"), pts.alias("p"), F.lit(None).cast("array<double>").alias("first"), F.lit(None).cast("array<double>").alias("last"))
+    return curves.splined(rows).select("id", F.size("line").cast("long").alias("n_vertices"))
+
+
+FMT = "concat(CAST(CAST(x AS DECIMAL(20,6)) AS VARCHAR), ' ', CAST(CAST(y AS DECIMAL(20,6)) AS VARCHAR), ' ', CAST(CAST(z AS DECIMAL(20,6)) AS VARCHAR))"
+RING = """m AS (SELECT rm.surface_id, rm.member_idx, CASE rm.orientation WHEN '-' THEN -cv.pos ELSE cv.pos END AS o, cv.curve_id, p.x, p.y, p.z
+ FROM ring_member rm JOIN curve_vertex cv USING (curve_id) JOIN point p ON p.id = cv.point_id),
+ok AS (SELECT surface_id, member_idx, row_number() OVER (PARTITION BY surface_id ORDER BY member_idx) AS nth FROM m GROUP BY surface_id, member_idx HAVING count(*) >= 2),
+w AS (SELECT m.*, nth, row_number() OVER (PARTITION BY m.surface_id, m.member_idx ORDER BY o) AS j FROM m JOIN ok USING (surface_id, member_idx)),
+v AS (SELECT surface_id, list(struct_pack(x := x, y := y, z := z) ORDER BY nth, j) AS l FROM w WHERE nth = 1 OR j > 1 GROUP BY surface_id),
+ring AS (SELECT surface_id, CASE WHEN l[1] = l[len(l)] THEN l ELSE list_append(l, l[1]) END AS l FROM v)"""
+TEXT = "array_to_string(list_transform(l, lambda q: concat(CAST(CAST(q.x AS DECIMAL(20,6)) AS VARCHAR), ' ', CAST(CAST(q.y AS DECIMAL(20,6)) AS VARCHAR), ' ', CAST(CAST(q.z AS DECIMAL(20,6)) AS VARCHAR))), ',')"
+
+QUERIES |= {f"geometry_{k}": geometry_query(k) for k in ("edges", "faces", "solids")} | {"components": components, "curves_arcs": arcs, "curves_splines": splines}
+SQL |= {
+    "geometry_edges": f"{mesh.ctes()} SELECT curve_id AS id, count(*) AS n_vertices, string_agg({FMT}, ',' ORDER BY pos) AS vertices FROM curve_vertex JOIN point ON point.id = point_id GROUP BY curve_id HAVING count(*) >= 2",
+    "geometry_faces": f"{mesh.ctes()}, {RING} SELECT surface_id AS id, CAST(len(l) AS BIGINT) AS n_vertices, {TEXT} AS vertices FROM ring",
+    "geometry_solids": f"{mesh.ctes()}, {RING}, f AS (SELECT solid_id, face_idx, CASE orientation WHEN '-' THEN list_reverse(l) ELSE l END AS l FROM solid_face JOIN ring ON surface_id = face_id) SELECT solid_id AS id, CAST(sum(len(l)) AS BIGINT) AS n_vertices, string_agg({TEXT}, ',' ORDER BY face_idx) AS vertices FROM f GROUP BY solid_id",
+    "components": f"""{mesh.ctes()}, up AS (SELECT surface_id AS feature_id, surface_id AS s FROM ring_member UNION SELECT solid_id, face_id FROM solid_face)
+ SELECT feature_id, 'edges' AS kind, count(DISTINCT curve_id) AS n FROM up JOIN ring_member ON surface_id = s GROUP BY feature_id
+ UNION ALL SELECT feature_id, 'points', count(DISTINCT point_id) FROM up JOIN ring_member rm ON surface_id = s JOIN curve_vertex cv ON cv.curve_id = rm.curve_id GROUP BY feature_id""",
+    "curves_arcs": ARC_SQL,
+}
