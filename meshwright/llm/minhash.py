@@ -6,10 +6,12 @@ process whose points hit random registers, and points above the shingle's weight
 its earliest point, so two registers agree with the probability of the weighted Jaccard similarity.  Points are only made
 up to the time by which all registers are filled.
 
-Texts with the same words form a class, and one member stands for it.  Signatures are cut into bands; in each bucket all
-classes are verified against one centre, links that pass join components, and then only pairs of a bucket in different
-components are verified too.  So large groups of copies cost one comparison a member, and no candidate pair stays
-unchecked unless its ends are linked already.  Verification counts the overlap of the multisets exactly.
+Texts with the same words form a class, and one member stands for it.  Signatures are cut into bands; classes that agree in
+a band share a bucket.  The centre of a bucket is the member that shares the most buckets' places with others (in a group of
+copies that is the original or the copy nearest to it).  First every class is verified against the best of its centres, then
+against the others, then the pairs of a bucket whose ends are still in different components are verified too.  Ends that are linked already are not compared again, so large groups of copies cost about one comparison a member, and no candidate pair stays
+unchecked otherwise.  Verification counts the overlap of the multisets exactly; only pairs whose sketches are
+five standard deviations or more below the similarity skip it.
 
 Defined results: null, empty and wordless texts form one class; repeated rows are one class; a text of fewer than five
 words is near only to texts with the same words; rows that share a doc_id share a group; empty tables give
@@ -31,7 +33,7 @@ from .common import few, hot_join, stored, texts
 from .components import components
 
 WORD = re.compile(r"\w+")
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 #: Beyond this estimate of a pair whose similarity is 0.8, five standard deviations lie.
 MARGIN = 5.0
@@ -129,8 +131,13 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def packed(sig: np.ndarray) -> np.ndarray:
+    """One bit of each register, in 64-bit integers."""
+    return np.packbits((sig >> np.uint64(9)).astype(np.uint8) & 1, axis=1).view(np.int64)
+
+
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, cls (digest of the words), bands and an 8-bit sketch of each document."""
+    """doc_id, cls (digest of the words), bands, and sketches of eight bits and of one bit a register, of each document."""
 
     def sign(batches: Iterator) -> Iterator:
         known = Hashes()
@@ -151,9 +158,9 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 for j in range(ROWS):
                     keys = mixed(keys * np.uint64(3) + sig[:, j::ROWS])
                 keys += np.arange(BANDS, dtype=np.uint64)
-                yield pd.DataFrame({"doc_id": ids[begin:at], "cls": cls, "bands": list(keys.view(np.int64)), "sketch": [x.tobytes() for x in (sig & np.uint64(255)).astype(np.uint8)]})
+                yield pd.DataFrame({"doc_id": ids[begin:at], "cls": cls, "bands": list(keys.view(np.int64)), "sketch": [x.tobytes() for x in (sig & np.uint64(255)).astype(np.uint8)], "bits": list(packed(sig))})
 
-    return texts(docs).mapInPandas(sign, "doc_id long, cls binary, bands array<long>, sketch binary")
+    return texts(docs).mapInPandas(sign, "doc_id long, cls binary, bands array<long>, sketch binary, bits array<long>")
 
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -194,29 +201,58 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, sim
     return stored(bags.mapInPandas(tested, "a long, b long"))
 
 
+def component_of(rows: DataFrame, found: DataFrame, node: str, name: str) -> DataFrame:
+    """rows with the component of the column node (itself, if it has no link)."""
+    return rows.join(found.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, links: DataFrame, found: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links and components after the pairs between different components are verified as well."""
+    apart = component_of(component_of(pairs, found, "a", "ca"), found, "b", "cb").where("ca <> cb").select("a", "b")
+    more = verified(docs, reps, apart, width, similarity)
+    if more.isEmpty():
+        return links, found
+    links = stored(links.unionByName(more))
+    return links, stored(components(links))
+
+
+def crossing(reps: DataFrame, placed: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of a bucket in different components, neither being its centre, whose bits agree well enough."""
+    at = component_of(placed.select("doc_id", "k", "top"), found, "doc_id", "component")
+    split = stored(at.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("k"))
+    apart = at.where("doc_id <> top.v").join(split, "k", "left_semi").join(reps.select("doc_id", "bits"), "doc_id")
+    side = lambda s: apart.select("k", F.col("doc_id").alias(s), F.col("component").alias(f"c{s}"), *[F.get("bits", F.lit(i)).alias(f"{s}{i}") for i in range(REGISTERS // 64)])
+    agree = (1 + similarity) / 2
+    most = int(REGISTERS * (1 - agree + MARGIN * np.sqrt(agree * (1 - agree) / REGISTERS)))
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(REGISTERS // 64)), F.lit(0))
+    x, y = side("a"), side("b").withColumnRenamed("k", "kb")
+    met = x.join(y, (F.col("k") == F.col("kb")) & (F.col("ca") < F.col("cb")) & (differ <= most))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per document: doc_id, class_id (its class's smallest doc_id), near_id (its group's), near_size (documents of the group), kept."""
     rows = stored(signed(docs, width))
     total = rows.count()
     classes = stored(rows.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     members = stored(hot_join(rows.select("doc_id", "cls"), classes, "cls", "n", total, "doc_id").select("doc_id", "rep"))
-    reps = stored(rows.join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"], "left_semi").select("doc_id", "bands", "sketch"))
+    reps = stored(rows.join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"], "left_semi").select("doc_id", "bands", "sketch", "bits"))
     each = reps.select("doc_id", F.explode("bands").alias("k"))
-    first = F.min(F.struct(F.xxhash64("doc_id").alias("r"), F.col("doc_id").alias("v")))
-    buckets = stored(each.groupBy("k").agg(first["v"].alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    placed = stored(hot_join(each, buckets, "k", "n", total * BANDS, "doc_id").where("centre is not null"))
-    stars = placed.where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    links = verified(docs, reps, stars, width, similarity)
+    buckets = stored(each.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    placed = stored(hot_join(each, buckets, "k", "n", total * BANDS, "doc_id").where("n > 1"))
+    shared = placed.count()
+    weights = stored(placed.groupBy("doc_id").agg(F.sum("n").alias("weight")))
+    placed = stored(placed.join(weights, "doc_id"))
+    top = F.max(F.struct("weight", F.xxhash64("doc_id").alias("r"), F.col("doc_id").alias("v")))
+    centres = stored(placed.groupBy("k").agg(top.alias("top"), F.count(F.lit(1)).alias("n")))
+    placed = stored(hot_join(placed.drop("n"), centres, "k", "n", shared, "doc_id"))
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    stars = placed.where("doc_id <> top.v")
+    best = stars.groupBy("doc_id").agg(F.max("top").alias("top")).select(*pair("doc_id", F.col("top.v"))).distinct()
+    links = verified(docs, reps, best, width, similarity)
     found = stored(components(links))
-    # members of one bucket in different components: all such pairs are verified as well
-    placed = placed.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = placed.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k")
-    apart = stored(placed.join(split, "k", "left_semi").where("n > 2").select("k", "doc_id", "component", "centre"))
-    x, y = apart.select("k", F.col("doc_id").alias("a"), F.col("component").alias("ca"), "centre"), apart.select("k", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    cross = x.join(y, "k").where("ca < cb and a <> centre and b <> centre").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = verified(docs, reps, cross, width, similarity)
-    if not more.isEmpty():
-        found = stored(components(links.unionByName(more)))
+    links, found = linked(docs, reps, stars.select(*pair("doc_id", F.col("top.v"))).distinct(), links, found, width, similarity)
+    links, found = linked(docs, reps, crossing(reps, placed, found, similarity), links, found, width, similarity)
     groups = members.withColumnRenamed("rep", "node").groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(found, "node", "left").withColumn("near_id", F.coalesce("component", "node"))
     sizes = groups.groupBy("near_id").agg(F.sum("n").alias("near_size"), F.count(F.lit(1)).alias("classes"))
     groups = stored(hot_join(stored(groups), stored(sizes), "near_id", "classes", total, "node").select(F.col("node").alias("rep"), "n", "near_id", "near_size"))
