@@ -187,17 +187,28 @@ def plan(hist: dict[int, int], capacity: int, bins: int = 64) -> list[tuple[int,
         for k in p:
             a[k - 1, j] += 1
     fit = np.floor(nnls(a, b, 3 * top) + 1e-9).astype(int)
-    for j in np.argsort(-fit):
-        p = patterns[int(j)]
-        need: dict[int, int] = {}
-        for k in p:
-            need[k] = need.get(k, 0) + 1
-        n = min([int(fit[j]), *(sum(left[x] for x in by_bin.get(k, ())) // c for k, c in need.items())])
+    lengths = sorted(left)
+    for j in sorted(range(len(patterns)), key=lambda j: -max(patterns[j])):  # the longest pieces choose first
+        p = patterns[j]
+        n = int(fit[j])
         while n > 0:
-            slots = []
-            for k in need:  # the longest left of each bin first; the short ends stay for the gaps
-                for _ in range(need[k]):
-                    slots.append(max(x for x in by_bin[k] if left[x] > slots.count(x)))
+            slots: list[int] = []
+            for k in p[:0:-1]:  # the longest left of each longer bin; the last place takes the longest that fits
+                x = max((x for x in by_bin.get(k, ()) if left[x] > slots.count(x)), default=None)
+                if x is None:
+                    break
+                slots.append(x)
+            if len(slots) < len(p) - 1:
+                break
+            space = capacity - sum(slots)
+            i = bisect.bisect_right(lengths, space) - 1
+            while i >= 0 and left[lengths[i]] <= slots.count(lengths[i]):
+                if not left[lengths[i]]:
+                    del lengths[i]
+                i -= 1
+            if i < 0:
+                break
+            slots.append(lengths[i])
             m = min(n, *(left[x] // slots.count(x) for x in set(slots)))
             groups.append([m, [take(x, m) for x in slots], capacity - sum(slots)])
             n -= m
