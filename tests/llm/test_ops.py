@@ -293,9 +293,49 @@ def test_bagminhash_estimates():
     assert abs((s[0] == s[1]).mean() - minhash.overlap(a, b)) < 0.04
 
 
-def test_pipeline(spark):
+def near_groups(rows):
+    """Smallest id of each row's group by all pairs of shingle multisets of at least 0.8."""
+    bags, root = {}, {}
+    for i, t in rows:
+        w = re.findall(r"\w+", text(t).lower())
+        bags[i], root[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter(), i
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(bags)
+    for a in ids:
+        for b in ids:
+            if a < b:
+                both = sum((bags[a] & bags[b]).values())
+                every = sum(bags[a].values()) + sum(bags[b].values()) - both
+                if (both >= 0.8 * every) if every else True:
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline
+    from meshwright.llm.common import stored
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.select("sequence_id").distinct().count() > 0
+    sf = "/root/testdata/sf0.001"
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "minhash_near_dedup", "pii", "packing"]
+    tables = [spark.read.parquet(f"{sf}/documents.parquet")]
+    for _, stage in corpus_pipeline.STAGES:
+        tables.append(stored(stage(spark, tables[-1], sf)))
+    start, clean, once, apart, safe = ({r.doc_id: r.text for r in t.collect()} for t in tables[:5])
+    assert all(t.columns == tables[0].columns for t in tables[:5])
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert sum(labels.get(d) == 0 for d in start.keys() - clean.keys()) <= 0.03 * len(start)
+    best = {}
+    for d, t in clean.items():
+        best[text(t)] = max(d, best.get(text(t), d))
+    assert once == {d: clean[d] for d in best.values()}
+    groups = near_groups(once.items())
+    assert apart == {d: t for d, t in once.items() if groups[d] == d}
+    assert safe.keys() == apart.keys() and all(safe[d] == t for d, t in apart.items() if not base_spans(text(t)))
+    assert not any(base_spans(text(t)) for t in safe.values())
+    assert {r.doc_id for r in tables[5].select("doc_id").distinct().collect()} == safe.keys()
