@@ -110,8 +110,8 @@ MOST_CHORDS = 100_000
 
 def chord_count(radius: Column, angle: Column, sagitta: Column) -> Column:
     """Chords of an arc; null beyond MOST_CHORDS."""
-    n = F.greatest(F.lit(1).cast("long"), F.ceil(F.abs(angle) / max_chord_angle(radius, sagitta)).cast("long"))
-    return F.when(n <= MOST_CHORDS, n)
+    n = F.ceil(F.abs(angle) / max_chord_angle(radius, sagitta)).cast("long")
+    return F.when(n <= MOST_CHORDS, F.greatest(F.lit(1).cast("long"), n))
 
 
 def arc_points(sx: Column, sy: Column, ex: Column, ey: Column, cx: Column, cy: Column, radius: Column, clockwise: Column, sagitta: Column) -> Column:
@@ -126,7 +126,8 @@ def arc_points(sx: Column, sy: Column, ex: Column, ey: Column, cx: Column, cy: C
 
 def circle_points(cx: Column, cy: Column, radius: Column, sagitta: Column) -> Column:
     """Vertices of a full circle, closed; at least three different ones."""
-    n = F.greatest(F.lit(3).cast("long"), F.ceil(2 * math.pi / max_chord_angle(radius, sagitta)).cast("long"))
+    n = F.ceil(2 * math.pi / max_chord_angle(radius, sagitta)).cast("long")
+    n = F.when(n.isNotNull(), F.greatest(F.lit(3).cast("long"), n))  # greatest alone would ignore a null
     ring = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.array(cx + radius * F.cos(2 * math.pi * i / n), cy + radius * F.sin(2 * math.pi * i / n)))
     return F.when(n <= MOST_CHORDS, F.concat(ring, F.array(F.get(ring, F.lit(0)))))
 
