@@ -1,18 +1,23 @@
 """Operator 2: toxicity by the nearest labelled examples.
 
 Texts become TF-IDF vectors over a learned vocabulary: words, and word beginnings of four to six letters, that occur more
-often in toxic examples than in others (chi-square test).  The examples with such terms form an inverted index whose
+often in toxic examples than chance explains (hypergeometric counts).  Where both labels exist and no term does, all terms are
+the vocabulary, those of the most examples first; if then the votes of toxic examples do not exceed the others', every text with
+terms gets the share of toxic rows.  The examples with such terms form an inverted index whose
 blocks of examples keep each term's largest weight; a block is read only if the sum of its largest weights can
 beat the k-th best cosine found, so the k nearest examples are exact.  Their votes, weighted by distance, are calibrated by
 isotonic regression on votes that leave each example out.  The nearest examples come with the score as evidence.
 
 Bounds: the vocabulary and the examples are fitted on at most ``per_class`` labelled rows of each label (those with the least
-hash of their doc_id), at most ``max_terms`` terms are kept.  Document frequencies are those of all documents, and
+hash of their doc_id), at most ``max_terms`` terms are kept (of all terms, where none marks toxic
+examples, those up to POSTINGS places in examples).  Document frequencies are those of all documents, and
 every whole text is scored.
 
 Defined results: null and empty texts, and texts without any term, get the share of toxic rows among examples
 without terms; without labelled rows every score is 0; of repeated labels of a document the largest counts; rows of
-documents that repeat are scored one by one; labels without a document are ignored; extra columns are not read.
+documents that repeat are scored one by one; labels without a document are ignored; extra columns are not read.  A text is
+predicted to be toxic if its score reaches the threshold and exceeds the share of toxic rows among all labelled ones, so where
+nothing tells them apart none is.
 """
 
 from __future__ import annotations
@@ -29,9 +34,11 @@ from pyspark.sql import functions as F
 from .common import stored, texts
 
 WORD = re.compile(r"[^\W\d_]{2,}")
-#: A term is kept if its chi-square (one degree of freedom) and its share among toxic examples against others are at least so large; many terms are tested.
-LEAST_CHI2, LEAST_LIFT = 40.0, 20.0
+#: A term marks toxic examples if LEAST_TOXIC of them have it, its share among them is LEAST_LIFT times that among others, and chance makes at most the share NOISE of the terms as rare as it.
+LEAST_TOXIC, LEAST_LIFT, NOISE = 3, 20.0, 0.25
 BLOCK = 64
+#: Where no term marks toxic examples, the vocabulary ends with the term that brings the examples' terms to so many.
+POSTINGS = 500_000
 
 
 def features(word: str) -> list[str]:
@@ -53,8 +60,37 @@ def examples_of(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame
     return texts(docs).join(F.broadcast(ids), "doc_id")  # at most 2 * per_class ids
 
 
-def vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
-    """The terms that mark toxic examples, by chi-square."""
+def marking(pairs: list[tuple[int, int, int]], n0: int, n1: int) -> dict[tuple[int, int], float]:
+    """(a0, a1) of the terms that mark toxic examples, with the probability of such a count by chance.
+
+    pairs: (a0, a1, number of terms in a0 of n0 other and a1 of n1 toxic examples).  Of the terms in d examples, chance gives
+    a hypergeometric share each number of toxic ones.  From the least probable counts on, terms are kept until chance
+    explains more than the share NOISE of those that come next: no bound depends on the number of rows.
+    """
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n0 + n1 + 1)))])
+    choose = lambda n, k: logs[n] - logs[k] - logs[n - k]
+    seen = {(a0, a1): n for a0, a1, n in pairs}
+    size: Counter = Counter()
+    for a0, a1, n in pairs:
+        size[a0 + a1] += n
+    cells = []
+    for d, n in size.items():
+        least = int(np.ceil(LEAST_LIFT * d * n1 / (n0 + LEAST_LIFT * n1) - 1e-9))
+        a1 = np.arange(min(d, n1), max(LEAST_TOXIC, d - n0, least) - 1, -1)
+        share = np.exp(choose(n1, a1) + choose(n0, d - a1) - choose(n0 + n1, d))
+        cells += zip(np.cumsum(share).tolist(), (n * share).tolist(), (d - a1).tolist(), a1.tolist(), strict=True)
+    kept, chance = {}, 0.0
+    for p, n, a0, a1 in sorted(cells):
+        chance += n
+        if (a0, a1) in seen:
+            if chance > NOISE * seen[a0, a1]:
+                break
+            kept[a0, a1], chance = p, 0.0
+    return kept
+
+
+def vocabulary(examples: DataFrame, max_terms: int) -> tuple[list[str], bool]:
+    """The terms that mark toxic examples, and True; where none does, all terms, those of the most examples first, and False."""
 
     def counted(batches: Iterator) -> Iterator:
         for pdf in batches:
@@ -66,12 +102,23 @@ def vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
     size = {r[0]: r[1] for r in examples.groupBy("toxic").count().collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n0 or not n1:
-        return []
-    t = examples.select("text", "toxic").mapInPandas(counted, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1"))
-    a0, a1, n = F.col("a0"), F.col("a1"), float(n0 + n1)
-    chi2 = n * (a1 * (n0 - a0) - a0 * (n1 - a1)) ** 2 / ((a1 + a0) * (n - a1 - a0) * float(n0) * n1 + 1e-9)
-    t = t.where((a1 >= 3) & (a1 * n0 >= LEAST_LIFT * (a0 + 0.5) * n1)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    return [r[0] for r in t.orderBy(F.desc("chi2"), "term").limit(max_terms).collect()]
+        return [], False
+    t = stored(examples.select("text", "toxic").mapInPandas(counted, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1")))
+    kept = marking([tuple(r) for r in t.groupBy("a0", "a1").count().collect()], n0, n1)  # pairs of counts of at most 2 * per_class rows
+    if kept:
+        p = examples.sparkSession.createDataFrame([(a0, a1, p) for (a0, a1), p in kept.items()], "a0 long, a1 long, p double")
+        return [r[0] for r in t.join(F.broadcast(p), ["a0", "a1"]).orderBy("p", "term").select("term").limit(max_terms).collect()], True
+    rows = t.select("term", (F.col("a0") + F.col("a1")).alias("n")).orderBy(F.desc("n"), "term").limit(max_terms).collect()
+    return [r.term for r, n in zip(rows, np.cumsum([r.n for r in rows]).tolist(), strict=True) if n - r.n < POSTINGS], False
+
+
+def separate(votes: np.ndarray, labels: np.ndarray) -> bool:
+    """Whether toxic examples' votes exceed the others' by more than chance explains (rank sum, one in a thousand)."""
+    a, b = np.sort(votes[labels == 0]), votes[labels == 1]
+    if not len(a) or not len(b):
+        return False
+    wins = (np.searchsorted(a, b, "left") + np.searchsorted(a, b, "right")).sum() / 2
+    return wins - len(a) * len(b) / 2 >= 3.1 * np.sqrt(len(a) * len(b) * (len(a) + len(b) + 1) / 12)
 
 
 def vectors(rows: DataFrame, terms: list[str], keep: str) -> DataFrame:
@@ -181,7 +228,7 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = 5000, max_terms:
     """Per document: doc_id, held_out, score, predicted, evidence (doc_ids of its nearest examples)."""
     spark = docs.sparkSession
     examples = stored(examples_of(docs, labels, per_class))
-    terms = vocabulary(examples, max_terms)
+    terms, marks = vocabulary(examples, max_terms)
     found = stored(vectors(texts(docs), terms, "doc_id long"))
     n = found.count()
     df = np.ones(max(len(terms), 1))
@@ -191,11 +238,13 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = 5000, max_terms:
     rows = vectors(examples.select("doc_id", "toxic", "weight", "text"), terms, "doc_id long, toxic int, weight double").collect()  # at most 2 * per_class rows of few terms
     bare = [r for r in rows if not r.ids] or rows
     base = sum(r.toxic * r.weight for r in bare) / sum(r.weight for r in bare) if bare else 0.0
+    share = sum(r.toxic * r.weight for r in rows) / sum(r.weight for r in rows) if rows else 0.0
     index = BlockMax([(r.doc_id, r.toxic, *weighted(r.ids, r.counts, idf)) for r in rows if r.ids], len(terms))
     prior = float(index.labels.mean()) if len(index.labels) else base
     place = {d: i for i, d in enumerate(index.docs.tolist())}
     left_out = [(index.vote(*weighted(r.ids, r.counts, idf), k, prior, place[r.doc_id])[0], r.toxic, r.weight) for r in rows if r.ids]
-    knots = isotonic(*(np.array(x, float) for x in zip(*left_out, strict=True))) if left_out else (np.zeros(1), np.full(1, base))
+    votes = [np.array(x, float) for x in zip(*left_out, strict=True)]
+    knots = isotonic(*votes) if votes and (marks or separate(*votes[:2])) else (np.zeros(1), np.full(1, share))
     held = spark.sparkContext.broadcast((index, idf, knots, base, prior))  # bounded by per_class and max_terms
 
     def scored(batches: Iterator) -> Iterator:
@@ -219,4 +268,4 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = 5000, max_terms:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.clip(scores, 0.0, 1.0), "evidence": evidence})
 
     out = found.mapInPandas(scored, "doc_id long, score double, evidence array<long>")
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", ((F.col("score") >= threshold) & (F.col("score") > share + 1e-9)).cast("int").alias("predicted"), "evidence")

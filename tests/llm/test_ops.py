@@ -339,3 +339,32 @@ def test_pipeline_stage_by_stage(spark):
     assert safe.keys() == apart.keys() and all(safe[d] == t for d, t in apart.items() if not base_spans(text(t)))
     assert not any(base_spans(text(t)) for t in safe.values())
     assert {r.doc_id for r in tables[5].select("doc_id").distinct().collect()} == safe.keys()
+
+
+def test_toxicity_of_few_labels(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    left = {r.doc_id for r in corpus_pipeline.toxicity_stage(spark, docs, sf).select("doc_id").collect()}
+    insults = {"trash", "scum", "worthless", "idiot", "clown", "loser", "disgusting", "moron", "pathetic", "stupid"}
+    rows = {r.doc_id: len(insults & set(re.findall(r"[^\W\d_]+", text(r.text).lower()))) for r in docs.collect()}
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    plain = {d for d, y in toxic.items() if y and rows.get(d, 0) >= 2}
+    assert len(plain) >= 7 and not plain & left
+    assert not {d for d, y in toxic.items() if y == 0} & (rows.keys() - left)
+
+
+def test_toxicity_without_marks_keeps_the_corpus(spark):
+    rows = [(i, prose(i, 40) + (" moron scum" if i in (1, 4) else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in (1, 4))) for i in (0, 1, 2, 3, 4, 5)], "doc_id long, toxic int")  # of few rows, many are toxic
+    got = toxicity.score(docs, labels).collect()
+    assert not any(r.predicted for r in got) and all(r.evidence for r in got)
+
+
+def test_marks_do_not_depend_on_the_number_of_rows():
+    for k in (1, 4, 40):
+        pairs = [(0, 4 * k, 10), (20 * k, 3 * k, 50), (40 * k, 8 * k, 50)]
+        assert set(toxicity.marking(pairs, 55 * k, 9 * k)) == {(0, 4 * k)}
+    assert not toxicity.marking([(1, 0, 400), (0, 1, 100), (5, 3, 10)], 20, 9)
