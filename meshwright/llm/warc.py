@@ -4,7 +4,7 @@ Writing: every task writes gzip members, one record each, into files of its own;
 job commits, so a lost or repeated task leaves nothing in the archive.  Each member's extra field (``sl``) has its
 length.  Reading: files are planned into partitions by size; predicates on record type, target URI, record id and
 date are pushed down; a record's headers are parsed first, and where a predicate fails (or payloads aren't asked for) its
-payload is neither read nor inflated.  Archives without that field, and plain ``.warc`` files, are read as streams.
+payload is neither read nor inflated beyond the piece in which its headers, http ones included, end.  Archives without that field, and plain ``.warc`` files, are read as streams.
 
 Options of the reader: ``path``; ``payload`` (true: decode payloads); ``partition_bytes``.  Of the writer: ``path``,
 ``file_bytes`` (a new file begins beyond that).  Paths: local ones and those that pyarrow's file systems open.
@@ -187,19 +187,18 @@ class WarcReader(DataSourceReader):
                 return
             first = f.read(min(2048, total - 24))
             z = zlib.decompressobj(-15)
-            raw = z.decompress(first, 4096)
-            at, got = 24 + len(first), b""
+            raw, at = z.decompress(first, 4096), 24 + len(first)
             while (end := raw.find(b"\r\n\r\n")) < 0 and not z.eof:
-                if not z.unconsumed_tail:
-                    got = f.read(min(65536, total - at))
-                    at += len(got)
-                    if not got:
-                        raise ValueError("a WARC member ends within its headers")
-                raw += z.decompress(z.unconsumed_tail + got, 65536)
-                got = b""
+                part, at = further(f, z, at, total)
+                raw += part
             head = headers(raw[:end])
             if self.wanted(head):
-                if self.payload and head.get("warc-type") != "revisit":
+                if not self.payload or head.get("warc-type") == "revisit":
+                    last = end + 4 + int(head.get("content-length", 0))
+                    while http_in(head) and raw.find(b"\r\n\r\n", end + 4, last) < 0 and len(raw) < last and not z.eof:
+                        part, at = further(f, z, at, total)
+                        raw += part
+                else:
                     rest = f.read(total - at)
                     raw += z.decompress(z.unconsumed_tail + rest) + z.flush()
                     at = total
@@ -222,16 +221,18 @@ class WarcReader(DataSourceReader):
                 yield self.row(head, f.read(n))
             else:
                 if self.wanted(head):
-                    taken = f.read(min(n, 65536))
+                    taken = b""
+                    while http_in(head) and b"\r\n\r\n" not in taken and n and (part := f.read(min(n, 65536))):
+                        taken += part
+                        n -= len(part)
                     yield self.row(head, taken)
-                    n -= len(taken)
                 skip(f, n)
 
     def row(self, head: dict, block: bytes) -> tuple:
         """The columns; http headers in front of the payload, where the type says so, are taken off."""
         kind, given = head.get("warc-type"), head.get("warc-payload-digest", "").partition(":")[2] or None
         http = b""
-        if "application/http" in head.get("content-type", ""):
+        if http_in(head):
             top, gap, body = block.partition(b"\r\n\r\n")
             http, block = (top, body) if gap else (b"", block)
         sizes = [v for k, v in (x.split(b":", 1) for x in http.split(b"\r\n")[1:] if b":" in x) if k.strip().lower() == b"content-length"]
@@ -257,6 +258,21 @@ class _Joined(io.RawIOBase):
         return self.f.read(n)
 
 
+def http_in(head: dict) -> bool:
+    """Whether the record's block begins with http headers."""
+    return "application/http" in head.get("content-type", "")
+
+
+def further(f, z, at: int, total: int) -> tuple[bytes, int]:
+    """More of the member that z inflates, and the place in it up to which f is read."""
+    got = b""
+    if not z.unconsumed_tail:
+        got = f.read(min(65536, total - at))
+        if not got:
+            raise ValueError("a WARC member ends within its headers")
+    return z.decompress(z.unconsumed_tail + got, 65536), at + len(got)
+
+
 def skip(f, n: int) -> None:
     if n > 0:
         if f.seekable():

@@ -368,3 +368,23 @@ def test_marks_do_not_depend_on_the_number_of_rows():
         pairs = [(0, 4 * k, 10), (20 * k, 3 * k, 50), (40 * k, 8 * k, 50)]
         assert set(toxicity.marking(pairs, 55 * k, 9 * k)) == {(0, 4 * k)}
     assert not toxicity.marking([(1, 0, 400), (0, 1, 100), (5, 3, 10)], 20, 9)
+
+
+def test_warc_headers_of_any_length(tmp_path):
+    rng = np.random.default_rng(4)
+    chars = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789-._~ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    urls = [u for n in range(2000, 5001, 20) for u in ("http://x/" + "a" * n, "http://x/" + "".join(rng.choice(chars, n)))] + ["http://x/" + "a" * 70000]
+    row = {"record_id": "urn:page:1", "date": "d", "refers_to": "urn:page:0", "payload": b"<p>page</p>" * 9, "payload_bytes": 99}
+    raw = [warc.record(row | {"record_type": kind, "target_uri": u}) for u in urls for kind in ("revisit", "response")]
+    long = warc.record(row | {"record_type": "response", "target_uri": "http://x/"}).replace(b"Content-Length: 99\r\n", b"X-Long: " + b"y" * 70000 + b"\r\nContent-Length: 99\r\n")
+    raw.append(re.sub(rb"Content-Length: (\d+)\r\n\r\nHTTP", lambda m: b"Content-Length: %d\r\n\r\nHTTP" % (int(m[1]) + 70010), long, count=1))
+    (tmp_path / "m").mkdir()
+    (tmp_path / "p").mkdir()
+    (tmp_path / "m/a.warc.gz").write_bytes(b"".join(map(warc.member, raw)))
+    (tmp_path / "p/a.warc").write_bytes(b"".join(raw))
+    for folder in "mp":
+        for payload in ("true", "false"):
+            reader = warc.WarcReader({"path": str(tmp_path / folder), "payload": payload})
+            got = [r for p in reader.partitions() for r in reader.read(p)]
+            assert [r[2] for r in got] == [u for u in urls for _ in range(2)] + ["http://x/"]
+            assert {r[6] for r in got} == {99}, (folder, payload)
