@@ -1,4 +1,4 @@
-"""Turtle texts as triples, and the geometry features that they describe.
+"""Turtle texts as triples, the geometry features that they describe, and the Topology of their graphs (``load``).
 
 The grammar covers prefixes, ``a``, ``;`` and ``,``, blank-node property lists, collections, string, number and boolean literals and
 comments.  Every document is parsed whole by one Arrow batch row; all that follows are joins.
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import Topology
+
 D = "dataset_id"
 TRIPLES = f"{D} string, s string, p string, o string, o_kind string, pos int"
 #: The vocabularies of the graphs.
@@ -183,3 +185,96 @@ def polygons(t: DataFrame) -> DataFrame:
     segs = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"])
     ring = inner.groupBy(D, F.col("feature").alias("id"), "ring").agg(segs.alias("segs")).select(D, "id", "ring", chain(F.col("segs")).alias("closed"))
     return ring.groupBy(D, "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "closed"))), lambda s: s["closed"]).alias("polygon"))
+
+
+NAMED = f"{TRIPLES}, s_id string, s_ord long, ref string, ref_id string"
+
+
+def named(texts: DataFrame) -> DataFrame:
+    """Triples with what loading needs: s_id and ref_id (the prefixed names of subject and object; without a prefix that fits, the IRIs),
+    s_ord (the place of the subject among its text's subjects) and ref (the IRI of the object; topo:ref literals are prefixed names).
+    Prefixes are those of the text."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for d, text in zip(pdf[D], pdf["text"], strict=True):
+                parser, place = Parser(text), {}
+                found = parser.parse()
+                spaces = sorted(parser.prefixes.items(), key=lambda x: -len(x[1]))
+
+                def short(iri: str, spaces=spaces) -> str:
+                    prefix, space = next((x for x in spaces if iri.startswith(x[1]) and len(iri) > len(x[1])), ("", ""))
+                    return f"{prefix}:{iri[len(space) :]}" if prefix else iri[len(space) :]
+
+                for s, p, o, kind, pos in found:
+                    prefix, colon, local = o.partition(":")
+                    ref = parser.prefixes[prefix] + local if p == TOPO + "ref" and colon and prefix in parser.prefixes else o
+                    rows.append((d, s, p, o, kind, pos, short(s), place.setdefault(s, len(place)), ref, short(ref)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in NAMED.split(", ")])
+
+    return texts.select(D, "text").mapInPandas(parse, NAMED)
+
+
+def value(t: DataFrame, p: str, name: str, of: str = "s") -> DataFrame:
+    """The object (of several, the least) of each subject's triples with one predicate, as columns name and of."""
+    return t.where(F.col("p") == p).groupBy(D, F.col("s").alias(of)).agg(F.min("o").alias(name))
+
+
+def directed(t: DataFrame) -> DataFrame:
+    """head and refs: the directed references (ref, ref_id, orientation, + by default) of each list in order; items without topo:ref are dropped."""
+    ref = t.where(F.col("p") == TOPO + "ref").groupBy(D, F.col("s").alias("item")).agg(F.min(F.struct("ref", "ref_id")).alias("r"))
+    at = items(t, "head").join(ref, [D, "item"]).join(value(t, TOPO + "orientation", "orientation", "item"), [D, "item"], "left")
+    each = F.struct("pos", "r.ref", "r.ref_id", F.coalesce(F.expr("nullif(orientation, '')"), F.lit("+")).alias("orientation"))
+    return at.groupBy(D, "head").agg(F.array_sort(F.collect_list(each)).alias("refs"))
+
+
+def load(t: DataFrame) -> Topology:
+    """The tables of all graphs, from their triples (``named``; persist them, as each table reads them again).
+
+    A feature with a point of its own is a point, whatever topology it has.  Edges and LineStrings of fewer than two references,
+    faces without ring members and solids without shells are left out; Polygons are not faces.  Solids have
+    default properties and there are no observed curves, as the vocabulary has neither.
+    """
+    feature = t.where((F.col("p") == RDF + "type") & (F.col("o") == GEOJSON + "Feature") & ~F.col("s").startswith("_:")).select(D, "s", F.col("s_id").alias("id"), F.col("s_ord").alias("ord")).distinct()
+    number = F.struct("pos", F.expr("try_cast(o AS double)").alias("v"), (F.col("o_kind") == "literal").alias("ok"))
+    lists = t.where(F.col("p") == RDF + "li").groupBy(D, F.col("s").alias("head")).agg(F.array_sort(F.collect_list(number)).alias("c")).where(F.forall("c", lambda c: c["ok"]))
+    coordinates = value(t, GEOJSON + "coordinates", "head", "at").join(lists, [D, "head"]).drop("head")
+    own = [value(t, p, "at").join(coordinates, [D, "at"]).select(D, "s", F.lit(k).alias("k"), "c") for k, p in enumerate((GEOJSON + "geometry", DCT + "spatial"))]
+    point = feature.join(own[0].unionByName(own[1]).groupBy(D, "s").agg(F.min_by("c", "k").alias("c")), [D, "s"])
+    node = value(t, GEOJSON + "topology", "node")
+    other = feature.join(point.select(D, "s"), [D, "s"], "left_anti").join(node, [D, "s"]).join(value(t, RDF + "type", "type", "node"), [D, "node"])
+
+    related = t.where(F.col("p").isin(TOPO + "relatedFeatures", GEOJSON + "relatedFeatures")).groupBy(D, F.col("s").alias("node")).agg(F.min_by("o", F.struct("p", "o")).alias("head"))
+    vertices = t.where(F.col("p") == RDF + "li").groupBy(D, F.col("s").alias("head")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref_id"))), lambda x: x["ref_id"]).alias("v")).where("size(v) >= 2")
+    curve = other.where(F.col("type").isin(TOPO + "Edge", GEOJSON + "LineString")).join(related, [D, "node"]).join(vertices, [D, "head"])
+
+    refs = directed(t)
+    of = node.join(value(t, TOPO + "directedReferences", "head", "node"), [D, "node"]).join(refs, [D, "head"]).select(D, "s", "refs")
+    on_face = other.where(F.col("type") == TOPO + "Face").join(of, [D, "s"]).select(D, "id", "ord", F.posexplode("refs").alias("pos", "r")).select(D, "id", "ord", "pos", F.col("r.ref").alias("s"))
+    face = on_face.join(of, [D, "s"]).groupBy(D, "id", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "refs"))), lambda x: x["refs"]).alias("rings"))
+    member = face.select(D, F.col("id").alias("surface_id"), F.col("ord").alias("surface_ord"), F.posexplode("rings").alias("ring_idx", "m"))
+    member = member.select(D, "surface_id", "surface_ord", "ring_idx", F.posexplode("m").alias("member_idx", "e"))
+
+    on_solid = other.where(F.col("type") == TOPO + "Solid").join(value(t, TOPO + "shells", "head", "node"), [D, "node"]).join(refs, [D, "head"])
+    on_solid = on_solid.select(D, "id", "ord", F.posexplode("refs").alias("raw", "r")).select(D, "id", "ord", "raw", F.col("r.ref").alias("s"))
+    on_solid = on_solid.join(node.select(D, "s"), [D, "s"]).join(of, [D, "s"], "left")
+    solid = on_solid.groupBy(D, "id", "ord").agg(F.array_sort(F.collect_list(F.struct("raw", "refs"))).alias("shells"))
+    bound = solid.select(D, F.col("id").alias("solid_id"), F.col("ord").alias("solid_ord"), F.posexplode("shells").alias("shell_idx", "x"))
+    bound = bound.select(D, "solid_id", "solid_ord", "shell_idx", F.when(F.col("x.raw") == 0, "outer").otherwise("inner").alias("shell_type"), F.posexplode("x.refs").alias("k", "e"))
+    # a face that a shell lists twice keeps both places and the last orientation
+    bound = bound.select("*", F.col("e.ref_id").alias("face_id"), F.col("e.orientation").alias("o"))
+    final = bound.groupBy(D, "solid_id", "shell_idx", "face_id").agg(F.max_by("o", "k").alias("orientation"))
+    bound = bound.join(final, [D, "solid_id", "shell_idx", "face_id"]).withColumn("face_idx", (F.col("shell_idx").cast("long") * (1 << 20) + F.col("k")).cast("int"))
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    return Topology(
+        point=point.select(D, "id", "ord", *[F.get("c", F.lit(i))["v"].alias(n) for i, n in enumerate("xyz")], F.size("c").alias("n")),
+        curve=curve.select(D, "id", "ord", F.size("v").cast("long").alias("n_vertices")),
+        curve_vertex=curve.select(D, F.col("id").alias("curve_id"), F.col("ord").alias("curve_ord"), F.posexplode("v").alias("pos", "point_id")),
+        surface=face.select(D, "id", "ord"),
+        ring_member=member.select(D, "surface_id", "surface_ord", "ring_idx", "member_idx", F.col("e.ref_id").alias("curve_id"), F.col("e.orientation").alias("orientation")),
+        solid=solid.select(D, "id", "ord", F.lit(0.0).alias("volume"), F.lit("default").alias("theme"), F.lit("primary").alias("parcel_type"), *map(none, ("parent_id", "servient_id", "burdened_id", "host_id")), F.lit("").alias("level")),
+        solid_face=bound.select(D, "solid_id", "solid_ord", "face_idx", "face_id"),
+        shell_face=bound.select(D, "solid_id", "solid_ord", "shell_idx", "shell_type", "face_idx", "face_id", "orientation"),
+        observation_curve=t.where("false").select(D, none("ref"), none("source")),
+    )

@@ -107,3 +107,39 @@ def test_curves(spark):
 
 def test_mesh_has_one_dataset(spark):
     assert mesh(spark, SF).solid.select("dataset_id").distinct().count() == 1
+
+
+def turtle_tetrahedron(change=lambda text: text):
+    doc = json.loads(tetrahedron())
+    out = ["@prefix : <http://e/t/> . @prefix geojson: <https://purl.org/geojson/vocab#> . @prefix topo: <https://purl.org/geojson/topo#> ."]
+    refs = lambda rs: "( " + " ".join(f'[ topo:ref ":{r["ref"]}"' + (f' ; topo:orientation "{r["orientation"]}"' if "orientation" in r else "") + " ]" for r in rs) + " )"
+    for key in ("points", "edges", "rings", "faces", "shells", "solids"):
+        for f in doc[key][0]["features"]:
+            t = f.get("topology")
+            if key == "points":
+                body = "geojson:geometry [ a geojson:Point ; geojson:coordinates ( " + " ".join(map(str, f["place"]["coordinates"])) + " ) ]"
+            elif key == "edges":
+                body = "geojson:topology [ a topo:Edge ; topo:relatedFeatures ( " + " ".join(f":{r}" for r in t["references"]) + " ) ]"
+            else:
+                body = f"geojson:topology [ a topo:{key[:-1].title()} ; " + (f"topo:shells {refs(t['shells'])}" if key == "solids" else f"topo:directedReferences {refs(t['directed_references'])}") + " ]"
+            out.append(f":{f['id']} a geojson:Feature ; {body} .")
+    return change("\n".join(out))
+
+
+def test_turtle_graph_is_the_model_of_its_document(spark):
+    from dataclasses import fields
+
+    from meshwright.sources import turtle
+
+    texts = {"good": turtle_tetrahedron(), "dangling": turtle_tetrahedron(lambda x: x + "\n:x a geojson:Feature ; geojson:topology [ a topo:Edge ; topo:relatedFeatures ( :a :b ) ] ."), "few": turtle_tetrahedron(lambda x: x.replace("( :a :b )", "( :a )").replace('":rslope"', '":nowhere"').replace('topo:ref ":shell"', 'topo:no ":shell"'))}
+    t = turtle.load(turtle.named(spark.createDataFrame(list(texts.items()), "dataset_id string, text string").coalesce(1)).persist()).mapped(lambda _, df: df.coalesce(1).persist())
+    want = csdm.load(csdm.from_strings(spark, {"good": tetrahedron()}))
+    for f in fields(want):
+        a, b = getattr(want, f.name), getattr(t, f.name)
+        cols = sorted(c for c in a.columns if not c.endswith("ord") and c not in ("volume", "level"))
+        rows = lambda df, cols=cols: sorted(map(str, df.where("dataset_id = 'good'").select(cols).collect()))
+        assert set(a.columns) == set(b.columns) and rows(a) == rows(b), f.name
+    few = {n: {r.id for r in getattr(t, n).where("dataset_id = 'few'").collect()} for n in ("point", "curve", "surface", "solid")}
+    assert few == {"point": set("abcd"), "curve": {"bc", "ca", "ad", "bd", "cd"}, "surface": {"bottom", "front", "left"}, "solid": set()}
+    found = {(r.dataset_id, r.rule) for r in validate(t, classes=["CC-01", "CC-02", "CC-03"]).collect()}
+    assert ("dangling", "TR-13") in found and not {r for d, r in found if d == "good"}
