@@ -1,12 +1,12 @@
-"""Operator 9: repeated byte strings by bucket-pointer refinement over sampled suffixes.
+"""Operator 9: repeated byte strings by buckets of sampled suffixes, told apart by digests instead of by rounds of refinement.
 
 Every string of ``length`` bytes holds an anchor: the leftmost position whose q-gram hash is least.  Equal strings have their
-anchor at the same place, so only suffixes at anchors need sorting (about one in eighty).  Initial buckets are the anchors'
+anchor at the same place, so only suffixes at anchors are grouped (about one in eighty); none is sorted.  Initial buckets are the anchors'
 q-grams; buckets of one suffix are done.  The others are refined by the identifier of the bucket that all offsets
 around the anchor fall in (the bytes of all strings that belong to the anchor): where a whole bucket, or a class of it, agrees
 there, all its strings repeat.  Classes that stand alone in a bucket with several are refined once more, with one
-representative each, string by string.  Identifiers are digests, so they name the same bucket everywhere and a round's
-names are reused by the next as they are.
+representative each, string by string, however many strings that are.  Identifiers are digests, so they name the same bucket
+everywhere; there are no rounds that refine buckets by those of later offsets.
 
 Every join back goes by counts: hot identifiers are joined by broadcast, no group meets in one task, and no
 pairs are formed.
