@@ -138,8 +138,8 @@ def repeated(docs: DataFrame, length: int = 200, q: int = 48) -> DataFrame:
                     out += [(doc, v, p, r["done"], xxhash.xxh3_128_digest(view[p : p + length])) for p in range(r["lo"], r["hi"] + 1)]
             yield pd.DataFrame(out, columns=["doc_id", "v", "p", "done", "s"])
 
-    # rows that repeat a representative's doc_id and text give the same strings again: once is enough
-    found = stored(bodies.dropDuplicates(["doc_id", "v"]).mapInPandas(strings, "doc_id long, v long, p int, done boolean, s binary"))
+    # rows that repeat a representative's doc_id and text give the same strings again: once is enough; other texts of that doc_id fail by name
+    found = stored(bodies.withColumn("sha", F.sha2("text", 256)).dropDuplicates(["doc_id", "v", "sha"]).mapInPandas(strings, "doc_id long, v long, p int, done boolean, s binary"))
     twice = stored(found.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     ones = hot_join(found.where("not done").drop("done"), twice, "s", "n", total, "p").where("n > 1")
     return whole.unionByName(ones.select("doc_id", "v", F.col("p").alias("lo"), F.col("p").alias("hi")))

@@ -388,3 +388,20 @@ def test_warc_headers_of_any_length(tmp_path):
             got = [r for p in reader.partitions() for r in reader.read(p)]
             assert [r[2] for r in got] == [u for u in urls for _ in range(2)] + ["http://x/"]
             assert {r[6] for r in got} == {99}, (folder, payload)
+
+
+def removed(rows, length):
+    """(doc_id, bytes removed) of each row, by brute force."""
+    data = [text(t).encode() for _, t in rows]
+    seen = Counter(b[p : p + length] for b in data for p in range(len(b) - length + 1))
+    return sorted(((d or -1), len({q for p in range(len(b) - length + 1) if seen[b[p : p + length]] > 1 for q in range(p, p + length)})) for (d, _), b in zip(rows, data, strict=True))
+
+
+def test_suffix_dedup_of_texts_that_share_an_id(spark):
+    parts = [prose(40 + i, 60) for i in range(12)]
+    for k in range(6):  # either of the texts that share an id may come first
+        part = parts[2 * k]
+        rows = [(1, parts[2 * k + 1] + " one"), (1, prose(70 + k, 30) + part[:-9] + " two"), (2, prose(80 + k, 30) + part[9:] + " three")]
+        rows = rows[k % 2 :] + rows[: k % 2]
+        got = suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 200).collect()
+        assert sorted((r.doc_id, r.n_removed) for r in got) == removed(rows, 200) and sum(r.n_removed for r in got) > 400
