@@ -1,6 +1,7 @@
 """A training corpus from ``documents``: toxic texts go, then exact copies, then near copies; personal data is masked; what is left is packed.
 
-doc_id is the key of documents.  Every stage handles null and empty texts and empty tables as its operator does.
+doc_id is the key of documents.  Rows without one are told apart by their texts and count as having the least ids, so of
+equal texts a row with an id stays and of near ones the row without.  Every stage handles null and empty texts and empty tables as its operator does.
 """
 
 from __future__ import annotations
@@ -9,24 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.llm import exact_dedup, minhash, packing, pii, toxicity
-from meshwright.llm.common import few, stored
+from meshwright.llm.common import few, keyed, stored, unkeyed
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not predicted to be toxic."""
-    scores = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return few(docs, scores.where("predicted = 1").select(F.col("doc_id").alias("id")), "doc_id", keep=False)
+    rows = keyed(docs)
+    scores = toxicity.score(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return unkeyed(few(rows, scores.where("predicted = 1").select(F.col("doc_id").alias("id")), "doc_id", keep=False), docs)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
-    return exact_dedup.keep_one(docs)
+    return unkeyed(exact_dedup.keep_one(keyed(docs)), docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("id"))
-    return few(docs, gone, "doc_id", keep=False)
+    rows = keyed(docs)
+    gone = minhash.near_duplicates(rows).where("not kept").select(F.col("doc_id").alias("id"))
+    return unkeyed(few(rows, gone, "doc_id", keep=False), docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,17 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a doc_id in every row, and _given: a null one becomes a number below -2**62 that the text decides, so rows without an id and with equal texts share it."""
+    stand_in = F.lit(-(1 << 62)) - F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
+    return docs.withColumn("_given", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), stand_in))
+
+
+def unkeyed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows of keyed(docs) with docs' columns and null ids."""
+    return rows.withColumn("doc_id", F.when(F.col("_given"), F.col("doc_id").cast(docs.schema["doc_id"].dataType))).select(*docs.columns)
+
+
 def hot_join(left: DataFrame, groups: DataFrame, key: str, size: str, total: int, salt: str) -> DataFrame:
     """left with the columns of its key's row in groups (one row per key, ``size`` its row count in left).
 

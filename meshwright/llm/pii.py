@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import keyed, stored, texts, unkeyed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Top-level domains, first digits of calling codes' zones, context words by kind.
@@ -220,8 +220,10 @@ def report(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
 def masked(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     """docs with every span of personal data in text replaced by its kind in angle brackets; n_chars follows the text.
 
-    Documents are matched to their spans by doc_id and the text's digest, so rows that repeat stay as they are.
+    Documents are matched to their spans by doc_id and the text's digest, so rows that repeat stay as they are; rows without a
+    doc_id are matched by their text.
     """
+    given, docs = docs, keyed(docs)
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
     found = spans(docs.withColumn("_sha", key), threshold, "_sha").where("size(spans) > 0").select("doc_id", "_sha", "spans").dropDuplicates(["doc_id", "_sha"])
     rows = docs.withColumn("_sha", key).join(found, ["doc_id", "_sha"], "left")
@@ -238,4 +240,4 @@ def masked(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.size("_m") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    return unkeyed(rows, given)

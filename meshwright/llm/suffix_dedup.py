@@ -12,7 +12,7 @@ Every join back goes by counts: hot identifiers are joined by broadcast, no grou
 pairs are formed.
 
 Defined results: null text is empty; texts shorter than ``length`` bytes lose nothing; repeated rows are occurrences of
-their strings like any others, so long ones lose all; overlapping occurrences in one document count; empty tables give an empty result;
+their strings like any others, so long ones lose all; so are rows without a doc_id, which stay without one; overlapping occurrences in one document count; empty tables give an empty result;
 extra columns are not read.
 """
 
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, hot_join, stored, texts
+from .common import few, hot_join, keyed, stored, texts
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -145,7 +145,7 @@ def repeated(docs: DataFrame, length: int = 200, q: int = 48) -> DataFrame:
     return whole.unionByName(ones.select("doc_id", "v", F.col("p").alias("lo"), F.col("p").alias("hi")))
 
 
-REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, _given boolean"
 
 
 def cut(data: bytes, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[bytes, int, int]:
@@ -160,26 +160,28 @@ def cut(data: bytes, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[bytes
 
 def deduplicated(docs: DataFrame, length: int = 200, q: int = 48) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay)."""
+    docs = keyed(docs)
     ranges = repeated(docs, length, q).groupBy("doc_id", "v").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     ranges = stored(ranges)
     ids = ranges.select(F.col("doc_id").alias("id"))
-    rows = texts(docs)
+    rows = texts(docs, "_given")
 
     def plain(batches: Iterator) -> Iterator:
         for pdf in batches:
             raw = [bytes_of(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(x) for x in raw], "n_removed": 0, "n_spans": 0, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in raw], "kept": raw})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(x) for x in raw], "n_removed": 0, "n_spans": 0, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in raw], "kept": raw, "_given": pdf["_given"]})
 
     def less(batches: Iterator) -> Iterator:
         for pdf in batches:
             out = []
-            for doc, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
+            for doc, text, spans, given in zip(pdf["doc_id"], pdf["text"], pdf["spans"], pdf["_given"], strict=True):
                 data = bytes_of(text)
                 mine = next((s for s in spans if s["v"] == name_of(data)), None)
                 kept, n, k = cut(data, np.asarray(mine["lo"], np.int64), np.asarray(mine["hi"], np.int64), length) if mine else (data, 0, 0)
-                out.append((doc, len(data), n, k, hashlib.sha256(kept).hexdigest(), kept))
+                out.append((doc, len(data), n, k, hashlib.sha256(kept).hexdigest(), kept, given))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in REPORT.split(", ")])
 
     spans = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("v", "lo", "hi")).alias("spans"))
     hit = few(rows, ids, "doc_id").join(spans, "doc_id")
-    return few(rows, ids, "doc_id", keep=False).mapInPandas(plain, REPORT).unionByName(hit.mapInPandas(less, REPORT))
+    out = few(rows, ids, "doc_id", keep=False).mapInPandas(plain, REPORT).unionByName(hit.mapInPandas(less, REPORT))
+    return out.withColumn("doc_id", F.when(F.col("_given"), F.col("doc_id"))).drop("_given")

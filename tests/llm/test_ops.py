@@ -405,3 +405,21 @@ def test_suffix_dedup_of_texts_that_share_an_id(spark):
         rows = rows[k % 2 :] + rows[: k % 2]
         got = suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 200).collect()
         assert sorted((r.doc_id, r.n_removed) for r in got) == removed(rows, 200) and sum(r.n_removed for r in got) > 400
+
+
+def test_rows_without_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    same, near = prose(91, 80), prose(92, 400)
+    rows = [(1, same), (None, same), (None, same), (2, near), (None, near.replace("ban", "zzz", 1)), (None, prose(93, 60)), (None, "mail a.b@c.example.com"), (3, "x"), (None, None)]
+    rows += [(i, f"{prose(i, 40)} {('moron scum' if i % 4 == 0 else '')}") for i in range(100, 200)] + [(None, prose(94, 40) + " moron scum")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(100, 200)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    assert key(corpus_pipeline.toxicity_stage(spark, docs, str(tmp_path))) == Counter(r for r in rows if "moron" not in text(r[1]))
+    few = spark.createDataFrame(rows[:9], "doc_id long, text string").coalesce(2)
+    assert key(corpus_pipeline.exact_dedup_stage(spark, few, "")) == Counter(rows[:1] + rows[3:9])
+    assert key(corpus_pipeline.near_dedup_stage(spark, few, "")) == Counter([rows[1]] + rows[4:9]) + Counter([rows[1]])
+    assert key(corpus_pipeline.pii_stage(spark, few, "")) == Counter(rows[:6] + [(None, "mail <EMAIL>")] + rows[7:9])
+    got = suffix_dedup.deduplicated(few, 200).collect()
+    assert sorted((r.doc_id or -1, r.n_removed) for r in got) == removed(rows[:9], 200)
