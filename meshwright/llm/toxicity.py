@@ -1,27 +1,27 @@
 """Operator 2: toxicity by the nearest labelled examples.
 
-Texts become TF-IDF vectors over a learned vocabulary: words, and word beginnings of four to six letters, that occur more
-often in toxic examples than chance explains (hypergeometric counts).  Where both labels exist and no term does, all terms are
-the vocabulary, those of the most examples first; if then the votes of toxic examples do not exceed the others', every text with
-terms gets the share of toxic rows.  The examples with such terms form an inverted index whose
-blocks of examples keep each term's largest weight; a block is read only if the sum of its largest weights can
-beat the k-th best cosine found, so the k nearest examples are exact.  Their votes, weighted by distance, are calibrated by
+Texts become TF-IDF vectors over all words of the labelled examples, (1 + ln tf) (1 + ln(N / df)), with df over all documents.  A
+word's idf is multiplied by its relevance, 1 + G (1 - q)**6, with G the likelihood ratio of its counts between the two labels and q the share of
+false discoveries among the words with such a ratio: words that tell nothing keep their plain weight, and none is left out.  The examples form an inverted index
+whose blocks of examples keep each word's largest weight; a block is read only if the sum of its largest weights can
+reach the k-th best cosine found, so the k nearest examples are exact.  Their votes, weighted by distance, are calibrated by
 isotonic regression on votes that leave each example out.  The nearest examples come with the score as evidence.
 
-Bounds: the vocabulary and the examples are fitted on at most ``per_class`` labelled rows of each label (those with the least
-hash of their doc_id), at most ``max_terms`` terms are kept (of all terms, where none marks toxic
-examples, those up to POSTINGS places in examples).  Document frequencies are those of all documents, and
-every whole text is scored.
+Bounds: the examples are at most ``per_class`` labelled rows of each label (those with the least
+hash of their doc_id), and the vocabulary at most ``max_terms`` of their words (those of the most examples, then by spelling).
+Document frequencies are those of all documents, and every whole text is scored.
 
-Defined results: null and empty texts, and texts without any term, get the share of toxic rows among examples
-without terms; without labelled rows every score is 0; of repeated labels of a document the largest counts; rows of
-documents that repeat are scored one by one; labels without a document are ignored; extra columns are not read.  A text is
-predicted to be toxic if its score reaches the threshold and exceeds the share of toxic rows among all labelled ones, so where
-nothing tells them apart none is.
+Defined results: texts without any known word, null and empty ones too, get the share of toxic rows among examples
+without words; where there are none, or where votes do not tell the labels apart (a rank sum that chance reaches once in a thousand), a score
+is the share of toxic rows but below the threshold, so that what is not told apart is not predicted; without labelled rows every score is 0; of repeated labels of a document the largest counts; rows of
+documents that repeat are scored one by one and alike; labels without a document, or without a value, are ignored; equally near examples come in the index's order (most
+frequent word, leading word, doc_id); an empty table gives an empty result; very long texts cost time in proportion to their length and memory in
+proportion to their different words; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,16 +34,11 @@ from pyspark.sql import functions as F
 from .common import stored, texts
 
 WORD = re.compile(r"[^\W\d_]{2,}")
-#: A term marks toxic examples if LEAST_TOXIC of them have it, its share among them is LEAST_LIFT times that among others, and chance makes at most the share NOISE of the terms as rare as it.
-LEAST_TOXIC, LEAST_LIFT, NOISE = 3, 20.0, 0.25
-BLOCK = 64
-#: Where no term marks toxic examples, the vocabulary ends with the term that brings the examples' terms to so many.
-POSTINGS = 500_000
-
-
-def features(word: str) -> list[str]:
-    """The terms of a lower-case word: itself and its beginnings (marked by *)."""
-    return [word, *(f"{word[:k]}*" for k in (4, 5, 6) if len(word) > k)]
+BLOCK = 32
+#: Calibrated levels are shrunk to the mean by so many examples.
+SHRINK = 5.0
+#: How sharply doubt about a word's discovery lowers its relevance.
+POWER = 6
 
 
 def held_out(doc_id: Column) -> Column:
@@ -60,56 +55,35 @@ def examples_of(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame
     return texts(docs).join(F.broadcast(ids), "doc_id")  # at most 2 * per_class ids
 
 
-def marking(pairs: list[tuple[int, int, int]], n0: int, n1: int) -> dict[tuple[int, int], float]:
-    """(a0, a1) of the terms that mark toxic examples, with the probability of such a count by chance.
-
-    pairs: (a0, a1, number of terms in a0 of n0 other and a1 of n1 toxic examples).  Of the terms in d examples, chance gives
-    a hypergeometric share each number of toxic ones.  From the least probable counts on, terms are kept until chance
-    explains more than the share NOISE of those that come next: no bound depends on the number of rows.
-    """
-    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n0 + n1 + 1)))])
-    choose = lambda n, k: logs[n] - logs[k] - logs[n - k]
-    seen = {(a0, a1): n for a0, a1, n in pairs}
-    size: Counter = Counter()
-    for a0, a1, n in pairs:
-        size[a0 + a1] += n
-    cells = []
-    for d, n in size.items():
-        least = int(np.ceil(LEAST_LIFT * d * n1 / (n0 + LEAST_LIFT * n1) - 1e-9))
-        a1 = np.arange(min(d, n1), max(LEAST_TOXIC, d - n0, least) - 1, -1)
-        share = np.exp(choose(n1, a1) + choose(n0, d - a1) - choose(n0 + n1, d))
-        cells += zip(np.cumsum(share).tolist(), (n * share).tolist(), (d - a1).tolist(), a1.tolist(), strict=True)
-    kept, chance = {}, 0.0
-    for p, n, a0, a1 in sorted(cells):
-        chance += n
-        if (a0, a1) in seen:
-            if chance > NOISE * seen[a0, a1]:
-                break
-            kept[a0, a1], chance = p, 0.0
-    return kept
-
-
-def vocabulary(examples: DataFrame, max_terms: int) -> tuple[list[str], bool]:
-    """The terms that mark toxic examples, and True; where none does, all terms, those of the most examples first, and False."""
+def vocabulary(examples: DataFrame, max_terms: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of the examples, those of the most examples first, and in how many other and toxic ones each is."""
 
     def counted(batches: Iterator) -> Iterator:
         for pdf in batches:
             n = [Counter(), Counter()]
             for text, y in zip(pdf["text"], pdf["toxic"], strict=True):
-                n[int(y)].update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
-            yield pd.DataFrame([(f, n[0][f], n[1][f]) for f in n[0].keys() | n[1].keys()], columns=["term", "n0", "n1"])
-
-    size = {r[0]: r[1] for r in examples.groupBy("toxic").count().collect()}
-    n0, n1 = size.get(0, 0), size.get(1, 0)
-    if not n0 or not n1:
-        return [], False
-    t = stored(examples.select("text", "toxic").mapInPandas(counted, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1")))
-    kept = marking([tuple(r) for r in t.groupBy("a0", "a1").count().collect()], n0, n1)  # pairs of counts of at most 2 * per_class rows
-    if kept:
-        p = examples.sparkSession.createDataFrame([(a0, a1, p) for (a0, a1), p in kept.items()], "a0 long, a1 long, p double")
-        return [r[0] for r in t.join(F.broadcast(p), ["a0", "a1"]).orderBy("p", "term").select("term").limit(max_terms).collect()], True
-    rows = t.select("term", (F.col("a0") + F.col("a1")).alias("n")).orderBy(F.desc("n"), "term").limit(max_terms).collect()
-    return [r.term for r, n in zip(rows, np.cumsum([r.n for r in rows]).tolist(), strict=True) if n - r.n < POSTINGS], False
+                n[int(y)].update(set(WORD.findall(text.lower())))
+            yield pd.DataFrame([(w, n[0][w], n[1][w]) for w in n[0].keys() | n[1].keys()], columns=["term", "n0", "n1"])
+
+    t = examples.select("text", "toxic").mapInPandas(counted, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1"))
+    rows = t.orderBy(F.desc(F.col("a0") + F.col("a1")), "term").limit(max_terms).collect()
+    return [r.term for r in rows], np.array([r.a0 for r in rows], float), np.array([r.a1 for r in rows], float)
+
+
+def relevance(a0: np.ndarray, a1: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """1 + G (1 - q)**6 of words in a0 of n0 other and a1 of n1 toxic examples."""
+    n, d = max(n0 + n1, 1), a0 + a1
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-12)), 0.0)
+
+    ratio = np.maximum(0.0, 2 * (part(a1, d * n1 / n) + part(a0, d * n0 / n) + part(n1 - a1, (n - d) * n1 / n) + part(n0 - a0, (n - d) * n0 / n)))
+    order = np.argsort(-ratio, kind="stable")
+    tail = np.array([math.erfc(math.sqrt(g / 2)) for g in ratio[order].tolist()])
+    false = np.minimum(1.0, len(d) * tail / np.searchsorted(-ratio[order], -ratio[order], "right"))
+    out = np.empty(len(d))
+    out[order] = 1.0 + ratio[order] * (1.0 - np.minimum.accumulate(false[::-1])[::-1]) ** POWER
+    return out
 
 
 def separate(votes: np.ndarray, labels: np.ndarray) -> bool:
@@ -122,79 +96,78 @@ def separate(votes: np.ndarray, labels: np.ndarray) -> bool:
 
 
 def vectors(rows: DataFrame, terms: list[str], keep: str) -> DataFrame:
-    """rows' columns keep with the ids and counts of the terms in each text."""
-    ids = {t: i for i, t in enumerate(terms)}
+    """rows' columns keep with the ids and counts of the known words in each text."""
+    held = rows.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})  # at most max_terms words
 
     def made(batches: Iterator) -> Iterator:
-        known: dict[str, list[int]] = {}
+        known = held.value.get
         for pdf in batches:
-            out: list[list] = [[], []]
+            ids, counts = [], []
             for text in pdf["text"]:
-                found: dict[int, int] = {}
-                for w, n in Counter(WORD.findall(text.lower())).items():
-                    got = known.get(w)
-                    if got is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        got = known[w] = [ids[f] for f in features(w) if f in ids] or NONE
-                    for i in got:
-                        found[i] = found.get(i, 0) + n
-                out[0].append(list(found))
-                out[1].append(list(found.values()))
-            yield pdf.drop(columns="text").assign(ids=out[0], counts=out[1])
+                found = Counter(map(known, WORD.findall(text.lower())))
+                found.pop(None, None)
+                ids.append(np.fromiter(found.keys(), np.int32, len(found)))
+                counts.append(np.fromiter(found.values(), np.int32, len(found)))
+            yield pdf.drop(columns="text").assign(ids=ids, counts=counts)
 
     return rows.mapInPandas(made, f"{keep}, ids array<int>, counts array<int>")
 
 
-NONE: list[int] = []
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at starts, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class BlockMax:
-    """Unit vectors of examples in an inverted index with the largest weight of each term and block."""
+    """Unit vectors of examples in an inverted index with the largest weight of each word and block."""
 
-    def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]], n_terms: int):
-        """rows: doc_id, label, term ids, weights (of length 1)."""
-        rows = sorted(rows, key=lambda r: (int(r[2][np.argmax(r[3])]), r[0]))  # examples of one leading term side by side
+    def __init__(self, rows: list[tuple[int, int, int, np.ndarray, np.ndarray]], n_terms: int):
+        """rows: doc_id, label, most frequent word, word ids, weights (of length 1)."""
+        # texts of one language, then of one leading word, side by side
+        rows = sorted(rows, key=lambda r: (r[2], int(r[3][np.argmax(r[4])]), r[0]))
         self.docs = np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], np.float64)
-        sizes = [len(r[2]) for r in rows]
-        term = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int64)
-        weight = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0)
+        sizes = [len(r[3]) for r in rows]
+        term = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64)
+        weight = np.concatenate([r[4] for r in rows]) if rows else np.zeros(0)
         doc = np.repeat(np.arange(len(rows)), sizes)
         order = np.lexsort((doc, term))
-        self.term, self.doc, self.weight = term[order], doc[order], weight[order]
-        self.blocks = -(-len(rows) // BLOCK)
-        cell = self.term.astype(np.int64) * max(self.blocks, 1) + self.doc // BLOCK
-        self.cells, self.starts = np.unique(cell, return_index=True)
-        self.ends = np.append(self.starts[1:], len(cell))
+        term, self.doc, self.weight = term[order].astype(np.int64), doc[order], weight[order]
+        self.blocks = max(1, -(-len(rows) // BLOCK))
+        cell = term * self.blocks + self.doc // BLOCK
+        cells, self.starts = np.unique(cell, return_index=True)
+        self.lengths = np.diff(np.append(self.starts, len(cell)))
         self.tops = np.maximum.reduceat(self.weight, self.starts) if len(cell) else np.zeros(0)
-        self.first = np.searchsorted(self.cells, np.arange(n_terms + 1) * max(self.blocks, 1))
+        self.block = cells % self.blocks
+        self.first = np.searchsorted(cells, np.arange(n_terms + 1) * self.blocks)
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples (ties: the earlier place), best first."""
-        cells = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in ids]) if len(ids) else np.zeros(0, np.int64)
-        q = np.repeat(weights, [self.first[t + 1] - self.first[t] for t in ids])
-        block = self.cells[cells] % max(self.blocks, 1)
+        each = self.first[ids + 1] - self.first[ids]
+        cells = runs(self.first[ids], each)
+        q, block = np.repeat(weights, each), self.block[cells]
         bound = np.bincount(block, q * self.tops[cells], self.blocks)
-        at, best = np.zeros(0, np.int64), np.zeros(0)
-        order = np.argsort(-bound, kind="stable")
-        step = 4
-        for i in range(0, len(order), step):
-            these = order[i : i + step]
-            if bound[these[0]] <= 0 or (len(best) == k and bound[these[0]] < best[-1] - 1e-9):
-                break
-            mine = np.flatnonzero(np.isin(block, these))
-            c = cells[mine]
-            lengths = self.ends[c] - self.starts[c]
-            post = np.repeat(self.starts[c] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-            docs, inverse = np.unique(self.doc[post], return_inverse=True)
-            score = np.bincount(inverse, self.weight[post] * np.repeat(q[mine], lengths))
+        at, best, todo = np.zeros(0, np.int64), np.zeros(0), bound > 0
+        while todo.any():
+            # the most promising blocks first; then all that can still reach the k-th best
+            these = todo if len(best) >= k else todo & (bound >= np.partition(bound[todo], -min(4, todo.sum()))[-min(4, todo.sum())])
+            mine = these[block]
+            c, lengths = cells[mine], self.lengths[cells[mine]]
+            post = runs(self.starts[c], lengths)
+            score = np.bincount(self.doc[post], self.weight[post] * np.repeat(q[mine], lengths), len(self.docs))
+            docs = np.flatnonzero(score)
             if but is not None:
-                score, docs = score[docs != but], docs[docs != but]
-            at, best = np.concatenate([at, docs]), np.concatenate([best, np.minimum(score, 1.0)])
-            top = np.lexsort((at, -best.round(9)))[:k]
-            at, best = at[top], best[top]
-        return at, best
+                docs = docs[docs != but]
+            at, best = np.concatenate([at, docs]), np.concatenate([best, np.minimum(score[docs], 1.0)])
+            if len(best) > k:
+                top = np.lexsort((at, -best.round(9)))[:k]
+                at, best = at[top], best[top]
+            todo &= ~these
+            if len(best) >= k:
+                todo &= bound >= best[-1] - 1e-9
+        top = np.lexsort((at, -best.round(9)))
+        return at[top], best[top]
 
     def vote(self, ids: np.ndarray, weights: np.ndarray, k: int, prior: float, but: int | None = None) -> tuple[float, list[int]]:
         at, sim = self.nearest(ids, weights, k, but)
@@ -202,14 +175,15 @@ class BlockMax:
         return float((w @ self.labels[at] + prior) / (w.sum() + 1.0)), self.docs[at[:3]].tolist()
 
 
-def weighted(ids: list, counts: list, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weighted(ids: list, counts: list, importance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids = np.asarray(ids, np.int64)
-    w = (1.0 + np.log(np.asarray(counts, float))) * idf[ids]
+    w = (1.0 + np.log(np.asarray(counts, float))) * importance[ids]
     return ids, w / max(float(np.sqrt(w @ w)), 1e-12)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the weighted least-squares non-decreasing fit."""
+    """Knots of the weighted least-squares non-decreasing fit, each level shrunk to the mean as by SHRINK further examples."""
+    mean, unit = float(w @ y / w.sum()), float(w.mean())
     blocks: list[list[float]] = []
     for a, b, c in sorted(zip(x.tolist(), y.tolist(), w.tolist(), strict=True)):
         if blocks and blocks[-1][3] == a:
@@ -220,52 +194,45 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0], blocks[-1][1] + last[1], blocks[-1][2] + last[2], last[3]]
-    knots = [(p, (s + 0.5 * (s / n)) / (n + 0.5)) for lo, s, n, hi in blocks for p in ((lo,) if lo == hi else (lo, hi))]
-    return np.array([p for p, _ in knots]), np.array([v for _, v in knots])
+    knots = [(p, (s + SHRINK * unit * mean) / (n + SHRINK * unit)) for lo, s, n, hi in blocks for p in ((lo,) if lo == hi else (lo, hi))]
+    return np.array([p for p, _ in knots]), np.maximum.accumulate([v for _, v in knots])
 
 
-def score(docs: DataFrame, labels: DataFrame, per_class: int = 5000, max_terms: int = 5000, k: int = 16, threshold: float = 0.3) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted, evidence (doc_ids of its nearest examples)."""
-    spark = docs.sparkSession
+def score(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_terms: int = 200_000, k: int = 16, threshold: float = 0.3) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted (the score reaches the threshold), evidence (doc_ids of its nearest examples)."""
     examples = stored(examples_of(docs, labels, per_class))
-    terms, marks = vocabulary(examples, max_terms)
+    terms, a0, a1 = vocabulary(examples, max_terms)
     found = stored(vectors(texts(docs), terms, "doc_id long"))
     n = found.count()
     df = np.ones(max(len(terms), 1))
     for i, c in found.select(F.explode("ids").alias("i")).groupBy("i").count().collect():  # at most max_terms rows
         df[i] = c
-    idf = np.log((n + 1.0) / df) + 1.0
-    rows = vectors(examples.select("doc_id", "toxic", "weight", "text"), terms, "doc_id long, toxic int, weight double").collect()  # at most 2 * per_class rows of few terms
-    bare = [r for r in rows if not r.ids] or rows
-    base = sum(r.toxic * r.weight for r in bare) / sum(r.weight for r in bare) if bare else 0.0
+    rows = vectors(examples.select("doc_id", "toxic", "weight", "text"), terms, "doc_id long, toxic int, weight double").collect()  # at most 2 * per_class rows
+    importance = np.log((n + 1.0) / df) + 1.0
+    if terms:
+        importance = importance * relevance(a0, a1, sum(not r.toxic for r in rows), sum(r.toxic for r in rows))
+    bare = [r for r in rows if not r.ids]
     share = sum(r.toxic * r.weight for r in rows) / sum(r.weight for r in rows) if rows else 0.0
-    index = BlockMax([(r.doc_id, r.toxic, *weighted(r.ids, r.counts, idf)) for r in rows if r.ids], len(terms))
+    untold = min(share, 0.99 * threshold)
+    base = sum(r.toxic * r.weight for r in bare) / sum(r.weight for r in bare) if bare else untold
+    often = lambda r: min(zip(r.counts, r.ids, strict=True), key=lambda x: (-x[0], x[1]))[1]
+    index = BlockMax([(r.doc_id, r.toxic, often(r), *weighted(r.ids, r.counts, importance)) for r in rows if r.ids], len(terms))
     prior = float(index.labels.mean()) if len(index.labels) else base
     place = {d: i for i, d in enumerate(index.docs.tolist())}
-    left_out = [(index.vote(*weighted(r.ids, r.counts, idf), k, prior, place[r.doc_id])[0], r.toxic, r.weight) for r in rows if r.ids]
+    left_out = [(index.vote(*weighted(r.ids, r.counts, importance), k, prior, place[r.doc_id])[0], r.toxic, r.weight) for r in rows if r.ids]
     votes = [np.array(x, float) for x in zip(*left_out, strict=True)]
-    knots = isotonic(*votes) if votes and (marks or separate(*votes[:2])) else (np.zeros(1), np.full(1, share))
-    held = spark.sparkContext.broadcast((index, idf, knots, base, prior))  # bounded by per_class and max_terms
+    knots = isotonic(*votes) if votes and separate(*votes[:2]) else (np.zeros(1), np.full(1, untold))
+    held = docs.sparkSession.sparkContext.broadcast((index, importance, knots, base, prior))  # bounded by per_class and max_terms
 
     def scored(batches: Iterator) -> Iterator:
-        index, idf, (x, y), base, prior = held.value
-        known: dict[tuple, tuple] = {}
+        index, importance, (x, y), base, prior = held.value
         for pdf in batches:
             scores, evidence = [], []
             for ids, counts in zip(pdf["ids"], pdf["counts"], strict=True):
-                if not len(ids):
-                    scores.append(base)
-                    evidence.append([])
-                    continue
-                key = (tuple(ids), tuple(counts))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    vote, near = index.vote(*weighted(ids, counts, idf), k, prior)
-                    known[key] = (float(np.interp(vote, x, y)), near)
-                scores.append(known[key][0])
-                evidence.append(known[key][1])
+                vote, near = index.vote(*weighted(ids, counts, importance), k, prior) if len(ids) else (None, [])
+                scores.append(base if vote is None else float(np.interp(vote, x, y)))
+                evidence.append(near)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.clip(scores, 0.0, 1.0), "evidence": evidence})
 
     out = found.mapInPandas(scored, "doc_id long, score double, evidence array<long>")
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", ((F.col("score") >= threshold) & (F.col("score") > share + 1e-9)).cast("int").alias("predicted"), "evidence")
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

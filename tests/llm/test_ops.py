@@ -112,15 +112,48 @@ def test_nearest_is_exact():
     for i in range(500):
         ids = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
         w = rng.random(len(ids))
-        rows.append((i, int(i % 2), ids, w / np.linalg.norm(w)))
+        rows.append((i, int(i % 2), int(i % 3), ids, w / np.linalg.norm(w)))
     index = toxicity.BlockMax(rows, 40)
     dense = np.zeros((500, 40))
     for i, d in enumerate(index.docs):
-        dense[i, rows[d][2]] = rows[d][3]
+        dense[i, rows[d][3]] = rows[d][4]
     for q in rows[:60]:
-        at, sim = index.nearest(q[2], q[3], 8)
-        full = dense[:, q[2]] @ q[3]
-        assert np.allclose(np.sort(full)[::-1][:8][: len(sim)], sim)
+        at, sim = index.nearest(q[3], q[4], 8)
+        full = dense[:, q[3]] @ q[4]
+        assert np.allclose(np.sort(full)[::-1][:8], sim) and np.allclose(full[at], sim)
+
+
+def test_toxicity_equals_brute_force(spark):
+    rows = [(i, f"{prose(i, 30)} {('moron scum' if i % 4 == 0 else '')}") for i in range(160)] + [(900, ""), (901, prose(7, 3000))]
+    labels = [(i, int(i % 4 == 0)) for i in range(120)]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    words = {d: Counter(toxicity.WORD.findall(t.lower())) for d, t in rows}
+    train = [(d, y) for d, y in labels if zlib.crc32(str(d).encode()) % 4 != 2]
+    place = {w: i for i, w in enumerate(sorted({w for d, _ in train for w in words[d]}))}
+    y = np.array([v for _, v in train], float)
+    has = np.array([[w in words[d] for w in place] for d, _ in train], float)
+    weight = toxicity.relevance(has[y == 0].sum(0), has[y == 1].sum(0), int((y == 0).sum()), int(y.sum())) * (1 + np.log((len(rows) + 1) / np.array([sum(w in c for c in words.values()) for w in place])))
+
+    def vector(d):
+        v = np.zeros(len(place))
+        for w, n in words[d].items():
+            if w in place:
+                v[place[w]] = (1 + np.log(n)) * weight[place[w]]
+        return v / max(np.sqrt(v @ v), 1e-12)
+
+    dense = np.array([vector(d) for d, _ in train])
+
+    def vote(d, but=None):
+        sim = dense @ vector(d)
+        near = [i for i in np.argsort(-sim) if i != but and sim[i] > 0][:16]
+        w = 1 / (1.05 - np.minimum(sim[near], 1))
+        return (w @ y[near] + y.mean()) / (w.sum() + 1)
+
+    x, v = toxicity.isotonic(np.array([vote(d, i) for i, (d, _) in enumerate(train)]), y, np.ones(len(y)))
+    assert got[900].score == pytest.approx(y.mean()) and not got[900].evidence
+    for d, _ in rows:
+        if d != 900:
+            assert got[d].score == pytest.approx(np.interp(vote(d), x, v), abs=1e-6) and len(got[d].evidence) == 3
 
 
 def test_sentencepiece(docs, none):
@@ -363,11 +396,12 @@ def test_toxicity_without_marks_keeps_the_corpus(spark):
     assert not any(r.predicted for r in got) and all(r.evidence for r in got)
 
 
-def test_marks_do_not_depend_on_the_number_of_rows():
-    for k in (1, 4, 40):
-        pairs = [(0, 4 * k, 10), (20 * k, 3 * k, 50), (40 * k, 8 * k, 50)]
-        assert set(toxicity.marking(pairs, 55 * k, 9 * k)) == {(0, 4 * k)}
-    assert not toxicity.marking([(1, 0, 400), (0, 1, 100), (5, 3, 10)], 20, 9)
+def test_relevance_at_any_number_of_rows():
+    for k in (1, 4, 40):  # 10 marks among 100 words that say nothing
+        a0, a1 = np.array([0] * 10 + [20 * k] * 50 + [40 * k] * 50, float), np.array([4 * k] * 10 + [3 * k] * 50 + [8 * k] * 50, float)
+        r = toxicity.relevance(a0, a1, 55 * k, 9 * k)
+        assert (r >= 1).all() and r[:10].min() > 4 * r[10:].max()
+    assert toxicity.relevance(np.array([1.0] * 400), np.array([0.0] * 400), 20, 9).max() < 1.1
 
 
 def test_warc_headers_of_any_length(tmp_path):
