@@ -9,14 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds at least 1/HOT of all rows, so there are at most HOT hot keys, whatever the input.
-HOT = 256
+#: A key is hot when it holds at least 1/HOT of all rows, or HOT_ROWS: at most HOT keys and one for each HOT_ROWS rows.
+HOT, HOT_ROWS = 256, 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset on one machine (master local[...], as in tests) a temporary one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", d)
         atexit.register(_delete, spark, d)
@@ -59,12 +61,12 @@ def unkeyed(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def hot_join(left: DataFrame, groups: DataFrame, key: str, size: str, total: int, salt: str) -> DataFrame:
     """left with the columns of its key's row in groups (one row per key, ``size`` its row count in left).
 
-    The at most HOT keys with size >= total / HOT are joined by broadcast, and their rows go to tasks by salt
-    instead of by key, so no task gets a hot group.  Keys without a row in groups get nulls.
+    Keys of size >= total / HOT or >= HOT_ROWS are joined by broadcast (at most HOT + total / HOT_ROWS rows), and their rows go to
+    tasks by salt instead of by key, so no task gets a hot group.  ``total`` is the row count of left.  Keys without a row in groups get nulls.
     """
     cols = [c for c in groups.columns if c != key]
-    hot = groups.where(F.col(size) * HOT >= F.lit(total))
-    cold = groups.where(F.col(size) * HOT < F.lit(total))
+    is_hot = F.col(size) >= F.lit(min(total / HOT, float(HOT_ROWS)))
+    hot, cold = groups.where(is_hot), groups.where(~is_hot)
     kind = dict(groups.dtypes)[key]
     salted = F.xxhash64(salt) if kind == "bigint" else F.struct(F.xxhash64(salt).alias("a"), F.lit(0).cast("long").alias("b")) if kind.startswith("struct") else F.col(salt).cast("string").cast(kind)
     tagged = left.join(F.broadcast(hot.select(key, *[F.col(c).alias(f"_h_{c}") for c in cols], F.lit(True).alias("_hit"))), key, "left")

@@ -10,11 +10,13 @@ Texts with the same words form a class, and one member stands for it.  Signature
 a band share a bucket.  The centre of a bucket is the member that shares the most buckets' places with others (in a group of
 copies that is the original or the copy nearest to it).  First every class is verified against the best of its centres, then
 against the others, then the pairs of a bucket whose ends are still in different components are verified too.  Ends that are linked already are not compared again, so large groups of copies cost about one comparison a member, and no candidate pair stays
-unchecked otherwise.  Verification counts the overlap of the multisets exactly; only pairs whose sketches are
-five standard deviations or more below the similarity skip it.
+unchecked otherwise.  Verification counts the overlap of the multisets exactly, next to the centre, whose text goes once to each of
+its tasks.  Pairs whose sketches (four bits a register) are ``margin`` standard deviations or more below the similarity skip it;
+with ``margin=None`` none does.  A pair of that similarity is lost with a probability of 6e-5 to the bands, and 3e-7 to a margin of five.
 
 Defined results: null, empty and wordless texts form one class; repeated rows are one class; a text of fewer than five
-words is near only to texts with the same words; rows that share a doc_id share a group; empty tables give
+words is near only to texts with the same words; rows that share a doc_id share a group; of equally central members the greatest
+hash of doc_id decides, and the smallest doc_id names a group; very long texts take memory in proportion to their own length; empty tables give
 an empty result; extra columns are not read.
 """
 
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import few, hot_join, stored, texts
@@ -35,15 +37,17 @@ from .components import components
 WORD = re.compile(r"\w+")
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-#: Beyond this estimate of a pair whose similarity is 0.8, five standard deviations lie.
-MARGIN = 5.0
+#: 64-bit integers of a sketch of four bits a register.
+SKETCH = REGISTERS // 16
+#: Pairs of one centre in a task, up to SALTS tasks a centre; beyond, tasks grow.
+GROUP, SALTS = 256, 1024
 
 
 class Hashes(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -132,12 +136,13 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def packed(sig: np.ndarray) -> np.ndarray:
-    """One bit of each register, in 64-bit integers."""
-    return np.packbits((sig >> np.uint64(9)).astype(np.uint8) & 1, axis=1).view(np.int64)
+    """Four bits of each register, in 64-bit integers."""
+    low = ((sig >> np.uint64(9)) & np.uint64(15)).astype(np.uint8)
+    return (low[:, ::2] | (low[:, 1::2] << 4)).view(np.int64)
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, cls (digest of the words), bands, and sketches of eight bits and of one bit a register, of each document."""
+    """doc_id, cls (digest of the words), bands and sketch of each document."""
 
     def sign(batches: Iterator) -> Iterator:
         known = Hashes()
@@ -158,85 +163,119 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 for j in range(ROWS):
                     keys = mixed(keys * np.uint64(3) + sig[:, j::ROWS])
                 keys += np.arange(BANDS, dtype=np.uint64)
-                yield pd.DataFrame({"doc_id": ids[begin:at], "cls": cls, "bands": list(keys.view(np.int64)), "sketch": [x.tobytes() for x in (sig & np.uint64(255)).astype(np.uint8)], "bits": list(packed(sig))})
+                yield pd.DataFrame({"doc_id": ids[begin:at], "cls": cls, "bands": list(keys.view(np.int64)), "sketch": list(packed(sig))})
 
-    return texts(docs).mapInPandas(sign, "doc_id long, cls binary, bands array<long>, sketch binary, bits array<long>")
+    return texts(docs).mapInPandas(sign, "doc_id long, cls binary, bands array<long>, sketch array<long>")
 
 
-def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose multisets are at least so similar."""
-    low = similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / REGISTERS)
-    sketches = reps.select(F.col("doc_id").alias("id"), "sketch")
+def unlike(a: str, b: str, similarity: float, margin: float) -> Column:
+    """Whether sketches (columns a and b) are margin standard deviations or more below the similarity."""
+    agree = similarity + (1 - similarity) / 16
+    most = REGISTERS * (1 - agree + margin * np.sqrt(agree * (1 - agree) / REGISTERS))
 
-    def near(batches: Iterator) -> Iterator:
-        for pdf in batches:
-            x = np.frombuffer(b"".join(pdf["sa"]), np.uint8).reshape(-1, REGISTERS)
-            y = np.frombuffer(b"".join(pdf["sb"]), np.uint8).reshape(-1, REGISTERS)
-            yield pdf.loc[(x == y).mean(axis=1) >= low, ["a", "b"]]
+    def differing(x: Column, y: Column) -> Column:
+        d = x.bitwiseXOR(y)
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    return sum((differing(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(SKETCH)), F.lit(0)) >= float(most)
+
+
+def counted(pairs: DataFrame, key: str, table: DataFrame) -> tuple[DataFrame, int]:
+    """table's rows (one a key) with n, the pairs of each key, and the number of pairs."""
+    sizes = stored(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return sizes.join(table, key, "left"), total
 
-    drawn = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
-    likely = stored(drawn.mapInPandas(near, "a long, b long").distinct())
-    ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
+
+def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, similarity: float, margin: float | None) -> DataFrame:
+    """The pairs (c: a centre, m: a member) whose multisets are at least so similar."""
+    pairs = stored(pairs.distinct())
+    if margin is not None:
+        sketches = reps.select(F.col("doc_id").alias("c"), F.col("sketch").alias("sc"))
+        drawn = hot_join(pairs, *_by(pairs, "c", sketches), "m").drop("n")
+        drawn = drawn.join(sketches.toDF("m", "sm"), "m")
+        pairs = stored(drawn.where(~unlike("sc", "sm", similarity, margin)).select("c", "m"))
+    sizes, total = counted(pairs, "c", pairs.select("c").distinct())
+    salts = F.least(F.ceil(F.col("n") / GROUP), F.lit(SALTS)).cast("int")
+    sizes = stored(sizes.withColumn("salts", salts))
+    likely = hot_join(pairs, sizes, "c", "n", total, "m").select("c", "m", F.pmod(F.xxhash64("m"), F.col("salts")).cast("int").alias("g"))
+    ends = pairs.select(F.col("c").alias("id")).unionByName(pairs.select(F.col("m").alias("id")))
     bodies = few(texts(docs), ends, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    asked = likely.select(F.col("a").alias("doc_id"), "a", "b").unionByName(likely.select(F.col("b").alias("doc_id"), "a", "b"))
-    sides = asked.join(bodies, "doc_id")
+    asked = likely.select(F.col("m").alias("doc_id"), "c", F.col("m"), F.array("g").alias("gs"))
+    asked = asked.unionByName(sizes.select(F.col("c").alias("doc_id"), "c", F.lit(None).cast("long").alias("m"), F.sequence(F.lit(0), F.col("salts") - 1).alias("gs")))
+    sides = asked.join(bodies, "doc_id").select("c", F.explode("gs").alias("g"), "m", "text")
 
-    def bagged(batches: Iterator) -> Iterator:
-        known, last = Hashes(), (None, b"")
+    def tested(batches: Iterator) -> Iterator:
+        known, at, bag = Hashes(), None, None
         for pdf in batches:
             out = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                if doc != last[0]:
-                    found = WORD.findall(text.lower())
-                    last = (doc, shingles(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)), width).tobytes())
-                out.append(last[1])
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "bag": out})
+            for c, m, text in zip(pdf["c"].tolist(), pdf["m"].tolist(), pdf["text"], strict=True):
+                found = WORD.findall(text.lower())
+                mine = shingles(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)), width)
+                if m is None or m != m:  # a centre comes before its members
+                    at, bag = c, mine
+                elif at == c and overlap(bag, mine) >= similarity - 1e-12:
+                    out.append((c, int(m)))
+            yield pd.DataFrame(out, columns=["c", "m"])
+
+    # members come as text: m would lose digits as a floating-point number beside nulls
+    sides = sides.withColumn("m", F.col("m").cast("string"))
+    return stored(sides.repartition("c", "g").sortWithinPartitions("c", "g", F.col("m").asc_nulls_first()).mapInPandas(tested, "c long, m long"))
 
-    def tested(batches: Iterator) -> Iterator:
-        for pdf in batches:
-            ok = [overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity - 1e-12 for x, y in zip(pdf["x"], pdf["y"], strict=True)]
-            yield pdf.loc[ok, ["a", "b"]]
 
-    bags = sides.mapInPandas(bagged, "a long, b long, bag binary").groupBy("a", "b").agg(F.min("bag").alias("x"), F.max("bag").alias("y"))
-    return stored(bags.mapInPandas(tested, "a long, b long"))
+def _by(pairs: DataFrame, key: str, table: DataFrame) -> tuple[DataFrame, str, str, int]:
+    """The arguments of hot_join that bring table's rows to pairs by key."""
+    found, total = counted(pairs, key, table)
+    return found, key, "n", total
 
 
-def component_of(rows: DataFrame, found: DataFrame, node: str, name: str) -> DataFrame:
+def component_of(rows: DataFrame, found: DataFrame, node: str, name: str, salt: str) -> DataFrame:
     """rows with the component of the column node (itself, if it has no link)."""
-    return rows.join(found.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+    where = found.select(F.col("node").alias(node), F.col("component").alias(name))
+    return hot_join(rows, *_by(rows, node, where), salt).drop("n").withColumn(name, F.coalesce(name, node))
+
 
+def edges(links: DataFrame) -> DataFrame:
+    return links.select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
 
-def linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, links: DataFrame, found: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+
+def linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, links: DataFrame, found: DataFrame, width: int, similarity: float, margin: float | None) -> tuple[DataFrame, DataFrame]:
     """Links and components after the pairs between different components are verified as well."""
-    apart = component_of(component_of(pairs, found, "a", "ca"), found, "b", "cb").where("ca <> cb").select("a", "b")
-    more = verified(docs, reps, apart, width, similarity)
+    apart = component_of(component_of(pairs, found, "c", "cc", "m"), found, "m", "cm", "c").where("cc <> cm").select("c", "m")
+    more = verified(docs, reps, apart, width, similarity, margin)
     if more.isEmpty():
         return links, found
     links = stored(links.unionByName(more))
-    return links, stored(components(links))
+    return links, stored(components(edges(links)))
 
 
-def crossing(reps: DataFrame, placed: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of a bucket in different components, neither being its centre, whose bits agree well enough."""
-    at = component_of(placed.select("doc_id", "k", "top"), found, "doc_id", "component")
+def crossing(reps: DataFrame, placed: DataFrame, found: DataFrame, similarity: float, margin: float | None) -> DataFrame:
+    """Pairs of a bucket in different components, neither being its centre, whose sketches agree well enough; a member of many such pairs is their centre."""
+    at = component_of(placed.select("doc_id", "k", "top"), found, "doc_id", "component", "k")
+    at = stored(at)
     split = stored(at.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("k"))
-    apart = at.where("doc_id <> top.v").join(split, "k", "left_semi").join(reps.select("doc_id", "bits"), "doc_id")
-    side = lambda s: apart.select("k", F.col("doc_id").alias(s), F.col("component").alias(f"c{s}"), *[F.get("bits", F.lit(i)).alias(f"{s}{i}") for i in range(REGISTERS // 64)])
-    agree = (1 + similarity) / 2
-    most = int(REGISTERS * (1 - agree + MARGIN * np.sqrt(agree * (1 - agree) / REGISTERS)))
-    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(REGISTERS // 64)), F.lit(0))
-    x, y = side("a"), side("b").withColumnRenamed("k", "kb")
-    met = x.join(y, (F.col("k") == F.col("kb")) & (F.col("ca") < F.col("cb")) & (differ <= most))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    apart = at.where("doc_id <> top.v").join(split, "k", "left_semi").join(reps.select("doc_id", "sketch"), "doc_id")
+    side = lambda s: apart.select("k", F.col("doc_id").alias(s), F.col("component").alias(f"c{s}"), F.col("sketch").alias(f"s{s}"))
+    met = (F.col("k") == F.col("kb")) & (F.col("ca") < F.col("cb"))
+    if margin is not None:
+        met = met & ~unlike("sa", "sb", similarity, margin)
+    pairs = stored(side("a").join(side("b").withColumnRenamed("k", "kb"), met).select("a", "b").distinct())
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    often = stored(both.groupBy("a").agg(F.count(F.lit(1)).alias("w")))
+    pairs = hot_join(pairs, *_by(pairs, "a", often.withColumnRenamed("w", "wa")), "b").drop("n")
+    pairs = hot_join(pairs, *_by(pairs, "b", often.select(F.col("a").alias("b"), F.col("w").alias("wb"))), "a")
+    first = F.struct("wa", "a") >= F.struct("wb", "b")
+    return pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("c"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("m"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, margin: float | None = 5.0) -> DataFrame:
     """Per document: doc_id, class_id (its class's smallest doc_id), near_id (its group's), near_size (documents of the group), kept."""
     rows = stored(signed(docs, width))
     total = rows.count()
     classes = stored(rows.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     members = stored(hot_join(rows.select("doc_id", "cls"), classes, "cls", "n", total, "doc_id").select("doc_id", "rep"))
-    reps = stored(rows.join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"], "left_semi").select("doc_id", "bands", "sketch", "bits"))
+    reps = stored(rows.join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"], "left_semi").select("doc_id", "bands", "sketch"))
     each = reps.select("doc_id", F.explode("bands").alias("k"))
     buckets = stored(each.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     placed = stored(hot_join(each, buckets, "k", "n", total * BANDS, "doc_id").where("n > 1"))
@@ -246,13 +285,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     top = F.max(F.struct("weight", F.xxhash64("doc_id").alias("r"), F.col("doc_id").alias("v")))
     centres = stored(placed.groupBy("k").agg(top.alias("top"), F.count(F.lit(1)).alias("n")))
     placed = stored(hot_join(placed.drop("n"), centres, "k", "n", shared, "doc_id"))
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     stars = placed.where("doc_id <> top.v")
-    best = stars.groupBy("doc_id").agg(F.max("top").alias("top")).select(*pair("doc_id", F.col("top.v"))).distinct()
-    links = verified(docs, reps, best, width, similarity)
-    found = stored(components(links))
-    links, found = linked(docs, reps, stars.select(*pair("doc_id", F.col("top.v"))).distinct(), links, found, width, similarity)
-    links, found = linked(docs, reps, crossing(reps, placed, found, similarity), links, found, width, similarity)
+    best = stars.groupBy("doc_id").agg(F.max("top").alias("top")).select(F.col("top.v").alias("c"), F.col("doc_id").alias("m"))
+    links = verified(docs, reps, best, width, similarity, margin)
+    found = stored(components(edges(links)))
+    links, found = linked(docs, reps, stars.select(F.col("top.v").alias("c"), F.col("doc_id").alias("m")).distinct(), links, found, width, similarity, margin)
+    links, found = linked(docs, reps, crossing(reps, placed, found, similarity, margin), links, found, width, similarity, margin)
     groups = members.withColumnRenamed("rep", "node").groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(found, "node", "left").withColumn("near_id", F.coalesce("component", "node"))
     sizes = groups.groupBy("near_id").agg(F.sum("n").alias("near_size"), F.count(F.lit(1)).alias("classes"))
     groups = stored(hot_join(stored(groups), stored(sizes), "near_id", "classes", total, "node").select(F.col("node").alias("rep"), "n", "near_id", "near_size"))
