@@ -9,22 +9,29 @@ from .common import hot_join, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest node) of every node of edges (a long, b long).
+    """node and component (its smallest node) of every node of edges (a long, b long; wa and wb, if there, are their weights).
 
-    In each round every node moves to the neighbour (or itself) that comes first in a random order of that round,
+    In each round every node moves to the neighbour (or itself) that comes first in an order of that round: in the first that
+    of the weights, so that stars around heavy nodes collapse at once, then a random one,
     which removes a constant share of the nodes on average, whatever the graph's shape; hubs are joined as hot keys.
     """
-    edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    weights = [c for c in ("wa", "wb") if c in edges.columns]
+    first = F.col("a") < F.col("b")
+    sides = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    if weights:
+        sides += [F.when(first, F.col("wa")).otherwise(F.col("wb")).alias("wa"), F.when(first, F.col("wb")).otherwise(F.col("wa")).alias("wb")]
+    edges = edges.where("a <> b").select(*sides)
+    edges = stored(edges.groupBy("a", "b").agg(*[F.max(w).alias(w) for w in weights]) if weights else edges.distinct())
     moves: list[DataFrame] = []
     k = 0
     while (total := edges.count()) > 0:
         k += 1
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c, k=k: F.struct(F.xxhash64(F.lit(k), c).alias("r"), F.col(c).alias("v"))
-        best = both.groupBy("a").agg(F.min(rank("b")).alias("m"), F.count(F.lit(1)).alias("n"))
-        move = stored(best.select(F.col("a").alias("node"), F.least(F.col("m"), rank("a"))["v"].alias("to"), "n"))
+        rank = lambda c, w, k=k: F.struct((-F.col(w) if w in weights and k == 1 else F.lit(0)).cast("long").alias("w"), F.xxhash64(F.lit(k), c).alias("r"), F.col(c).alias("v"))
+        both = edges.select(F.col("a").alias("node"), rank("b", "wb").alias("m"), rank("a", "wa").alias("own")).unionByName(edges.select(F.col("b").alias("node"), rank("a", "wa").alias("m"), rank("b", "wb").alias("own")))
+        best = both.groupBy("node").agg(F.least(F.min("m"), F.min("own")).alias("m"), F.count(F.lit(1)).alias("n"))
+        move = stored(best.select("node", F.col("m.v").alias("to"), "n"))
         moves.append(move)
-        e = hot_join(edges.withColumnRenamed("a", "node"), move, "node", "n", total, "b").select(F.col("to").alias("a"), "b")
+        e = hot_join(edges.select(F.col("a").alias("node"), "b"), move, "node", "n", total, "b").select(F.col("to").alias("a"), "b")
         e = hot_join(e.withColumnRenamed("b", "node"), move, "node", "n", total, "a").select("a", F.col("to").alias("b"))
         edges = stored(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not moves:

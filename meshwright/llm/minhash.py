@@ -8,9 +8,9 @@ up to the time by which all registers are filled.
 
 Texts with the same words form a class, and one member stands for it.  Signatures are cut into bands; classes that agree in
 a band share a bucket.  The centre of a bucket is the member that shares the most buckets' places with others (in a group of
-copies that is the original or the copy nearest to it).  First every class is verified against the best of its centres, then
-against the others, then the pairs of a bucket whose ends are still in different components are verified too.  Ends that are linked already are not compared again, so large groups of copies cost about one comparison a member, and no candidate pair stays
-unchecked otherwise.  Verification counts the overlap of the multisets exactly, next to the centre, whose text goes once to each of
+copies that is the original or the copy nearest to it).  Every class is verified against the centres of its buckets (at most as many as bands,
+mostly one), then the pairs of a bucket whose ends are still in different components are verified too.  Ends that are linked already are not compared
+again, so large groups of copies cost a few comparisons a member, and no candidate pair stays unchecked otherwise.  Verification counts the overlap of the multisets exactly, next to the centre, whose text goes once to each of
 its tasks.  Pairs whose sketches (four bits a register) are ``margin`` standard deviations or more below the similarity skip it;
 with ``margin=None`` none does.  A pair of that similarity is lost with a probability of 6e-5 to the bands, and 3e-7 to a margin of five.
 
@@ -30,6 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import few, hot_join, stored, texts
 from .components import components
@@ -189,39 +190,37 @@ def counted(pairs: DataFrame, key: str, table: DataFrame) -> tuple[DataFrame, in
 
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, similarity: float, margin: float | None) -> DataFrame:
-    """The pairs (c: a centre, m: a member) whose multisets are at least so similar."""
-    pairs = stored(pairs.distinct())
+    """The pairs (c: a centre, m: a member; each once, with their weights wa and wb) whose multisets are at least so similar."""
+    pairs = stored(pairs)
+    sketches = reps.select(F.col("doc_id").alias("c"), F.col("sketch").alias("sc"))
+    centres, key, size, total = _by(pairs, "c", sketches)
+    centres = centres.withColumn("salts", F.least(F.ceil(F.col("n") / GROUP), F.lit(SALTS)).cast("int"))
+    drawn = hot_join(pairs, centres, key, size, total, "m").withColumn("g", F.pmod(F.xxhash64("m"), F.col("salts")).cast("int"))
     if margin is not None:
-        sketches = reps.select(F.col("doc_id").alias("c"), F.col("sketch").alias("sc"))
-        drawn = hot_join(pairs, *_by(pairs, "c", sketches), "m").drop("n")
-        drawn = drawn.join(sketches.toDF("m", "sm"), "m")
-        pairs = stored(drawn.where(~unlike("sc", "sm", similarity, margin)).select("c", "m"))
-    sizes, total = counted(pairs, "c", pairs.select("c").distinct())
-    salts = F.least(F.ceil(F.col("n") / GROUP), F.lit(SALTS)).cast("int")
-    sizes = stored(sizes.withColumn("salts", salts))
-    likely = hot_join(pairs, sizes, "c", "n", total, "m").select("c", "m", F.pmod(F.xxhash64("m"), F.col("salts")).cast("int").alias("g"))
-    ends = pairs.select(F.col("c").alias("id")).unionByName(pairs.select(F.col("m").alias("id")))
+        drawn = drawn.join(sketches.toDF("m", "sm"), "m").where(~unlike("sc", "sm", similarity, margin))
+    likely = stored(drawn.select("c", "m", "wa", "wb", "g", "salts"))
+    sizes = likely.groupBy("c").agg(F.max("salts").alias("salts"))
+    ends = likely.select(F.col("c").alias("id")).unionByName(likely.select(F.col("m").alias("id")))
     bodies = few(texts(docs), ends, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    asked = likely.select(F.col("m").alias("doc_id"), "c", F.col("m"), F.array("g").alias("gs"))
-    asked = asked.unionByName(sizes.select(F.col("c").alias("doc_id"), "c", F.lit(None).cast("long").alias("m"), F.sequence(F.lit(0), F.col("salts") - 1).alias("gs")))
-    sides = asked.join(bodies, "doc_id").select("c", F.explode("gs").alias("g"), "m", "text")
+    # a centre comes before its members; its text goes to each of its tasks
+    asked = likely.select(F.col("m").alias("doc_id"), "c", F.lit(True).alias("member"), F.array("g").alias("gs"), "wa", "wb")
+    asked = asked.unionByName(sizes.select(F.col("c").alias("doc_id"), "c", F.lit(False).alias("member"), F.sequence(F.lit(0), F.col("salts") - 1).alias("gs"), F.lit(0).cast("long").alias("wa"), F.lit(0).cast("long").alias("wb")))
+    sides = asked.join(bodies, "doc_id").select("c", F.explode("gs").alias("g"), "member", F.col("doc_id").alias("m"), "wa", "wb", "text")
 
     def tested(batches: Iterator) -> Iterator:
         known, at, bag = Hashes(), None, None
         for pdf in batches:
             out = []
-            for c, m, text in zip(pdf["c"].tolist(), pdf["m"].tolist(), pdf["text"], strict=True):
-                found = WORD.findall(text.lower())
+            for row in pdf.itertuples(index=False):
+                found = WORD.findall(row.text.lower())
                 mine = shingles(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)), width)
-                if m is None or m != m:  # a centre comes before its members
-                    at, bag = c, mine
-                elif at == c and overlap(bag, mine) >= similarity - 1e-12:
-                    out.append((c, int(m)))
-            yield pd.DataFrame(out, columns=["c", "m"])
+                if not row.member:
+                    at, bag = row.c, mine
+                elif at == row.c and overlap(bag, mine) >= similarity - 1e-12:
+                    out.append((row.c, row.m, row.wa, row.wb))
+            yield pd.DataFrame(out, columns=["c", "m", "wa", "wb"])
 
-    # members come as text: m would lose digits as a floating-point number beside nulls
-    sides = sides.withColumn("m", F.col("m").cast("string"))
-    return stored(sides.repartition("c", "g").sortWithinPartitions("c", "g", F.col("m").asc_nulls_first()).mapInPandas(tested, "c long, m long"))
+    return stored(sides.repartition("c", "g").sortWithinPartitions("c", "g", "member").mapInPandas(tested, "c long, m long, wa long, wb long"))
 
 
 def _by(pairs: DataFrame, key: str, table: DataFrame) -> tuple[DataFrame, str, str, int]:
@@ -236,20 +235,6 @@ def component_of(rows: DataFrame, found: DataFrame, node: str, name: str, salt:
     return hot_join(rows, *_by(rows, node, where), salt).drop("n").withColumn(name, F.coalesce(name, node))
 
 
-def edges(links: DataFrame) -> DataFrame:
-    return links.select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
-
-
-def linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, links: DataFrame, found: DataFrame, width: int, similarity: float, margin: float | None) -> tuple[DataFrame, DataFrame]:
-    """Links and components after the pairs between different components are verified as well."""
-    apart = component_of(component_of(pairs, found, "c", "cc", "m"), found, "m", "cm", "c").where("cc <> cm").select("c", "m")
-    more = verified(docs, reps, apart, width, similarity, margin)
-    if more.isEmpty():
-        return links, found
-    links = stored(links.unionByName(more))
-    return links, stored(components(edges(links)))
-
-
 def crossing(reps: DataFrame, placed: DataFrame, found: DataFrame, similarity: float, margin: float | None) -> DataFrame:
     """Pairs of a bucket in different components, neither being its centre, whose sketches agree well enough; a member of many such pairs is their centre."""
     at = component_of(placed.select("doc_id", "k", "top"), found, "doc_id", "component", "k")
@@ -266,7 +251,7 @@ def crossing(reps: DataFrame, placed: DataFrame, found: DataFrame, similarity: f
     pairs = hot_join(pairs, *_by(pairs, "a", often.withColumnRenamed("w", "wa")), "b").drop("n")
     pairs = hot_join(pairs, *_by(pairs, "b", often.select(F.col("a").alias("b"), F.col("w").alias("wb"))), "a")
     first = F.struct("wa", "a") >= F.struct("wb", "b")
-    return pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("c"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("m"))
+    return pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("c"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("m"), F.greatest("wa", "wb").alias("wa"), F.least("wa", "wb").alias("wb"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, margin: float | None = 5.0) -> DataFrame:
@@ -280,17 +265,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ma
     buckets = stored(each.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     placed = stored(hot_join(each, buckets, "k", "n", total * BANDS, "doc_id").where("n > 1"))
     shared = placed.count()
-    weights = stored(placed.groupBy("doc_id").agg(F.sum("n").alias("weight")))
-    placed = stored(placed.join(weights, "doc_id"))
+    placed = stored(placed.withColumn("weight", F.sum("n").over(Window.partitionBy("doc_id"))))  # at most one row a band
     top = F.max(F.struct("weight", F.xxhash64("doc_id").alias("r"), F.col("doc_id").alias("v")))
     centres = stored(placed.groupBy("k").agg(top.alias("top"), F.count(F.lit(1)).alias("n")))
     placed = stored(hot_join(placed.drop("n"), centres, "k", "n", shared, "doc_id"))
-    stars = placed.where("doc_id <> top.v")
-    best = stars.groupBy("doc_id").agg(F.max("top").alias("top")).select(F.col("top.v").alias("c"), F.col("doc_id").alias("m"))
-    links = verified(docs, reps, best, width, similarity, margin)
-    found = stored(components(edges(links)))
-    links, found = linked(docs, reps, stars.select(F.col("top.v").alias("c"), F.col("doc_id").alias("m")).distinct(), links, found, width, similarity, margin)
-    links, found = linked(docs, reps, crossing(reps, placed, found, similarity, margin), links, found, width, similarity, margin)
+    stars = placed.where("doc_id <> top.v").select(F.col("top.v").alias("c"), F.col("doc_id").alias("m"), F.col("top.weight").alias("wa"), F.col("weight").alias("wb"))
+    links = verified(docs, reps, stars.distinct(), width, similarity, margin)
+    found = stored(components(links.withColumnsRenamed({"c": "a", "m": "b"})))
+    apart = stored(crossing(reps, placed, found, similarity, margin))
+    if not apart.isEmpty():
+        links = links.unionByName(verified(docs, reps, apart, width, similarity, margin))
+        found = stored(components(links.withColumnsRenamed({"c": "a", "m": "b"})))
     groups = members.withColumnRenamed("rep", "node").groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(found, "node", "left").withColumn("near_id", F.coalesce("component", "node"))
     sizes = groups.groupBy("near_id").agg(F.sum("n").alias("near_size"), F.count(F.lit(1)).alias("classes"))
     groups = stored(hot_join(stored(groups), stored(sizes), "near_id", "classes", total, "node").select(F.col("node").alias("rep"), "n", "near_id", "near_size"))
