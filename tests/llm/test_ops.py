@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meshwright.llm import exact_dedup, fingerprint, minhash, packing, pii, sentencepiece_codec, suffix_dedup, toxicity, url_filter, warc
 
@@ -261,9 +262,32 @@ def test_pii(spark, docs, none):
 
 
 def test_reliabilities_prefer_agreement():
-    patterns = [((0, 1, 1, 1), 50), ((0, 1, 1, 0), 40), ((0, 0, 0, 0), 60), ((0, 0, 1, 1), 3)]
+    patterns = [((0, 2, 1, 1, 0, 0), 50), ((0, 2, 1, 0, 0, 0), 40), ((0, 0, 0, 0, 0, 0), 60), ((0, 0, 1, 1, 0, 0), 3)]
     post = pii.reliabilities(patterns)
-    assert post[0, 1, 1, 1] > post[0, 1, 1, 0] > post[0, 0, 0, 0]
+    assert post[0, 2, 1, 1, 0, 0] > post[0, 2, 1, 0, 0, 0] > post[0, 0, 0, 0, 0, 0]
+
+
+def test_pii_adds_what_strict_patterns_lose(spark):
+    plain = [(f"{'call' if i % 4 == 0 else 'und'} +1 ({200 + i}) 555-{4000 + i} or 10.1.{i}.7", None) for i in range(60)] + [(f"no {i} 4111111111111111", None) for i in range(30)]
+    lost = [("+1 (826) 555-4081 190.137.223.204 du", "phone:0:17"), ("a +1### (826)*** 555-4081%%% b", "phone:2:25"), ("x 4539148803436467 4111111111111111 y", "card:2:18,card:19:35"),
+            ('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" z', "secret:9:49"), ("mot de passe: 5f2b8c1d9e3a7f604b1c2d3e4f5a6b7c8d9e0f1a", "secret:14:54")]
+    clean = ["order 4539148803436468 of 2024", "see 12 345 678 9012 there", "the supercalifragilisticexpialidocious", "v1.2.3.999 and 1-2-3", "", None]
+    rows = [t for t, _ in plain + lost] + clean
+    # names that clash with what the operator needs, an id without a value, and repeated rows
+    docs = spark.createDataFrame([(None if i == 3 else i // 2, t, 7, "s", [1], "m") for i, t in enumerate(rows + rows[:2])], "doc_id long, text string, n_chars int, spans string, _s array<int>, _m string")
+    got = {r.text: r.spans for r in docs.select("text").distinct().withColumn("doc_id", F.xxhash64("text")).transform(lambda d: pii.spans(d).join(d, "doc_id", "left")).collect() if r.text}
+    words = lambda s: ",".join(f"{pii.KINDS[x.kind]}:{x.start}:{x.end}" for x in s)
+    for t, want in lost:
+        found = words(got[t])
+        assert set(want.split(",")) <= set(found.split(",")), (t, found)
+        assert set(filter(None, base_spans(t).split(","))) <= set(found.split(","))
+    for t in clean[:4]:
+        assert words(got[t]) == base_spans(t), t
+    kept = pii.masked(docs)
+    assert kept.columns == docs.columns and kept.count() == len(rows) + 2
+    out = Counter(r.text for r in kept.collect())
+    assert out["call <PHONE> or <IP>"] + out["und <PHONE> or <IP>"] == 62 and out['token = "<SECRET>" z'] == 1 and out[None] == 1 and out["<PHONE> <IP> du"] == 1
+    assert {(r.n_chars == 7) for r in kept.where("text like 'order%'").collect()} == {True}
 
 
 def test_warc(spark, tmp_path):
