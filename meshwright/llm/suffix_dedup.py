@@ -1,19 +1,20 @@
-"""Operator 9: repeated byte strings by buckets of sampled suffixes, told apart by digests instead of by rounds of refinement.
+"""Operator 9: repeated byte strings by bucket refinement of sampled suffixes.
 
 Every string of ``length`` bytes holds an anchor: the leftmost position whose q-gram hash is least.  Equal strings have their
-anchor at the same place, so only suffixes at anchors are grouped (about one in eighty); none is sorted.  Initial buckets are the anchors'
-q-grams; buckets of one suffix are done.  The others are refined by the identifier of the bucket that all offsets
-around the anchor fall in (the bytes of all strings that belong to the anchor): where a whole bucket, or a class of it, agrees
-there, all its strings repeat.  Classes that stand alone in a bucket with several are refined once more, with one
-representative each, string by string, however many strings that are.  Identifiers are digests, so they name the same bucket
-everywhere; there are no rounds that refine buckets by those of later offsets.
+anchor at the same place, so only suffixes at anchors are put into buckets (about one in eighty).  Initial buckets are the anchors'
+q-grams; buckets of one suffix are done.  In the next step an anchor's bucket is that of all bytes of the strings around it: where a whole bucket,
+or a class of it, agrees, all its strings repeat.  Buckets with several classes are refined in rounds, with one representative of each class.  A round
+looks at stretches of starts at the same offsets from the anchor, first of 64 starts, then of a quarter each time.  All strings of a stretch share its core; suffixes are
+put into the buckets of their cores, and those that are alone there have no repeat in that stretch and leave.  Suffixes that agree on all bytes
+of the stretch repeat with all its strings.  The others go on to the next round, whose cores are longer, so its buckets refine those before.  No string is written for each start, and the last
+word is always a comparison of bytes.
 
-Every join back goes by counts: hot identifiers are joined by broadcast, no group meets in one task, and no
-pairs are formed.
+Identifiers are digests, so they name the same bucket everywhere and nothing has to be ranked by a sort over all suffixes.  Every join back goes by
+counts: hot identifiers are joined by broadcast, no group meets in one task, and no pairs are formed.
 
 Defined results: null text is empty; texts shorter than ``length`` bytes lose nothing; repeated rows are occurrences of
-their strings like any others, so long ones lose all; so are rows without a doc_id, which stay without one; overlapping occurrences in one document count; empty tables give an empty result;
-extra columns are not read.
+their strings like any others, so long ones lose all; so are rows without a doc_id, which stay without one; overlapping occurrences in one document count; a very long text is
+hashed whole by one task, in memory of some 60 times its bytes; empty tables give an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -60,14 +61,15 @@ class Sampler:
         h *= np.uint64(0x94D049BB133111EB)
         return h ^ (h >> np.uint64(31))
 
-    def anchors(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and last start of the strings of each anchor, and the anchor's q-gram hash."""
+    def anchors(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and last start of the strings of each anchor, the anchor's place after the last start, and its q-gram hash."""
         g = self.grams(np.frombuffer(data, np.uint8))
         low = (g >> np.uint64(32)).astype(np.uint32)
         w = self.length - self.q + 1
         at = least_places(low, w)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        return first, np.append(first[1:], len(at)) - 1, g[at[first]]
+        last = np.append(first[1:], len(at)) - 1
+        return first, last, at[first] - last, g[at[first]]
 
 
 def least_places(x: np.ndarray, w: int) -> np.ndarray:
@@ -92,7 +94,7 @@ def name_of(data: bytes) -> int:
 
 
 def sampled(docs: DataFrame, length: int, q: int) -> DataFrame:
-    """doc_id, v (its text's name) and arrays lo, hi, g, c of each document that has strings of that length."""
+    """doc_id, v (its text's name) and arrays lo, hi, ahead, g, c of each document that has strings of that length."""
 
     def made(batches: Iterator) -> Iterator:
         sampler, top = Sampler(length, q), 1 << 63
@@ -101,48 +103,84 @@ def sampled(docs: DataFrame, length: int, q: int) -> DataFrame:
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 data = bytes_of(text)
                 if len(data) >= length:
-                    lo, hi, g = sampler.anchors(data)
+                    lo, hi, ahead, g = sampler.anchors(data)
                     view = memoryview(data)
                     c = [xxhash.xxh3_64_intdigest(view[a:b]) - top for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)]
-                    out.append((doc, name_of(data), lo.astype(np.int32), hi.astype(np.int32), g.view(np.int64), c))
-            yield pd.DataFrame(out, columns=["doc_id", "v", "lo", "hi", "g", "c"])
+                    out.append((doc, name_of(data), lo.astype(np.int32), hi.astype(np.int32), ahead.astype(np.int16), g.view(np.int64), c))
+            yield pd.DataFrame(out, columns=["doc_id", "v", "lo", "hi", "ahead", "g", "c"])
 
-    return texts(docs).mapInPandas(made, "doc_id long, v long, lo array<int>, hi array<int>, g array<long>, c array<long>")
+    return texts(docs).mapInPandas(made, "doc_id long, v long, lo array<int>, hi array<int>, ahead array<short>, g array<long>, c array<long>")
 
 
 def repeated(docs: DataFrame, length: int = 200, q: int = 48) -> DataFrame:
     """doc_id, v, lo, hi: ranges of starts whose strings of that length also start elsewhere."""
     rows = stored(sampled(docs, length, q))
-    each = rows.select("doc_id", "v", F.inline(F.arrays_zip("lo", "hi", "g", "c")))
+    each = rows.select("doc_id", "v", F.inline(F.arrays_zip("lo", "hi", "ahead", "g", "c")))
     total = rows.agg(F.coalesce(F.sum(F.size("g")), F.lit(0))).first()[0]
     buckets = each.groupBy("g").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1")
-    near = stored(hot_join(each, stored(buckets), "g", "n", total, "doc_id").where("n > 1").withColumn("k", F.when(F.col("mixed"), F.xxhash64("g", "c"))).drop("n"))
-    mixed = near.where("mixed")
-    classes = stored(mixed.groupBy("k", "g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "v", "lo", "hi")).alias("rep")))
-    known = hot_join(mixed.select("doc_id", "v", "lo", "hi", "k"), classes.where("n > 1").groupBy("k").agg(F.sum("n").alias("n")), "k", "n", total, "doc_id").where("n > 1")
+    near = stored(hot_join(each, stored(buckets), "g", "n", total, "doc_id").where("n > 1").drop("n"))
+    mixed = near.where("mixed").withColumn("k", F.struct(F.col("g").alias("a"), F.col("c").alias("b")))
+    classes = stored(mixed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "v", "lo", "hi", "ahead")).alias("rep")))
+    known = hot_join(mixed.select("doc_id", "v", "lo", "hi", "k"), classes.where("n > 1").select("k", "n"), "k", "n", mixed.count(), "doc_id").where("n > 1")
     whole = near.where("not mixed").select("doc_id", "v", "lo", "hi").unionByName(known.select("doc_id", "v", "lo", "hi"))
-    # the representatives' strings one by one
-    asked = classes.groupBy("rep.doc_id", "rep.v").agg(F.collect_list(F.struct("rep.lo", "rep.hi", (F.col("n") > 1).alias("done"))).alias("ranges"))
+    return whole.unionByName(refined(bodies(docs, classes, length), length, q))
+
+
+def bodies(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
+    """doc_id, v, lo, hi, ahead, done (others have the same strings) and bytes (of all strings) of each class's representative."""
+    asked = classes.groupBy("rep.doc_id", "rep.v").agg(F.collect_list(F.struct("rep.lo", "rep.hi", "rep.ahead", (F.col("n") > 1).alias("done"))).alias("ranges"))
     asked = stored(asked)
-    bodies = few(texts(docs), asked.select(F.col("doc_id").alias("id")), "doc_id").join(asked, "doc_id")
+    found = few(texts(docs), asked.select(F.col("doc_id").alias("id")), "doc_id").join(asked, "doc_id")
+    names = ["doc_id", "v", "lo", "hi", "ahead", "done", "bytes"]
 
-    def strings(batches: Iterator) -> Iterator:
+    def cut_out(batches: Iterator) -> Iterator:
         for pdf in batches:
             out = []
             for doc, v, text, ranges in zip(pdf["doc_id"], pdf["v"], pdf["text"], pdf["ranges"], strict=True):
                 data = bytes_of(text)
-                if name_of(data) != v:
-                    continue
-                view = memoryview(data)
-                for r in ranges:
-                    out += [(doc, v, p, r["done"], xxhash.xxh3_128_digest(view[p : p + length])) for p in range(r["lo"], r["hi"] + 1)]
-            yield pd.DataFrame(out, columns=["doc_id", "v", "p", "done", "s"])
-
-    # rows that repeat a representative's doc_id and text give the same strings again: once is enough; other texts of that doc_id fail by name
-    found = stored(bodies.withColumn("sha", F.sha2("text", 256)).dropDuplicates(["doc_id", "v", "sha"]).mapInPandas(strings, "doc_id long, v long, p int, done boolean, s binary"))
-    twice = stored(found.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    ones = hot_join(found.where("not done").drop("done"), twice, "s", "n", total, "p").where("n > 1")
-    return whole.unionByName(ones.select("doc_id", "v", F.col("p").alias("lo"), F.col("p").alias("hi")))
+                if name_of(data) == v:
+                    out += [(doc, v, r["lo"], r["hi"], r["ahead"], r["done"], data[r["lo"] : r["hi"] + length]) for r in ranges]
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
+
+    # rows that repeat a representative's doc_id and text give the same bytes again: once is enough; other texts of that doc_id fail by name
+    rows = found.mapInPandas(cut_out, "doc_id long, v long, lo int, hi int, ahead short, done boolean, bytes binary")
+    return stored(rows.dropDuplicates(["doc_id", "v", "lo"]))
+
+
+def refined(reps: DataFrame, length: int, q: int) -> DataFrame:
+    """doc_id, v, lo, hi: ranges of the representatives' starts (of classes that are not done) whose strings another representative has too."""
+    last = length - q
+    size = 1
+    while size * 8 <= length:
+        size *= 4
+    # offsets of starts count from last bytes before the anchor, which is hi + ahead
+    first = F.col("lo") - F.col("hi") - F.col("ahead") + last
+    cur = reps.select("doc_id", "v", "lo", "done", "bytes", first.alias("i"), (F.lit(last) - F.col("ahead")).alias("j"))
+    cur = cur.withColumn("s", F.explode(F.array(*[F.lit(x) for x in range(0, last + 1, size)])))
+    out = None
+    while True:
+        cur = cur.withColumn("e", F.least(F.col("s") + size - 1, F.lit(last))).where("e >= i and s <= j")
+        core = F.substring(F.col("bytes"), F.col("e") - F.col("i") + 1, F.col("s") + length - F.col("e"))
+        cur = cur.withColumn("k", F.xxhash64("s", core))
+        found = stored(cur.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("done")).alias("open")).where("n > 1"))
+        total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        cur = stored(hot_join(cur, found.where("open > 0"), "k", "n", total, "lo").where("n > 1").drop("k", "n", "open"))
+        full = (F.col("i") <= F.col("s")) & (F.col("e") <= F.col("j"))
+        hull = F.substring(F.col("bytes"), F.col("s") - F.col("i") + 1, F.col("e") - F.col("s") + length)
+        whole = cur.where(full).withColumn("hull", hull)
+        twice = stored(whole.groupBy("hull").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        whole = hot_join(whole, twice, "hull", "n", cur.count(), "lo").withColumn("hit", F.col("n").isNotNull()).drop("hull", "n")
+        cur = stored(whole.unionByName(cur.where(~full).withColumn("hit", F.lit(False))))
+        at = F.col("lo") - F.col("i")
+        hits = cur.where("hit and not done").select("doc_id", "v", (at + F.col("s")).alias("lo"), (at + F.col("e")).alias("hi"))
+        out = hits if out is None else out.unionByName(hits)
+        if size == 1:
+            return out
+        size //= 4
+        cur = cur.select("doc_id", "v", "lo", (F.col("done") | F.col("hit")).alias("done"), "bytes", "i", "j", F.explode(F.sequence(F.col("s"), F.col("e"), F.lit(size))).alias("s"))
 
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, _given boolean"
