@@ -9,8 +9,9 @@ up to the time by which all registers are filled.
 Texts with the same words form a class, and one member stands for it.  Signatures are cut into bands; classes that agree in
 a band share a bucket.  The centre of a bucket is the member that shares the most buckets' places with others (in a group of
 copies that is the original or the copy nearest to it).  Every class is verified against the centres of its buckets (at most as many as bands,
-mostly one), then the pairs of a bucket whose ends are still in different components are verified too.  Ends that are linked already are not compared
-again, so large groups of copies cost a few comparisons a member, and no candidate pair stays unchecked otherwise.  Verification counts the overlap of the multisets exactly, next to the centre, whose text goes once to each of
+mostly one).  Where members of a centre are in other components than it, they are then compared with all its members of different components, in blocks of
+bounded size: sketches first, multisets where sketches allow.  Every pair that shares a bucket shares its centre, so no candidate pair stays
+unchecked; no pair is written but those that link two components.  Verification counts the overlap of the multisets exactly, next to the centre, whose text goes once to each of
 its tasks.  Pairs whose sketches (four bits a register) are ``margin`` standard deviations or more below the similarity skip it;
 with ``margin=None`` none does.  A pair of that similarity is lost with a probability of 6e-5 to the bands, and 3e-7 to a margin of five.
 
@@ -42,6 +43,8 @@ REGISTERS = BANDS * ROWS
 SKETCH = REGISTERS // 16
 #: Pairs of one centre in a task, up to SALTS tasks a centre; beyond, tasks grow.
 GROUP, SALTS = 256, 1024
+#: Words in a block of a centre's members.
+BLOCK_WORDS = 1_000_000
 
 
 class Hashes(dict):
@@ -143,7 +146,7 @@ def packed(sig: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, cls (digest of the words), bands and sketch of each document."""
+    """doc_id, cls (digest of the words), size (number of words), bands and sketch of each document."""
 
     def sign(batches: Iterator) -> Iterator:
         known = Hashes()
@@ -151,12 +154,13 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             ids, rows = pdf["doc_id"].tolist(), pdf["text"].tolist()
             at = 0
             while at < len(rows):
-                bags, cls, size, begin = [], [], 0, at
+                bags, cls, sizes, size, begin = [], [], [], 0, at
                 while at < len(rows) and size < 100_000:
                     found = WORD.findall(rows[at].lower())
                     words = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
                     cls.append(xxhash.xxh3_128_digest(words.tobytes()))
                     bags.append(shingles(words, width))
+                    sizes.append(len(found))
                     size += len(found) + 100
                     at += 1
                 sig = signatures(bags)
@@ -164,22 +168,26 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 for j in range(ROWS):
                     keys = mixed(keys * np.uint64(3) + sig[:, j::ROWS])
                 keys += np.arange(BANDS, dtype=np.uint64)
-                yield pd.DataFrame({"doc_id": ids[begin:at], "cls": cls, "bands": list(keys.view(np.int64)), "sketch": list(packed(sig))})
+                yield pd.DataFrame({"doc_id": ids[begin:at], "cls": cls, "size": sizes, "bands": list(keys.view(np.int64)), "sketch": list(packed(sig))})
 
-    return texts(docs).mapInPandas(sign, "doc_id long, cls binary, bands array<long>, sketch array<long>")
+    return texts(docs).mapInPandas(sign, "doc_id long, cls binary, size int, bands array<long>, sketch array<long>")
+
+
+def most_differing(similarity: float, margin: float) -> float:
+    """So many differing registers of a sketch are margin standard deviations below the similarity (two registers agree in four bits by chance in one of 16)."""
+    agree = similarity + (1 - similarity) / 16
+    return float(REGISTERS * (1 - agree + margin * np.sqrt(agree * (1 - agree) / REGISTERS)))
 
 
 def unlike(a: str, b: str, similarity: float, margin: float) -> Column:
     """Whether sketches (columns a and b) are margin standard deviations or more below the similarity."""
-    agree = similarity + (1 - similarity) / 16
-    most = REGISTERS * (1 - agree + margin * np.sqrt(agree * (1 - agree) / REGISTERS))
 
     def differing(x: Column, y: Column) -> Column:
         d = x.bitwiseXOR(y)
         d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
         return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111)))
 
-    return sum((differing(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(SKETCH)), F.lit(0)) >= float(most)
+    return sum((differing(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(SKETCH)), F.lit(0)) >= most_differing(similarity, margin)
 
 
 def counted(pairs: DataFrame, key: str, table: DataFrame) -> tuple[DataFrame, int]:
@@ -190,8 +198,7 @@ def counted(pairs: DataFrame, key: str, table: DataFrame) -> tuple[DataFrame, in
 
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, similarity: float, margin: float | None) -> DataFrame:
-    """The pairs (c: a centre, m: a member; each once, with their weights wa and wb) whose multisets are at least so similar."""
-    pairs = stored(pairs)
+    """The pairs (c: a centre, m: a member; each once, with their weights wa and wb; a stored table) whose multisets are at least so similar."""
     sketches = reps.select(F.col("doc_id").alias("c"), F.col("sketch").alias("sc"))
     centres, key, size, total = _by(pairs, "c", sketches)
     centres = centres.withColumn("salts", F.least(F.ceil(F.col("n") / GROUP), F.lit(SALTS)).cast("int"))
@@ -235,23 +242,87 @@ def component_of(rows: DataFrame, found: DataFrame, node: str, name: str, salt:
     return hot_join(rows, *_by(rows, node, where), salt).drop("n").withColumn(name, F.coalesce(name, node))
 
 
-def crossing(reps: DataFrame, placed: DataFrame, found: DataFrame, similarity: float, margin: float | None) -> DataFrame:
-    """Pairs of a bucket in different components, neither being its centre, whose sketches agree well enough; a member of many such pairs is their centre."""
-    at = component_of(placed.select("doc_id", "k", "top"), found, "doc_id", "component", "k")
-    at = stored(at)
-    split = stored(at.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("k"))
-    apart = at.where("doc_id <> top.v").join(split, "k", "left_semi").join(reps.select("doc_id", "sketch"), "doc_id")
-    side = lambda s: apart.select("k", F.col("doc_id").alias(s), F.col("component").alias(f"c{s}"), F.col("sketch").alias(f"s{s}"))
-    met = (F.col("k") == F.col("kb")) & (F.col("ca") < F.col("cb"))
-    if margin is not None:
-        met = met & ~unlike("sa", "sb", similarity, margin)
-    pairs = stored(side("a").join(side("b").withColumnRenamed("k", "kb"), met).select("a", "b").distinct())
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    often = stored(both.groupBy("a").agg(F.count(F.lit(1)).alias("w")))
-    pairs = hot_join(pairs, *_by(pairs, "a", often.withColumnRenamed("w", "wa")), "b").drop("n")
-    pairs = hot_join(pairs, *_by(pairs, "b", often.select(F.col("a").alias("b"), F.col("w").alias("wb"))), "a")
-    first = F.struct("wa", "a") >= F.struct("wb", "b")
-    return pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("c"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("m"), F.greatest("wa", "wb").alias("wa"), F.least("wa", "wb").alias("wb"))
+class Members:
+    """Members of a centre in one task: links between their components."""
+
+    def __init__(self, similarity: float, width: int, margin: float | None):
+        self.similarity, self.width, self.known = similarity, width, Hashes()
+        self.most = REGISTERS + 1.0 if margin is None else most_differing(similarity, margin)
+
+    def links(self, rows: list) -> list[tuple]:
+        """(c, m, wa, wb) of pairs that link components.  rows: side, doc_id, component, weight, sketch, text; the two sides are compared, or one side with itself."""
+        sketch = np.array([r.sketch for r in rows], np.int64).view(np.uint64).reshape(len(rows), SKETCH)
+        part, root = np.array([r.component for r in rows], np.int64), {r.component: r.component for r in rows}
+        bags: dict[int, np.ndarray] = {}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        def bag(i: int) -> np.ndarray:
+            if i not in bags:
+                found = WORD.findall(rows[i].text.lower())
+                bags[i] = shingles(np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found)), self.width)
+            return bags[i]
+
+        one = np.flatnonzero([r.side == 0 for r in rows])
+        two = np.flatnonzero([r.side == 1 for r in rows])
+        out = []
+        for k, i in enumerate(one.tolist()):
+            rest = two if len(two) else one[k + 1 :]
+            d = sketch[rest] ^ sketch[i]
+            d |= d >> np.uint64(1)
+            d |= d >> np.uint64(2)
+            near = (np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1) < self.most) & (part[rest] != part[i])
+            for j in rest[near].tolist():
+                x, y = find(int(part[i])), find(int(part[j]))
+                if x != y and overlap(bag(i), bag(j)) >= self.similarity - 1e-12:
+                    root[x] = y
+                    out.append((rows[i].doc_id, rows[j].doc_id, rows[i].weight, rows[j].weight))
+        return out
+
+
+def crossing(docs: DataFrame, reps: DataFrame, stars: DataFrame, found: DataFrame, width: int, similarity: float, margin: float | None) -> DataFrame:
+    """Links (c, m, wa, wb) between members of one centre in different components, at least one of them not in the centre's own."""
+    at = component_of(component_of(stars, found, "c", "own", "m"), found, "m", "component", "c")
+    at = at.join(reps.select(F.col("doc_id").alias("m"), "size", "sketch"), "m")
+    at = stored(at.select("c", F.col("m").alias("doc_id"), F.col("wb").alias("weight"), "component", (F.col("component") != F.col("own")).alias("apart"), "size", "sketch"))
+    words = lambda mine: F.coalesce(F.sum(F.when(mine, F.col("size") + 100)), F.lit(0))
+    blocks = lambda mine: F.ceil(words(mine) / BLOCK_WORDS).cast("int")
+    split = at.groupBy("c").agg(blocks(F.col("apart")).alias("nr"), blocks(~F.col("apart")).alias("nm"), F.count(F.lit(1)).alias("n"))
+    split = stored(split.where("nr > 0 and n > 1"))
+    rows = hot_join(at, split, "c", "n", at.count(), "doc_id").where("n is not null")
+    b = F.pmod(F.xxhash64("doc_id"), F.when(F.col("apart"), F.col("nr")).otherwise(F.col("nm"))).cast("int")
+    rows = rows.withColumn("b", b)
+    place = lambda own, i, j, side: F.struct(F.lit(own).alias("own"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    none = F.array().cast("array<struct<own:boolean,i:int,j:int,side:int>>")
+    each = lambda n, put: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), put)).otherwise(none)
+    apart = F.concat(
+        F.transform(F.sequence("b", F.col("nr") - 1), lambda j: place(False, F.col("b"), j, 0)),
+        each(F.col("b"), lambda i: place(False, i, F.col("b"), 1)),
+        each(F.col("nm"), lambda j: place(True, F.col("b"), j, 0)),
+    )
+    rows = rows.withColumn("places", F.when(F.col("apart"), apart).otherwise(each(F.col("nr"), lambda i: place(True, i, F.col("b"), 1))))
+    rows = stored(rows.select("c", "doc_id", "component", "weight", "sketch", "places"))
+    bodies = few(texts(docs), rows.select(F.col("doc_id").alias("id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = rows.join(bodies, "doc_id").select("c", F.explode("places").alias("p"), "doc_id", "component", "weight", "sketch", "text")
+    rows = rows.select("c", "p.own", "p.i", "p.j", "p.side", "doc_id", "component", "weight", "sketch", "text")
+
+    def compared(batches: Iterator) -> Iterator:
+        members, group, key, out = Members(similarity, width, margin), [], None, []
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                if (row.c, row.own, row.i, row.j) != key:
+                    out += members.links(group) if len(group) > 1 else []
+                    group, key = [], (row.c, row.own, row.i, row.j)
+                group.append(row)
+            yield pd.DataFrame(out, columns=["c", "m", "wa", "wb"])
+            out = []
+        yield pd.DataFrame(members.links(group) if len(group) > 1 else [], columns=["c", "m", "wa", "wb"])
+
+    keys = ["c", "own", "i", "j"]
+    return stored(rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compared, "c long, m long, wa long, wb long"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, margin: float | None = 5.0) -> DataFrame:
@@ -260,7 +331,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ma
     total = rows.count()
     classes = stored(rows.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     members = stored(hot_join(rows.select("doc_id", "cls"), classes, "cls", "n", total, "doc_id").select("doc_id", "rep"))
-    reps = stored(rows.join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"], "left_semi").select("doc_id", "bands", "sketch"))
+    reps = stored(rows.join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"], "left_semi").select("doc_id", "size", "bands", "sketch"))
     each = reps.select("doc_id", F.explode("bands").alias("k"))
     buckets = stored(each.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     placed = stored(hot_join(each, buckets, "k", "n", total * BANDS, "doc_id").where("n > 1"))
@@ -270,12 +341,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ma
     centres = stored(placed.groupBy("k").agg(top.alias("top"), F.count(F.lit(1)).alias("n")))
     placed = stored(hot_join(placed.drop("n"), centres, "k", "n", shared, "doc_id"))
     stars = placed.where("doc_id <> top.v").select(F.col("top.v").alias("c"), F.col("doc_id").alias("m"), F.col("top.weight").alias("wa"), F.col("weight").alias("wb"))
-    links = verified(docs, reps, stars.distinct(), width, similarity, margin)
+    stars = stored(stars.distinct())
+    links = verified(docs, reps, stars, width, similarity, margin)
     found = stored(components(links.withColumnsRenamed({"c": "a", "m": "b"})))
-    apart = stored(crossing(reps, placed, found, similarity, margin))
-    if not apart.isEmpty():
-        links = links.unionByName(verified(docs, reps, apart, width, similarity, margin))
-        found = stored(components(links.withColumnsRenamed({"c": "a", "m": "b"})))
+    more = crossing(docs, reps, stars, found, width, similarity, margin)
+    if not more.isEmpty():
+        found = stored(components(links.unionByName(more).withColumnsRenamed({"c": "a", "m": "b"})))
     groups = members.withColumnRenamed("rep", "node").groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(found, "node", "left").withColumn("near_id", F.coalesce("component", "node"))
     sizes = groups.groupBy("near_id").agg(F.sum("n").alias("near_size"), F.count(F.lit(1)).alias("classes"))
     groups = stored(hot_join(stored(groups), stored(sizes), "near_id", "classes", total, "node").select(F.col("node").alias("rep"), "n", "near_id", "near_size"))

@@ -481,3 +481,26 @@ def test_rows_without_an_id(spark, tmp_path):
     assert key(corpus_pipeline.pii_stage(spark, few, "")) == Counter(rows[:6] + [(None, "mail <EMAIL>")] + rows[7:9])
     got = suffix_dedup.deduplicated(few, 200).collect()
     assert sorted((r.doc_id or -1, r.n_removed) for r in got) == removed(rows[:9], 200)
+
+
+@pytest.mark.parametrize("margin", [5.0, None])
+def test_near_duplicates_equal_all_pairs(spark, margin):
+    rng = np.random.default_rng(8)
+    rows = []
+    for g, (n, words) in enumerate([(60, 120), (40, 60), (20, 700)]):  # families of copies that differ more and less from one text, which is not among them
+        base = prose(100 + g, words).split()
+        for i in range(n):
+            copy = list(base)
+            for at in rng.integers(0, words, rng.integers(0, max(2, words // 30))):
+                copy[at] = f"w{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows) + i, prose(i, 30 + i)) for i in range(30)] + [(len(rows) + 40, "a b c d e f " * 50), (len(rows) + 41, "a b c d e f " * 46)]
+    minhash_blocks, minhash.BLOCK_WORDS = minhash.BLOCK_WORDS, 3000
+    try:
+        got = {r.doc_id: r for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), margin=margin).collect()}
+    finally:
+        minhash.BLOCK_WORDS = minhash_blocks
+    want = near_groups(rows)
+    assert {d: r.near_id for d, r in got.items()} == want
+    sizes = Counter(want.values())
+    assert all(r.near_size == sizes[r.near_id] and r.kept == (d == r.near_id) for d, r in got.items())
