@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,11 @@ Vector = tuple[Column, Column, Column]
 CROSSING_TOLERANCE = 1e-9
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def minus(a: Vector, b: Vector) -> Vector:
     return a[0] - b[0], a[1] - b[1], a[2] - b[2]
 
@@ -52,10 +58,6 @@ def fan_volume(ring: Column) -> Column:
     return F.when(F.size(ring) >= 3, F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ring) - 2, F.lit(1))), F.lit(0.0), part)).otherwise(F.lit(0.0))
 
 
-def same_point(a: Column, b: Column) -> Column:
-    return a == b
-
-
 def chain(segments: Column) -> Column:
     """Segments (array of arrays of points) joined greedily in the given order, and closed.
 
@@ -116,20 +118,31 @@ def chord_count(radius: Column, angle: Column, sagitta: Column) -> Column:
 
 def arc_points(sx: Column, sy: Column, ex: Column, ey: Column, cx: Column, cy: Column, radius: Column, clockwise: Column, sagitta: Column) -> Column:
     """Vertices [x, y] of the arc, with exact ends; null where no arc is defined."""
-    a0 = point_angle(sx, sy, cx, cy)
-    turn = sweep(a0, point_angle(ex, ey, cx, cy), clockwise)
-    n = chord_count(radius, turn, sagitta)
-    inner = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(n - 1, F.lit(1).cast("long"))), lambda i: F.array(cx + radius * F.cos(a0 + turn * i / n), cy + radius * F.sin(a0 + turn * i / n)))
-    ends = F.array(F.array(sx, sy)), F.array(F.array(ex, ey))
-    return F.when(n == 1, F.concat(*ends)).when(n > 1, F.concat(ends[0], inner, ends[1]))
+
+    def turned(q: Column) -> Column:
+        return let(F.struct(q["a0"].alias("a0"), sweep(q["a0"], q["a1"], clockwise).alias("turn")), counted)
+
+    def counted(q: Column) -> Column:
+        return let(F.struct(q["a0"].alias("a0"), q["turn"].alias("turn"), chord_count(radius, q["turn"], sagitta).alias("n")), drawn)
+
+    def drawn(q: Column) -> Column:
+        at = lambda i: q["a0"] + q["turn"] * i / q["n"]
+        inner = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(q["n"] - 1, F.lit(1).cast("long"))), lambda i: F.array(cx + radius * F.cos(at(i)), cy + radius * F.sin(at(i))))
+        ends = F.array(F.array(sx, sy)), F.array(F.array(ex, ey))
+        return F.when(q["n"] == 1, F.concat(*ends)).when(q["n"] > 1, F.concat(ends[0], inner, ends[1]))
+
+    return let(F.struct(point_angle(sx, sy, cx, cy).alias("a0"), point_angle(ex, ey, cx, cy).alias("a1")), turned)
 
 
 def circle_points(cx: Column, cy: Column, radius: Column, sagitta: Column) -> Column:
     """Vertices of a full circle, closed; at least three different ones."""
-    n = F.ceil(2 * math.pi / max_chord_angle(radius, sagitta)).cast("long")
-    n = F.when(n.isNotNull(), F.greatest(F.lit(3).cast("long"), n))  # greatest alone would ignore a null
-    ring = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.array(cx + radius * F.cos(2 * math.pi * i / n), cy + radius * F.sin(2 * math.pi * i / n)))
-    return F.when(n <= MOST_CHORDS, F.concat(ring, F.array(F.get(ring, F.lit(0)))))
+
+    def drawn(n: Column) -> Column:
+        ring = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.array(cx + radius * F.cos(2 * math.pi * i / n), cy + radius * F.sin(2 * math.pi * i / n)))
+        return F.when(n <= MOST_CHORDS, let(ring, lambda r: F.array_append(r, F.get(r, F.lit(0)))))
+
+    # greatest alone would ignore a null
+    return let(F.ceil(2 * math.pi / max_chord_angle(radius, sagitta)).cast("long"), lambda n: let(F.when(n.isNotNull(), F.greatest(F.lit(3).cast("long"), n)), drawn))
 
 
 def circumcentre(a: tuple[Column, Column], b: tuple[Column, Column], c: tuple[Column, Column]) -> tuple[Column, Column]:

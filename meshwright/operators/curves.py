@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import arc_points, chord_centre, circle_points, circumcentre, turns_clockwise
+from ..functions.geometry import arc_points, chord_centre, circle_points, circumcentre, let, turns_clockwise
 
 DEPTH = 20
 
@@ -22,19 +22,30 @@ def densified(arcs: DataFrame, sagitta: float = 0.02) -> DataFrame:
     CircleByCenter: centre and radius.  Null where the points don't define the curve.
     """
     xy = lambda i: (F.get(F.get("p", F.lit(i)), F.lit(0)), F.get(F.get("p", F.lit(i)), F.lit(1)))
-    s = F.lit(sagitta)
     a, b, c = xy(0), xy(1), xy(2)
     cw = F.coalesce(F.col("orientation") == "cw", F.lit(False))
-    mid = circumcentre(a, b, c)
     hyp = lambda u, v: F.sqrt((u[0] - v[0]) * (u[0] - v[0]) + (u[1] - v[1]) * (u[1] - v[1]))
-    through = arc_points(*a, *c, *mid, hyp(a, mid), turns_clockwise(a, b, c), s)
-    centred = arc_points(*a, *c, *b, (hyp(a, b) + hyp(c, b)) / 2, cw, s)
+    pair = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    real = lambda value: value.cast("double")
+
+    def arc(start, end, centre, radius, clockwise):  # what every arc comes down to; a circle has no end
+        return F.struct(*[real(v).alias(n) for n, v in zip(("sx", "sy", "ex", "ey", "cx", "cy", "r"), (*start, *end, *centre, radius), strict=True)], clockwise.alias("cw"))
+
+    none = (F.lit(None), F.lit(None))
+    through = let(pair(circumcentre(a, b, c)), lambda m: arc(a, c, (m["x"], m["y"]), hyp(a, (m["x"], m["y"])), turns_clockwise(a, b, c)))
     apart = F.abs(hyp(a, b) - hyp(c, b)) <= F.greatest(F.lit(0.005), F.lit(0.001) * hyp(a, b))
-    over = chord_centre(a, b, F.col("radius"), cw)
-    chord = arc_points(*a, *b, *over, F.col("radius"), cw, s)
-    circle = circle_points(*a, F.col("radius"), s)
-    line = F.when(F.col("type") == "Arc", through).when((F.col("type") == "ArcWithCenter") & apart, centred).when(F.col("type") == "ArcByChord", chord).when(F.col("type") == "CircleByCenter", circle)
-    return arcs.withColumn("line", line)
+    centred = F.when(apart, arc(a, c, b, (hyp(a, b) + hyp(c, b)) / 2, cw))
+    chord = let(pair(chord_centre(a, b, F.col("radius"), cw)), lambda m: arc(a, b, (m["x"], m["y"]), F.col("radius"), cw))
+    circle = arc(none, none, a, F.col("radius"), F.lit(False))
+    kind = F.col("type")
+    shape = F.when(kind == "Arc", through).when(kind == "ArcWithCenter", centred).when(kind == "ArcByChord", chord).when(kind == "CircleByCenter", circle)
+
+    def drawn(g):
+        s = F.lit(sagitta)
+        open_ = arc_points(*[g[n] for n in ("sx", "sy", "ex", "ey", "cx", "cy", "r", "cw")], s)
+        return F.when(kind == "CircleByCenter", circle_points(g["cx"], g["cy"], g["r"], s)).otherwise(open_)
+
+    return arcs.withColumn("line", let(shape, drawn))
 
 
 def tangents(points: np.ndarray, h: np.ndarray, first: np.ndarray | None, last: np.ndarray | None) -> np.ndarray:

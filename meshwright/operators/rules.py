@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 from ..functions.geometry import distance, fan_volume, properly_cross
 from ..model import Tolerances, Topology
 from ..plans.derive import XYZ, D, curve_ends, ring_coordinates, segments, solid_boxes
-from .spatial import box_pairs
+from ..storage import stored
+from .spatial import box_pairs, group_pairs
 
 RULES: dict[str, tuple[str, str, Callable]] = {}
 #: Conformance classes by number, as reports name them (fixed values).
@@ -59,7 +60,7 @@ def duplicate_points(t: Topology, tol: Tolerances) -> DataFrame:
         boxes = boxes.withColumn(f"{c}1", F.col(c) - 2 * tol.point).withColumn(f"{c}2", F.col(c) + 2 * tol.point)
     if tol.point <= 0:
         boxes = boxes.where("false")
-    pairs = box_pairs(boxes, [D], ["id", *XYZ], ["id", *XYZ])
+    pairs = box_pairs(boxes, [D], ["id", *XYZ], ["id", *XYZ], 4 * tol.point)
     d = distance(*[tuple(F.col(f"{s}_{c}") for c in XYZ) for s in "ab"])
     return issues(pairs.where(d < tol.point), 1, "DUPLICATE_POINT_PROXIMITY", "a_id", "b_id")
 
@@ -74,7 +75,7 @@ def unknown_points(t: Topology, tol: Tolerances) -> DataFrame:
 def curve_self_intersection(t: Topology, tol: Tolerances) -> DataFrame:
     long = t.curve.where("n_vertices >= 4").select(D, F.col("id").alias("curve_id"))
     s = boxed(segments(t, dense=True).join(long, [D, "curve_id"], "left_semi")).withColumn("ord", F.col("seg_idx"))
-    pairs = box_pairs(s, [D, "curve_id"], SEGMENT, SEGMENT).where((F.col("b_ord") >= F.col("a_ord") + 2) & crossing())
+    pairs = group_pairs(s, [D, "curve_id"], SEGMENT, SEGMENT, (F.col("b_ord") >= F.col("a_ord") + 2) & crossing())
     first = pairs.groupBy(D, "curve_id").agg(F.min(F.struct("a_ord", "b_ord")).alias("m"))
     return issues(first, 2, "CURVE_SELF_INTERSECTION", "curve_id", "m.a_ord", "m.b_ord")
 
@@ -101,14 +102,21 @@ def duplicate_curves(t: Topology, tol: Tolerances) -> DataFrame:
 
 
 def repeats(df: DataFrame) -> DataFrame:
-    """Rows (id, ord, key) after the first of their key, with first_id; the key's first row comes by a join, so hot keys are aggregated, not gathered."""
+    """Rows (id, ord, key) after the first of their key, with first_id.
+
+    The key's first row comes by a join with the keys that occur more than once, on the key and a salt, so that the rows of a hot
+    key (all empty ones share one) are spread over tasks.
+    """
+    salts = 32
+    df = df.select(D, "id", "ord", "key", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
     first = df.groupBy(D, "key").agg(F.min(F.struct("ord", "id")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return df.join(first, [D, "key"]).where("ord > f.ord").withColumn("first_id", F.col("f.id"))
+    first = first.select(D, "key", "f", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    return df.join(first, [D, "key", "salt"]).where("ord > f.ord").withColumn("first_id", F.col("f.id"))
 
 
 @rule(14, 2, "Curves meet at nodes only")
 def curve_crossings(t: Topology, tol: Tolerances) -> DataFrame:
-    s = boxed(segments(t)).withColumn("ord", F.col("curve_ord"))
+    s = stored(boxed(segments(t)).withColumn("ord", F.col("curve_ord")))
     cols = ["curve_id", "a_id", "b_id", *SEGMENT]
     pairs = box_pairs(s, [D], cols, cols)
     apart = (F.col("a_a_id") != F.col("b_a_id")) & (F.col("a_a_id") != F.col("b_b_id")) & (F.col("a_b_id") != F.col("b_a_id")) & (F.col("a_b_id") != F.col("b_b_id"))
@@ -154,10 +162,9 @@ def ring_self_intersection(t: Topology, tol: Tolerances) -> DataFrame:
     m = m.withColumn("total", F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     s = boxed(segments(t).join(m.select(D, "curve_id", "surface_id", "ring_idx", "before", "total"), [D, "curve_id"])).withColumn("ord", F.col("before") + F.col("seg_idx"))
     cols = ["a_id", "b_id", "total", *SEGMENT]
-    p = box_pairs(s, [D, "surface_id", "ring_idx"], cols, cols)
     apart = (F.col("a_a_id") != F.col("b_a_id")) & (F.col("a_a_id") != F.col("b_b_id")) & (F.col("a_b_id") != F.col("b_a_id")) & (F.col("a_b_id") != F.col("b_b_id"))
     closing = (F.col("a_ord") == 0) & (F.col("b_ord") == F.col("a_total") - 1)
-    p = p.where((F.col("b_ord") >= F.col("a_ord") + 2) & ~closing & apart & crossing())
+    p = group_pairs(s, [D, "surface_id", "ring_idx"], cols, cols, (F.col("b_ord") >= F.col("a_ord") + 2) & ~closing & apart & crossing())
     first = p.groupBy(D, "surface_id", "ring_idx").agg(F.min(F.struct("a_ord", "b_ord")).alias("m"))
     return issues(first, 15, "SURFACE_SELF_INTERSECTION", "surface_id", "ring_idx", "m.a_ord", "m.b_ord")
 
@@ -213,7 +220,7 @@ def solid_self_intersection(t: Topology, tol: Tolerances) -> DataFrame:
     m = t.solid_face.join(t.ring_member.withColumnRenamed("surface_id", "face_id"), [D, "face_id"])
     s = boxed(m.join(segments(t), [D, "curve_id"])).withColumn("ord", F.struct("face_idx", "ring_idx", "member_idx", "seg_idx"))
     cols = ["face_idx", *SEGMENT]
-    p = box_pairs(s, [D, "solid_id"], cols, cols).where((F.col("a_face_idx") != F.col("b_face_idx")) & crossing())
+    p = group_pairs(s, [D, "solid_id"], cols, cols, (F.col("a_face_idx") != F.col("b_face_idx")) & crossing())
     first = p.groupBy(D, "solid_id").agg(F.min(F.struct("a_ord", "b_ord")).alias("m"))
     return issues(first, 24, "SOLID_SELF_INTERSECTION", "solid_id", "m.a_ord.face_idx", "m.b_ord.face_idx")
 
@@ -239,7 +246,7 @@ def reversed_shells(t: Topology, tol: Tolerances) -> DataFrame:
 
 @rule(8, 6, "No solid overlap")
 def overlaps(t: Topology, tol: Tolerances) -> DataFrame:
-    s = t.solid.withColumnRenamed("id", "solid_id").join(solid_boxes(t), [D, "solid_id"])
+    s = stored(t.solid.withColumnRenamed("id", "solid_id").join(solid_boxes(t), [D, "solid_id"]).select(D, "solid_id", "ord", "theme", "parent_id", "level", *[f"{c}{i}" for c in XYZ for i in (1, 2)]))
     cols = ["solid_id", "parent_id", "level", *[f"{c}{i}" for c in XYZ for i in (1, 2)]]
     p = box_pairs(s, [D, "theme"], cols, cols)
     for c in XYZ:
@@ -248,10 +255,11 @@ def overlaps(t: Topology, tol: Tolerances) -> DataFrame:
     la, lb = F.split("a_level", r"\|"), F.split("b_level", r"\|")
     floors = F.coalesce((F.col("a_level") != "") & (F.col("b_level") != "") & ~F.arrays_overlap(la, lb), F.lit(False))
     p = p.where(~family & ~floors).select(D, "a_solid_id", "b_solid_id", "theme")
-    fa = t.solid_face.select(D, F.col("solid_id").alias("a_solid_id"), "face_id")
-    fb = t.solid_face.select(D, F.col("solid_id").alias("b_solid_id"), "face_id")
-    shared = p.join(fa, [D, "a_solid_id"]).join(fb, [D, "b_solid_id", "face_id"]).select(D, "a_solid_id", "b_solid_id")
-    return issues(p.join(shared, [D, "a_solid_id", "b_solid_id"], "left_anti"), 8, "SOLID_OVERLAP", "a_solid_id", "b_solid_id", "theme")
+    faces = t.solid_face.groupBy(D, "solid_id").agg(F.collect_set("face_id").alias("faces"))
+    for side in "ab":
+        p = p.join(faces.select(D, F.col("solid_id").alias(f"{side}_solid_id"), F.col("faces").alias(f"{side}_faces")), [D, f"{side}_solid_id"], "left")
+    shared = F.coalesce(F.arrays_overlap("a_faces", "b_faces"), F.lit(False))
+    return issues(p.where(~shared), 8, "SOLID_OVERLAP", "a_solid_id", "b_solid_id", "theme")
 
 
 @rule(10, 6, "Face adjacency limit")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..storage import stored
 
 AXES = ("x", "y", "z")
 
@@ -22,14 +27,14 @@ def sizes(boxes: DataFrame) -> tuple[int, list[int]]:
     return middle or 0, found
 
 
-def box_pairs(boxes: DataFrame, keys: list[str], left: list[str], right: list[str]) -> DataFrame:
+def box_pairs(boxes: DataFrame, keys: list[str], left: list[str], right: list[str], size: float | None = None) -> DataFrame:
     """Pairs of boxes of equal keys that share a cell, each once, the smaller ``ord`` as a_…, the other as b_….
 
-    boxes: keys, ord, x1 y1 z1 x2 y2 z2 (padded by the caller) and the columns left and right to carry.  A box lives on
+    boxes (a stored table, as their sizes are looked at first, unless all have the same given size): keys, ord, x1 y1 z1 x2 y2 z2 (padded by the caller) and the columns left and right to carry.  A box lives on
     the level whose cells (the base cell times a power of two) are as wide as it is, so it covers at most two cells an axis there; it is met
     by smaller boxes that look it up on its level.  Of the cells that a pair shares only that of the greatest low corner counts.
     """
-    base, found = sizes(boxes)
+    base, found = sizes(boxes) if size is None else (math.ceil(math.log2(max(size, 2.0**-40))), [])
     cell, levels = 2.0**base, sorted({max(0, e - base) for e in found}) or [0]
     extent = F.greatest(*[F.col(f"{a}2") - F.col(f"{a}1") for a in AXES], F.lit(2.0**-40))
     placed = boxes.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(extent)).cast("int") - base))
@@ -51,3 +56,27 @@ def box_pairs(boxes: DataFrame, keys: list[str], left: list[str], right: list[st
     swap = F.col("a_ord") > F.col("b_ord")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     return met.select(*keys, *[pick(f"a_{c}", f"b_{c}").alias(f"a_{c}") for c in ["ord", *left]], *[pick(f"b_{c}", f"a_{c}").alias(f"b_{c}") for c in ["ord", *right]])
+
+
+#: Boxes of one group that are compared with each other without a grid.
+SMALL = 2000
+
+
+def group_pairs(boxes: DataFrame, keys: list[str], left: list[str], right: list[str], where: Column | None = None) -> DataFrame:
+    """Like box_pairs, for boxes in many small groups (keys), with ``where`` on the pairs.
+
+    Groups of up to SMALL boxes are joined with themselves on their keys, dealt out once; the few larger ones go through the grid.
+    """
+    counted = boxes.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    small = counted.where(F.col("_n") <= SMALL)
+    carried = list(dict.fromkeys(["ord", *left, *right, *(f"{a}{i}" for a in AXES for i in (1, 2))]))
+    side = lambda s: small.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in carried])
+    overlap = F.col("a_ord") < F.col("b_ord")
+    for a in AXES:
+        overlap = overlap & (F.col(f"a_{a}1") <= F.col(f"b_{a}2")) & (F.col(f"b_{a}1") <= F.col(f"a_{a}2"))
+    columns = [*keys, *[f"a_{c}" for c in ["ord", *left]], *[f"b_{c}" for c in ["ord", *right]]]
+    pairs = side("a").join(side("b"), keys).where(overlap).select(*columns)
+    large = stored(counted.where(F.col("_n") > SMALL).drop("_n"))
+    if not large.isEmpty():
+        pairs = pairs.unionByName(box_pairs(large, keys, left, right))
+    return pairs if where is None else pairs.where(where)

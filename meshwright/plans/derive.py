@@ -12,12 +12,6 @@ D = "dataset_id"
 XYZ = ("x", "y", "z")
 
 
-def last_by_id(df: DataFrame) -> DataFrame:
-    """One row per id: of repeated ids the last record counts."""
-    cols = [c for c in df.columns if c not in (D, "id")]
-    return df.groupBy(D, "id").agg(F.max_by(F.struct(*cols), "ord").alias("_r")).select(D, "id", *[F.col(f"_r.{c}").alias(c) for c in cols])
-
-
 def located(t: Topology) -> DataFrame:
     """Curve vertices with their points' coordinates (null: unknown point)."""
     p = t.point.select(D, F.col("id").alias("point_id"), *XYZ)

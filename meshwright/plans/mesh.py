@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..model import Topology
+from ..storage import stored
 
 #: Tables in order; each may read the ones before it. {orders} is the table of orders.
 TABLES = {
@@ -99,10 +100,12 @@ def ctes(orders: str = "orders", string: str = "VARCHAR") -> str:
 
 
 def mesh(spark: SparkSession, sf_dir: str) -> Topology:
-    """The mesh of a folder's orders as one dataset."""
+    """The mesh of a folder's orders as one dataset; the lots are stored once, so orders are read once."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    prefix = "WITH " + ",\n".join(f"{name} AS ({sql.format(orders='{orders}', string='STRING')})" for name, sql in TABLES.items())
-    table = lambda sql: spark.sql(f"{prefix} SELECT 'mesh' AS dataset_id, {sql}", orders=orders)
+    lot = stored(spark.sql(TABLES["lot"].format(orders="{orders}"), orders=orders))
+    rest = {name: sql.format(orders="{orders}", string="STRING") for name, sql in TABLES.items() if name != "lot"}
+    prefix = "WITH lot AS (SELECT * FROM {lot}),\n" + ",\n".join(f"{name} AS ({sql})" for name, sql in rest.items())
+    table = lambda sql: spark.sql(f"{prefix} SELECT 'mesh' AS dataset_id, {sql}", lot=lot)
     return Topology(
         point=table("id, ord, x, y, z FROM point"),
         curve=table("curve_id AS id, max(curve_ord) AS ord, count(*) AS n_vertices FROM curve_vertex GROUP BY curve_id"),
