@@ -93,18 +93,63 @@ def spline(points: np.ndarray, sagitta: float, first: np.ndarray | None = None,
 
 
 def splined(rows: DataFrame, sagitta: float = 0.02, alpha: float = 0.5) -> DataFrame:
-    """id and line of rows (id, p: control points, first and last: tangent vectors or null), in Arrow batches."""
+    """id, line and fault of rows (id, p: control points, first and last: tangent vectors or null), in Arrow batches.
+
+    A spline that can't be drawn has no line, and a fault that says why.
+    """
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            lines = []
+            lines, faults = [], []
             for p, a, b in zip(pdf["p"], pdf["first"], pdf["last"], strict=True):
-                pts = np.array([list(x) for x in p], float)
+                line, fault = None, None
                 try:
                     ends = (None, None) if a is None or b is None else (np.array(a, float), np.array(b, float))
-                    lines.append(spline(pts, sagitta, *ends, alpha=alpha).tolist())
-                except (ValueError, np.linalg.LinAlgError):
-                    lines.append(pts.tolist() if len(pts) else None)
-            yield pd.DataFrame({"id": pdf["id"], "line": lines})
+                    line = spline(np.array([list(x) for x in p], float), sagitta, *ends, alpha=alpha).tolist()
+                except (ValueError, TypeError, np.linalg.LinAlgError) as e:
+                    fault = str(e) or type(e).__name__
+                lines.append(line)
+                faults.append(fault)
+            yield pd.DataFrame({"id": pdf["id"], "line": lines, "fault": faults})
+
+    return rows.select("id", "p", "first", "last").mapInPandas(made, "id string, line array<array<double>>, fault string")
+
+
+def chord_statistics(arcs: DataFrame, sagitta: float = 0.02) -> DataFrame:
+    """arcs (radius, sweep in radians) with their length, chords, chord_angle, chord_length and the sagitta that these chords reach."""
+    from ..functions.geometry import chord_count
+
+    n = chord_count(F.col("radius"), F.col("sweep"), F.lit(sagitta))
+    out = arcs.withColumn("chords", n).withColumn("arc_length", F.col("radius") * F.abs("sweep")).withColumn("chord_angle", F.abs("sweep") / F.col("chords"))
+    return out.withColumn("chord_length", 2 * F.col("radius") * F.sin(F.col("chord_angle") / 2)).withColumn("reached", F.col("radius") * (1 - F.cos(F.col("chord_angle") / 2)))
 
-    return rows.select("id", "p", "first", "last").mapInPandas(made, "id string, line array<array<double>>")
+
+def faults(arcs: DataFrame, sagitta: float = 0.02, absolute: float = 0.005, relative: float = 0.001) -> DataFrame:
+    """arcs (like densified's) with fault: why an arc can't be drawn, else null; the first reason that holds counts."""
+    xy = lambda i: (F.get(F.get("p", F.lit(i)), F.lit(0)), F.get(F.get("p", F.lit(i)), F.lit(1)))
+    a, b, c = xy(0), xy(1), xy(2)
+    hyp = lambda u, v: F.sqrt((u[0] - v[0]) * (u[0] - v[0]) + (u[1] - v[1]) * (u[1] - v[1]))
+    kind = F.col("type")
+    need = F.when(kind.isin("Arc", "ArcWithCenter"), 3).when(kind == "ArcByChord", 2).when(kind == "CircleByCenter", 1)
+    finite = F.forall(F.flatten("p"), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    tolerance = F.greatest(F.lit(absolute), F.lit(relative) * hyp(a, b))
+    reason = (
+        F.when(need.isNull(), "UNKNOWN_TYPE")
+        .when(F.lit(sagitta <= 0), "SAGITTA_NOT_POSITIVE")
+        .when(F.coalesce(F.size("p"), F.lit(0)) < need, "TOO_FEW_POINTS")
+        .when(~finite | F.exists("p", lambda q: F.size(q) < 2), "INVALID_COORDINATES")
+        .when(F.col("orientation").isNotNull() & ~F.col("orientation").isin("cw", "ccw"), "INVALID_DIRECTION")
+        .when((kind == "Arc") & circumcentre(a, b, c)[0].isNull(), "POINTS_ON_A_LINE")
+        .when((kind == "ArcWithCenter") & ((hyp(a, b) == 0) | (hyp(c, b) == 0)), "ZERO_RADIUS")
+        .when((kind == "ArcWithCenter") & (F.abs(hyp(a, b) - hyp(c, b)) > tolerance), "RADII_DIFFER")
+        .when((kind == "ArcWithCenter") & (F.abs(hyp(a, b) - F.col("radius")) > tolerance), "RADIUS_NOT_AS_STATED")
+        .when(kind.isin("ArcByChord", "CircleByCenter") & ~F.coalesce(F.col("radius") > 0, F.lit(False)), "RADIUS_NOT_POSITIVE")
+        .when((kind == "ArcByChord") & chord_centre(a, b, F.col("radius"), F.lit(False))[0].isNull(), "RADIUS_TOO_SMALL")
+    )
+    return arcs.withColumn("fault", reason)
+
+
+def tangent(line: str):
+    """The vector from the first to the second position of a line; null for fewer positions or where they coincide."""
+    first, second = F.get(line, F.lit(0)), F.get(line, F.lit(1))
+    return F.when((F.size(line) >= 2) & (first != second), F.zip_with(second, first, lambda x, y: x - y))

@@ -6,8 +6,11 @@ JSON text, as each kind nests differently.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.geometry import chain
 from ..model import Topology
@@ -89,7 +92,7 @@ def chained(lines: DataFrame) -> DataFrame:
 def features(geometry: DataFrame) -> DataFrame:
     """GeoJSON features as text, one a row."""
     g = F.concat(F.lit('{"type":"Feature","id":'), F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2), F.lit(',"geometry":{"type":"'), F.col("geom_type"), F.lit('","coordinates":'), F.col("coordinates"), F.lit('},"properties":{}}'))
-    return geometry.select(D, "id", g.alias("feature"))
+    return geometry.select(D, "kind", "id", g.alias("feature"))
 
 
 def reachable(t: Topology) -> DataFrame:
@@ -99,3 +102,65 @@ def reachable(t: Topology) -> DataFrame:
     edge = edge.unionByName(deep).distinct()
     point = edge.join(t.curve_vertex.select(D, F.col("curve_id").alias("component_id"), "point_id"), [D, "component_id"]).select(D, "feature_id", F.col("point_id").alias("component_id")).distinct()
     return edge.withColumn("kind", F.lit("edges")).unionByName(point.withColumn("kind", F.lit("points")))
+
+
+def collected(feature: DataFrame, number: int | None = None, context: str | None = None) -> DataFrame:
+    """dataset_id and collection: one GeoJSON FeatureCollection a dataset, features in the order of kind and id.
+
+    number: at most so many features of each dataset, points not counted.  context: a JSON value for @context.  Collections are texts of one
+    dataset each, so a dataset must fit a row; larger ones are written as rows of features.
+    """
+    order = F.struct("kind", "id")
+    if number is not None:
+        w = Window.partitionBy(D).orderBy(F.when(F.col("kind") == "points", 0).otherwise(1), "kind", "id")
+        rank = F.sum(F.when(F.col("kind") == "points", 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        feature = feature.withColumn("_rank", rank).where((F.col("kind") == "points") | (F.col("_rank") <= number))
+    each = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("at"), "feature"))), lambda s: s["feature"])
+    head = "" if context is None else f'"@context":{context},'
+    return feature.groupBy(D).agg(F.concat(F.lit('{"type":"FeatureCollection",' + head + '"features":['), F.array_join(each, ","), F.lit("]}")).alias("collection"))
+
+
+def mismatches(declared: DataFrame) -> DataFrame:
+    """Rows (dataset_id, id, key, type) whose type is not that of their collection: a warning, as such features are resolved by their type."""
+    return declared.where(F.concat(F.lower("type"), F.lit("s")) != F.lower("key"))
+
+
+def cleaned(t: Topology, tolerance: float = 1e-9) -> Topology:
+    """t without coincident geometry: points within the tolerance on every axis become their first, curves of the same points (either way round) and
+    surfaces of the same curves too; references follow, and a curve that was the other way round is walked the other way.
+
+    Points are put into cells of the tolerance after rounding, so the first of a cell stands for it.
+    """
+    cell = F.struct(*[F.round(F.col(c) / tolerance).alias(c) for c in "xyz"])
+    point = t.point.where("x is not null").withColumn("cell", cell)
+    first = point.groupBy(D, "cell").agg(F.min_by("id", "ord").alias("to"))
+    moved = point.join(first, [D, "cell"]).select(D, F.col("id").alias("point_id"), "to")
+    vertex = t.curve_vertex.join(moved, [D, "point_id"], "left").withColumn("point_id", F.coalesce("to", "point_id")).drop("to").select(*t.curve_vertex.columns)
+
+    line = F.transform(F.array_sort(F.collect_list(F.struct("pos", "point_id"))), lambda s: s["point_id"])
+    shape = vertex.groupBy(D, F.col("curve_id").alias("id")).agg(line.alias("v"), F.min("curve_ord").alias("ord"))
+    shape = shape.withColumn("key", F.least("v", F.reverse("v"))).withColumn("turned", F.col("v") != F.col("key"))
+    kept = shape.groupBy(D, "key").agg(F.min_by(F.struct("id", "turned"), "ord").alias("f"))
+    curve = shape.join(kept, [D, "key"]).select(D, F.col("id").alias("curve_id"), F.col("f.id").alias("to"), (F.col("turned") != F.col("f.turned")).alias("flip"))
+    other = F.when(F.col("orientation") == "-", "+").otherwise("-")
+    member = t.ring_member.join(curve, [D, "curve_id"], "left").withColumn("curve_id", F.coalesce("to", "curve_id")).withColumn("orientation", F.when(F.col("flip"), other).otherwise(F.col("orientation"))).select(*t.ring_member.columns)
+
+    ring = member.groupBy(D, F.col("surface_id").alias("id")).agg(F.array_sort(F.collect_set("curve_id")).alias("key"), F.min("surface_ord").alias("ord"))
+    face = ring.join(ring.groupBy(D, "key").agg(F.min_by("id", "ord").alias("to")), [D, "key"]).select(D, F.col("id").alias("face_id"), "to")
+
+    def faces(df: DataFrame) -> DataFrame:
+        return df.join(face, [D, "face_id"], "left").withColumn("face_id", F.coalesce("to", "face_id")).select(*df.columns)
+
+    solid_face = faces(t.solid_face).groupBy(D, "solid_id", "solid_ord", "face_id").agg(F.min("face_idx").alias("face_idx")).select(*t.solid_face.columns)
+    gone = lambda df, m, key: df.join(m.where(F.col(key) != F.col("to")).select(D, F.col(key).alias("id")), [D, "id"], "left_anti")
+    lost = lambda df, m, key: df.join(m.where(F.col(key) != F.col("to")).select(D, key), [D, key], "left_anti")
+    return replace(
+        t,
+        point=gone(t.point, moved, "point_id"),
+        curve=gone(t.curve, curve, "curve_id"),
+        curve_vertex=lost(vertex, curve, "curve_id"),
+        surface=gone(t.surface, face, "face_id"),
+        ring_member=lost(member, face.withColumnRenamed("face_id", "surface_id"), "surface_id"),
+        solid_face=solid_face,
+        shell_face=faces(t.shell_face),
+    )

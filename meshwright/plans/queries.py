@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Tolerances
-from ..operators import curves, resolve
+from ..functions import crs
+from ..operators import curves, namespaces, resolve
 from ..operators.rules import RULES
-from . import mesh
+from . import mesh, structure
+from .validate import rule_results
 
 SEG = """seg AS (SELECT a.curve_id, a.curve_ord, a.pos AS i, a.point_id AS ia, b.point_id AS ib, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS by_, q.z AS bz
  FROM curve_vertex a JOIN curve_vertex b ON a.curve_id = b.curve_id AND b.pos = a.pos + 1 JOIN point p ON p.id = a.point_id JOIN point q ON q.id = b.point_id)"""
@@ -165,7 +167,39 @@ def splines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     pts = F.array(*[F.array((i * 4).cast("double") if not isinstance(i, int) else F.lit(4.0 * i), ((k * (i + 3)) % 11).cast("double")) for i in range(5)])
     rows = part.select(k.cast("string").alias("id"), pts.alias("p"), F.lit(None).cast("array<double>").alias("first"), F.lit(None).cast("array<double>").alias("last"))
-    return curves.splined(rows).select("id", F.size("line").cast("long").alias("n_vertices"))
+    ends = lambda i: F.array_join(F.transform(F.element_at("line", F.lit(i)), lambda v: v.cast("decimal(20,6)")), " ")
+    return curves.splined(rows).select("id", F.size("line").cast("long").alias("n_vertices"), ends(1).alias("first"), ends(-1).alias("last"))
+
+
+def reprojection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions in a zone of MGA2020 made from the orders, in longitude and latitude."""
+    k = F.col("o_orderkey")
+    at = F.array((350000 + k % 300 * 1000).cast("double"), (6200000 + k % 911 * 1000).cast("double"), (k % 7).cast("double"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.cast("long").alias("k"), crs.reprojected(at, "EPSG:7850").alias("c"))
+    return rows.select("k", *[F.round(F.get("c", F.lit(i)), 9).alias(n) for i, n in enumerate(("lon", "lat", "height"))])
+
+
+def rule_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and counts of structure and all rules for the mesh and for a dataset without issues, over the issues of four quick rules."""
+    t = mesh.mesh(spark, sf_dir)
+    found = None
+    for name in QUICK:
+        rows = RULES[name][2](t, Tolerances())
+        found = rows if found is None else found.unionByName(rows)
+    known = spark.createDataFrame([("mesh",), ("sound",)], "dataset_id string")
+    return rule_results(found, known).select("dataset_id", "rule", "name", F.col("class").alias("conformance_class"), "status", "issues", "errors")
+
+
+QUICK = ("TR-05", "TR-07", "TR-10", "TR-18")
+
+
+def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What customers' compact names mean among the suppliers' and nations' full ones, by prefixes of several sources."""
+    names = namespaces.merged(namespaces.of_context([{"s": "http://e/supplier/", "x": "http://e/x", "n": {"@id": "http://e/nation#"}}, "http://remote/"]), namespaces.normalised(["s=http://other/", "http://e/supplier/"]))
+    c = F.col("c_custkey").cast("string")
+    refs = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lit("d").alias("dataset_id"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("s:"), c)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("q:"), c)).otherwise(F.concat(F.lit("http://e/nation#"), c)).alias("ref"))
+    known = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("http://e/supplier/"), "s_suppkey").alias("id")).unionByName(spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("http://e/nation#"), "n_nationkey").alias("id")))
+    return namespaces.looked_up(refs, known.withColumn("dataset_id", F.lit("d")), namespaces.table(spark, names)).select("ref", "found")
 
 
 FMT = "concat(CAST(CAST(x AS DECIMAL(20,6)) AS VARCHAR), ' ', CAST(CAST(y AS DECIMAL(20,6)) AS VARCHAR), ' ', CAST(CAST(z AS DECIMAL(20,6)) AS VARCHAR))"
@@ -178,6 +212,7 @@ ring AS (SELECT surface_id, CASE WHEN l[1] = l[len(l)] THEN l ELSE list_append(l
 TEXT = "array_to_string(list_transform(l, lambda q: concat(CAST(CAST(q.x AS DECIMAL(20,6)) AS VARCHAR), ' ', CAST(CAST(q.y AS DECIMAL(20,6)) AS VARCHAR), ' ', CAST(CAST(q.z AS DECIMAL(20,6)) AS VARCHAR))), ',')"
 
 QUERIES |= {f"geometry_{k}": geometry_query(k) for k in ("edges", "faces", "solids")} | {"components": components, "curves_arcs": arcs, "curves_splines": splines}
+QUERIES |= {"structure_codes": structure.planted, "reprojection": reprojection, "rule_statuses": rule_statuses, "namespace_lookups": lookups}
 SQL |= {
     "geometry_edges": f"{mesh.ctes()} SELECT curve_id AS id, count(*) AS n_vertices, string_agg({FMT}, ',' ORDER BY pos) AS vertices FROM curve_vertex JOIN point ON point.id = point_id GROUP BY curve_id HAVING count(*) >= 2",
     "geometry_faces": f"{mesh.ctes()}, {RING} SELECT surface_id AS id, CAST(len(l) AS BIGINT) AS n_vertices, {TEXT} AS vertices FROM ring",
@@ -187,3 +222,29 @@ SQL |= {
  UNION ALL SELECT feature_id, 'points', count(DISTINCT point_id) FROM up JOIN ring_member rm ON surface_id = s JOIN curve_vertex cv ON cv.curve_id = rm.curve_id GROUP BY feature_id""",
     "curves_arcs": ARC_SQL,
 }
+
+_N = "(1.0 / 298.257222101 / (2 - 1.0 / 298.257222101))"
+#: The series in the third flattening n, written as powers of n by multiple of the angle.
+_BETA = ("n/2 - 2*n*n/3 + 37*n*n*n/96 - n*n*n*n/360", "n*n/48 + n*n*n/15 - 437*n*n*n*n/1440", "17*n*n*n/480 - 37*n*n*n*n/840", "4397*n*n*n*n/161280")
+_DELTA = ("2*n - 2*n*n/3 - 2*n*n*n + 116*n*n*n*n/45", "7*n*n/3 - 8*n*n*n/5 - 227*n*n*n*n/45", "56*n*n*n/15 - 136*n*n*n*n/35", "4279*n*n*n*n/630")
+_SINH, _COSH = "((exp({0}) - exp(-({0}))) / 2)", "((exp({0}) + exp(-({0}))) / 2)"
+REPROJECTION_SQL = f"""
+WITH a AS (SELECT CAST(o_orderkey AS BIGINT) AS k, 350000.0 + o_orderkey % 300 * 1000 AS x, 6200000.0 + o_orderkey % 911 * 1000 AS y, CAST(o_orderkey % 7 AS DOUBLE) AS h, CAST({_N} AS DOUBLE) AS n FROM orders),
+b AS (SELECT *, 0.9996 * 6378137.0 / (1 + n) * (1 + n*n/4 + n*n*n*n/64) AS r FROM a),
+c AS (SELECT *, (y - 10000000.0) / r AS xi, (x - 500000.0) / r AS eta FROM b),
+d AS (SELECT *, xi - {" - ".join(f"({c}) * sin({2 * j} * xi) * {_COSH.format(f'{2 * j} * eta')}" for j, c in enumerate(_BETA, 1))} AS u,
+             eta - {" - ".join(f"({c}) * cos({2 * j} * xi) * {_SINH.format(f'{2 * j} * eta')}" for j, c in enumerate(_BETA, 1))} AS v FROM c),
+e AS (SELECT *, asin(sin(u) / {_COSH.format('v')}) AS chi, atan2({_SINH.format('v')}, cos(u)) AS l FROM d)
+SELECT k, round(117 + degrees(l), 9) AS lon, round(degrees(chi + {" + ".join(f"({c}) * sin({2 * j} * chi)" for j, c in enumerate(_DELTA, 1))}), 9) AS lat, h AS height FROM e"""
+_TITLES = ", ".join(f"({i}, '{r}', '{RULES[r][0]}', '{RULES[r][1]}')" for i, r in enumerate(sorted(RULES), 1))
+_QUICK_SQL = " UNION ALL ".join(f"SELECT '{n}' AS rule FROM ({ORACLES[n][1]}) r" for n in QUICK)
+SQL |= {
+    "structure_codes": structure.planted_sql(),
+    "reprojection": REPROJECTION_SQL,
+    "rule_statuses": f"""{mesh.ctes()}, found AS ({_QUICK_SQL}), titles(i, rule, name, class) AS (VALUES (0, 'Structure', 'Structure', ''), {_TITLES})
+ SELECT d AS dataset_id, t.rule, name, class AS conformance_class, CASE WHEN count(f.rule) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(f.rule) AS issues, count(f.rule) AS errors
+ FROM (VALUES ('mesh'), ('sound')) AS v(d) CROSS JOIN titles t LEFT JOIN found f ON f.rule = t.rule AND d = 'mesh' GROUP BY ALL""",
+    "namespace_lookups": """WITH refs AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN concat('s:', c_custkey) WHEN 1 THEN concat('q:', c_custkey) ELSE concat('http://e/nation#', c_custkey) END AS ref FROM customer)
+ SELECT ref, CASE WHEN k % 3 = 2 AND k IN (SELECT n_nationkey FROM nation) THEN ref
+   ELSE CASE WHEN k IN (SELECT s_suppkey FROM supplier) THEN concat('http://e/supplier/', k) WHEN k IN (SELECT n_nationkey FROM nation) THEN concat('http://e/nation#', k) END END AS found FROM refs""",
+}

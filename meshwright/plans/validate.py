@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import fields
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Tolerances, Topology
 from ..operators.rules import CLASSES, RULES
+from ..storage import stored
 from .derive import D
 
 ISSUE = ("dataset_id", "rule", "code", "severity", "object_id", "detail")
@@ -40,6 +42,7 @@ def validate(t: Topology, tolerances: Tolerances | None = None, classes: Iterabl
     """All issues.  Datasets with an error of structure, or all in 2D, get no rule issues.  classes: ids like CC-01; none means all, unknown ones match nothing."""
     tol, chosen = tolerances or Tolerances(), set(classes or ())
     first = structure(t)
+    first = stored(first)
     stop = first.select(D).distinct()
     parts = [first]
     for number in CLASSES:
@@ -48,16 +51,49 @@ def validate(t: Topology, tolerances: Tolerances | None = None, classes: Iterabl
             continue
         if progress:
             progress(f"{group} {CLASSES[number]}")
-        parts += [f(t, tol).join(F.broadcast(stop), D, "left_anti") for _, g, f in RULES.values() if g == group]
+        parts += [f(t, tol).join(stop, D, "left_anti") for _, g, f in RULES.values() if g == group]
     return reduce(DataFrame.unionByName, parts).select(*ISSUE)
 
 
-def rule_results(issues: DataFrame) -> DataFrame:
-    """Per dataset and rule that occurs in any dataset's report: name, class, status (FAIL, WARN, PASS) and counts."""
-    spark = issues.sparkSession
+def datasets(t: Topology) -> DataFrame:
+    """The ids of all datasets that have any record."""
+    return reduce(DataFrame.unionByName, [getattr(t, f.name).select(D) for f in fields(t)]).distinct()
+
+
+def rule_table(spark: SparkSession) -> DataFrame:
+    """Structure and the rules, in the order of reports: ord, rule, name, class."""
     table = [("Structure", "Structure", "")] + [(r, *RULES[r][:2]) for r in sorted(RULES)]
-    rules = spark.createDataFrame([(i, *x) for i, x in enumerate(table)], "ord int, rule string, name string, class string")
-    counts = issues.groupBy(D, "rule").agg(F.count(F.lit(1)).alias("issues"), F.count_if(F.col("severity") == "error").alias("errors"))
-    every = issues.select(D).distinct().join(F.broadcast(rules))
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(table)], "ord int, rule string, name string, class string")
+
+
+def rule_results(issues: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Per dataset and rule: name, class, status (FAIL, WARN, PASS), issues and errors.
+
+    known: the ids of all datasets (``datasets``); without it those that have issues, so that valid ones are not listed.
+    """
+    rules = rule_table(issues.sparkSession)
+    counts = issues.groupBy(D, "rule").agg(F.count(F.lit(1)).alias("issues"), F.count_if(is_error()).alias("errors"))
+    known = issues.select(D) if known is None else known.select(D)
+    every = known.distinct().join(F.broadcast(rules))
     out = every.join(counts, [D, "rule"], "left").na.fill(0, ["issues", "errors"])
     return out.withColumn("status", F.when(F.col("errors") > 0, "FAIL").when(F.col("issues") > 0, "WARN").otherwise("PASS"))
+
+
+def is_error() -> Column:
+    """Issues without a severity are errors."""
+    return F.coalesce("severity", F.lit("error")) == "error"
+
+
+def errors_only(issues: DataFrame) -> DataFrame:
+    return issues.where(is_error())
+
+
+def has_error(issues: DataFrame, code: str) -> DataFrame:
+    """Per dataset with issues: whether one of them has the code."""
+    return issues.groupBy(D).agg(F.bool_or(F.col("code") == code).alias("found"))
+
+
+def findings(issues: DataFrame) -> DataFrame:
+    """Issues as findings of a validation host: message, is_error and payload (JSON)."""
+    text = F.concat_ws(" ", F.concat(F.col("code"), F.lit(":")), "object_id", F.expr("nullif(detail, '')"))
+    return issues.select(D, text.alias("message"), is_error().alias("is_error"), F.to_json(F.struct(*[c for c in ISSUE if c != D])).alias("payload"))

@@ -7,6 +7,8 @@ shells with one id the last counts; a feature's ``place`` comes before its ``geo
 
 from __future__ import annotations
 
+from dataclasses import fields, replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,16 +118,26 @@ def load(docs: DataFrame) -> Topology:
 
 
 def merged(first: Topology, second: Topology) -> Topology:
-    """Both, by dataset: of records with one id the second's counts, in the place of the first's."""
-    from dataclasses import fields, replace
-
+    """Both, by dataset: of records with one id the second's counts, whole and in the place of the first's; others of the second come after.
+
+    What belongs to a record (a curve's vertices, a surface's rings, a solid's faces) goes with it, even where the second's is empty.
+    """
+    owners = {"point": "point", "curve": "curve", "curve_vertex": "curve", "surface": "surface", "ring_member": "surface", "solid": "solid", "solid_face": "solid", "shell_face": "solid"}
+    places = {}
+    for name in ("point", "curve", "surface", "solid"):
+        a, b = getattr(first, name).select(D, "id", "ord"), getattr(second, name).select(D, "id", "ord")
+        last = a.groupBy(D).agg(F.max("ord").alias("last"))
+        places[name] = b.join(a.select(D, "id", F.col("ord").alias("old")), [D, "id"], "left").join(last, D, "left").select(D, "id", F.coalesce("old", F.col("ord") + F.coalesce("last", F.lit(-1)) + 1).alias("_place"))
     out = {}
     for f in fields(Topology):
         a, b = getattr(first, f.name), getattr(second, f.name)
-        owner = next((c for c in ("id", "curve_id" if f.name == "curve_vertex" else "surface_id", "solid_id") if c in a.columns), None)
+        owner = owners.get(f.name)
         if owner is None:
             out[f.name] = a.unionByName(b, allowMissingColumns=True).dropDuplicates([D, "ref", "source"])
-        else:
-            kept = a.join(b.select(D, owner).distinct(), [D, owner], "left_anti")
-            out[f.name] = kept.unionByName(b, allowMissingColumns=True)
+            continue
+        key, ord_ = ("id", "ord") if f.name == owner else (f"{owner}_id", f"{owner}_ord")
+        place = places[owner].withColumnRenamed("id", key)
+        moved = b.join(place, [D, key])
+        moved = moved.withColumn(ord_, F.col("_place")) if ord_ in b.columns else moved
+        out[f.name] = a.join(place.select(D, key), [D, key], "left_anti").unionByName(moved.drop("_place").select(*b.columns), allowMissingColumns=True)
     return replace(first, **out)

@@ -16,14 +16,14 @@ from meshwright.plans.validate import rule_results, validate
 from meshwright.sources import csdm
 
 SF = "/root/testdata/sf0.001"
-FEW = ["tr11_point_fabric_consistency", "tr06_closed_solids", "tr25_shell_orientation", "geometry_faces", "curves_arcs"]
+FEW = ["structure_codes", "reprojection", "rule_statuses", "namespace_lookups", "tr24_solid_self_intersection", "tr11_point_fabric_consistency", "tr06_closed_solids", "tr25_shell_orientation", "geometry_faces", "curves_arcs"]
 
 
 @pytest.mark.parametrize("name", FEW)
 def test_query_equals_sql(spark, name):
     got = entry.queries()[name](spark, SF).toPandas()
     con = duckdb.connect()
-    for t in ("orders", "part"):
+    for t in ("orders", "part", "customer", "supplier", "nation"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(entry.oracle_sql()[name]).df()
     cols = sorted(want.columns)
@@ -143,3 +143,72 @@ def test_turtle_graph_is_the_model_of_its_document(spark):
     assert few == {"point": set("abcd"), "curve": {"bc", "ca", "ad", "bd", "cd"}, "surface": {"bottom", "front", "left"}, "solid": set()}
     found = {(r.dataset_id, r.rule) for r in validate(t, classes=["CC-01", "CC-02", "CC-03"]).collect()}
     assert ("dangling", "TR-13") in found and not {r for d, r in found if d == "good"}
+
+
+def test_group_pairs_with_large_groups(spark, monkeypatch):
+    from meshwright.operators import spatial
+
+    rng = np.random.default_rng(6)
+    low = rng.uniform(0, 30, (90, 3))
+    rows = [("k" if i < 60 else "m", i, *sum(([float(a), float(a) + 4] for a in lo), [])) for i, lo in enumerate(low)]
+    df = spark.createDataFrame(rows, "key string, ord int, x1 double, x2 double, y1 double, y2 double, z1 double, z2 double")
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if (i < 60) == (j < 60) and (abs(low[i] - low[j]) <= 4).all()}
+    box = [f"{c}{i}" for c in "xyz" for i in (1, 2)]
+    for small in (2000, 40):
+        monkeypatch.setattr(spatial, "SMALL", small)
+        pairs = spatial.group_pairs(df, ["key"], box, box)
+        for c in "xyz":
+            pairs = pairs.where(f"a_{c}1 <= b_{c}2 and b_{c}1 <= a_{c}2")
+        got = [(r.a_ord, r.b_ord) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_merge_keeps_places_and_clean_joins_coincident_geometry(spark):
+    from meshwright.operators.resolve import cleaned
+
+    one = csdm.load(csdm.from_strings(spark, {"d": tetrahedron()}))
+    two = csdm.load(csdm.from_strings(spark, {"d": json.dumps({"points": [{"features": [{"id": "z", "geometry": {"coordinates": [0, 0, 4]}}, {"id": "b", "geometry": {"coordinates": [9, 0, 0]}}]}], "edges": [{"features": [feature("ab", references=[]), feature("zc", references=["z", "c"])]}]})}))
+    t = csdm.merged(one, two)
+    assert [r.id for r in t.point.orderBy("ord").collect()] == ["a", "b", "c", "d", "z"] and t.point.where("id = 'b'").first().x == 9
+    assert [r.id for r in t.curve.orderBy("ord").collect()][:2] == ["ab", "bc"] and t.curve_vertex.where("curve_id = 'ab'").count() == 0
+    c = cleaned(t)
+    assert {r.id for r in c.point.collect()} == set("abcd") and "zc" not in {r.id for r in c.curve.collect()}
+
+
+def test_reports_of_valid_models_and_command_lines(spark, tmp_path, capsys):
+    from meshwright import cli
+    from meshwright.plans.validate import datasets, findings, has_error
+
+    path = tmp_path / "good.json"
+    path.write_text(tetrahedron())
+    assert cli.main(["validate", str(path), "--format", "json", "--classes", "CC-01", "CC-05"], spark) == 0
+    body = json.loads(capsys.readouterr().out)
+    assert body["valid"] and len(body["ruleResults"]) == 26 and {r["status"] for r in body["ruleResults"]} == {"PASS"}
+    assert cli.main(["convert", str(path), "--mode", "points,faces", "--number", "2"], spark) == 0
+    features = json.loads(capsys.readouterr().out)["features"]
+    assert [f["geometry"]["type"] for f in features].count("Polygon") == 2 and len(features) == 6
+    raw = tmp_path / "raw.json"
+    raw.write_text('{"points": [], "curves": [], "surfaces": []}')
+    assert cli.main(["validate", "--raw", str(raw)], spark) == 1 and "MISSING_COLLECTION" in capsys.readouterr().out
+    t = csdm.load(csdm.from_strings(spark, {"bad": tetrahedron(drop="d"), "good": tetrahedron()}))
+    issues = validate(t, classes=["CC-01"])
+    assert {r[0] for r in datasets(t).collect()} == {"bad", "good"} and has_error(issues, "UNKNOWN_POINT_REFERENCE").first().found
+    assert findings(issues).first().is_error
+    assert {r.found for r in cli.looks_like_topology(csdm.from_strings(spark, {"d": tetrahedron()})).collect()} == {True}
+
+
+def test_reprojection_known_position_and_arc_faults(spark):
+    from pyspark.sql import functions as F
+
+    from meshwright.functions import crs
+
+    rows = spark.createDataFrame([([500000.0, 10000000.0, 3.0],), ([1.0],)], "c array<double>")
+    got = [r[0] for r in rows.select(crs.reprojected(F.col("c"), "EPSG:7850")).collect()]
+    assert got[0] == pytest.approx([117.0, 0.0, 3.0]) and got[1] == [1.0]
+    assert crs.is_geographic(" [EPSG:4326] ") and crs.zone("EPSG:32733").meridian == 15 and crs.zone("EPSG:3857") is None
+    arcs = [("a", "Arc", [[0.0, 0.0], [1.0, 1.0], [2.0, 2.0]], None, None), ("b", "ArcWithCenter", [[1.0, 0.0], [0.0, 0.0], [0.0, 2.0]], None, "ccw"), ("c", "ArcByChord", [[0.0, 0.0], [4.0, 0.0]], 1.0, "cw"), ("d", "Bow", [[0.0, 0.0]], None, None), ("e", "CircleByCenter", [[0.0, 0.0]], 2.0, None)]
+    got = {r.id: r.fault for r in curves.faults(spark.createDataFrame(arcs, "id string, type string, p array<array<double>>, radius double, orientation string")).collect()}
+    assert got == {"a": "POINTS_ON_A_LINE", "b": "RADII_DIFFER", "c": "RADIUS_TOO_SMALL", "d": "UNKNOWN_TYPE", "e": None}
+    stats = curves.chord_statistics(spark.createDataFrame([(10.0, 1.5)], "radius double, sweep double")).first()
+    assert stats.arc_length == 15 and stats.reached <= 0.02 and stats.chords * stats.chord_length < 15
+    assert spark.createDataFrame([([[1.0, 2.0], [4.0, 6.0]],)], "l array<array<double>>").select(curves.tangent(F.col("l"))).first()[0] == [3, 4]
