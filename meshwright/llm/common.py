@@ -1,45 +1,16 @@
-"""Shared pieces: tables in the shared folder, hot-key joins and input normalisation."""
+"""Shared pieces: hot-key joins and input normalisation."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds at least 1/HOT of all rows, or HOT_ROWS: at most HOT keys and one for each HOT_ROWS rows.
-HOT, HOT_ROWS = 256, 1_000_000
+from ..storage import delete, shared_dir, stored
 
+__all__ = ["HOT", "HOT_ROWS", "delete", "few", "hot_join", "keyed", "shared_dir", "stored", "texts", "unkeyed"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset on one machine (master local[...], as in tests) a temporary one."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        d = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        atexit.register(_delete, spark, d)
-    return d.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001 - the session may already be gone at exit
-        pass
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A key is hot when it holds at least 1/HOT of all rows, or HOT_ROWS: at most HOT keys and one for each HOT_ROWS rows.
+HOT, HOT_ROWS = 256, 1_000_000
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

@@ -10,7 +10,8 @@ which decides where only one distinct block has that hash; blocks that share a h
 names are joined by broadcast, so no task gets all occurrences of a hot block, pair or text.
 
 Defined results: null text equals empty text; of equal texts the largest doc_id stays; repeated rows are all
-reported, and one of them is kept; empty tables give an empty result; extra columns are not read.
+reported, and one of them is kept; a very long text is cut into as many blocks as it needs, by one task; empty tables give an empty result; extra
+columns are not read.
 """
 
 from __future__ import annotations

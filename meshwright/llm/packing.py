@@ -7,7 +7,8 @@ non-negative least squares and rounded down, and what is left is packed by best
 (rank ranges of each length -> sequences) is joined back to the pieces.
 
 Defined results: null text is an empty text (one token, the end id); empty tables give an empty result; equal rows
-are packed one by one; ties are settled by doc_id and piece; other columns of the input are not read.
+are packed one by one; ties are settled by doc_id and piece; a text of any length is tokenized whole by
+one task, in memory in proportion to it; other columns of the input are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ The index may be as large as ``max_index_bytes``; a longer list is joined by its
 
 Defined results: null urls and urls without ``://`` have empty host and path and get the method's verdict (``allow``, since no rule
 fits); of rules that repeat a host and path the first (block before allow in a table) counts; empty tables
-give empty results; other columns of pages are not read.
+give empty results; repeated rows are judged one by one and alike; of rules that fit the longest wins, so there are no other ties; urls of any length are
+judged whole; other columns of pages are not read.
 """
 
 from __future__ import annotations

@@ -11,11 +11,12 @@ Options of the reader: ``path``; ``payload`` (true: decode payloads); ``partitio
 
 Defined results of ``archive``: null html is an empty payload; of equal payloads of at least ``min_bytes`` the
 smallest page_id is the response and rows with other ids revisit it, rows that repeat that id are responses too; ties can't
-occur otherwise; null urls become an empty target; empty tables give an empty archive; other columns are not read.
+occur otherwise; null urls become an empty target; empty tables give an empty archive; a payload of any length is one member, written and read by one task; other columns are not read.
 """
 
 from __future__ import annotations
 
+import atexit
 import base64
 import gzip
 import hashlib
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from .common import hot_join, shared_dir
+from .common import delete, hot_join, shared_dir
 
 READ = "record_id string, record_type string, target_uri string, date string, refers_to string, header_digest string, payload_bytes long, payload_digest string, payload binary"
 WRITE = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_bytes long, payload binary"
@@ -91,6 +92,7 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path, self.file_bytes = options["path"].rstrip("/"), int(options.get("file_bytes", 128 << 20))
+        self.mark = f"_open-{uuid.uuid4().hex}-"  # of the files of this write until it is committed
 
     def write(self, iterator: Iterator) -> Written:
         fs, root = opened(self.path)
@@ -102,7 +104,7 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is not None:
                         out.close()
                     files.append(f"{uuid.uuid4().hex}.warc.gz")
-                    out, size = fs.open_output_stream(f"{root}/_open-{files[-1]}", compression=None), 0
+                    out, size = fs.open_output_stream(f"{root}/{self.mark}{files[-1]}", compression=None), 0
                 raw = member(record(row))
                 out.write(raw)
                 size += len(raw)
@@ -115,13 +117,20 @@ class WarcWriter(DataSourceArrowWriter):
         fs.create_dir(root, recursive=True)
         for m in messages:
             for f in m.files if m else ():
-                fs.move(f"{root}/_open-{f}", f"{root}/{f}")
+                fs.move(f"{root}/{self.mark}{f}", f"{root}/{f}")
+        self.clear(fs, root)
 
     def abort(self, messages: list) -> None:
         fs, root = opened(self.path)
-        for m in messages:
-            for f in m.files if m else ():
-                fs.delete_file(f"{root}/_open-{f}")
+        self.clear(fs, root)
+
+    def clear(self, fs, root: str) -> None:
+        """Deletes what tasks of this write have left open, lost ones too."""
+        from pyarrow.fs import FileSelector
+
+        for found in fs.get_file_info(FileSelector(root, allow_not_found=True)):
+            if found.base_name.startswith(self.mark):
+                fs.delete_file(found.path)
 
 
 @dataclass
@@ -340,6 +349,8 @@ def archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2026-0
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of each page, read back from its archive."""
     spark = pages.sparkSession
-    back = archive(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}", min_bytes)
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+    back = archive(pages, path, min_bytes)
     number = lambda c: F.substring_index(c, ":", -1).cast("long")
     return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

@@ -504,3 +504,16 @@ def test_near_duplicates_equal_all_pairs(spark, margin):
     assert {d: r.near_id for d, r in got.items()} == want
     sizes = Counter(want.values())
     assert all(r.near_size == sizes[r.near_id] and r.kept == (d == r.near_id) for d, r in got.items())
+
+
+def test_fingerprints_of_rows_without_id_and_of_many_runs(spark):
+    rows = [(None, "b  C"), (None, "é"), (5, "B c"), (7, None), (7, ""), (9, prose(3, 50))] + [(100 + i, prose(i, 20)) for i in range(150)]
+    got = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), part_chars=200).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 2
+    of = {(r.doc_id, r.n_chars): r for r in got}
+    assert of[None, 4].fingerprint == of[5, 3].fingerprint == fingerprint.digest("b c")
+    assert of[5, 3].edited_sha256 == hashlib.sha256(b"B ").hexdigest()  # the next text is empty
+    for i in range(149):
+        a, b = prose(i, 20), prose(i + 1, 20)
+        half = len(a) // 2
+        assert of[100 + i, len(a)].edited_sha256 == hashlib.sha256((a[: len(a) - half] + b[:half]).encode()).hexdigest()
