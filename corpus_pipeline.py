@@ -1,7 +1,9 @@
 """A training corpus from ``documents``: toxic texts go, then exact copies, then near copies; personal data is masked; what is left is packed.
 
 doc_id is the key of documents.  Rows without one are told apart by their texts and count as having the least ids, so of
-equal texts a row with an id stays and of near ones the row without.  Every stage handles null and empty texts and empty tables as its operator does.
+equal texts a row with an id stays and of near ones the row without.  Columns beyond those of documents are carried along, whatever their names.  Null and
+empty texts count as empty: one of them stays; rows that repeat an id and a text are copies, of which one stays.  Texts of any length are worked on
+whole.  An empty table leaves every stage empty.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ from ..model import Tolerances
 from ..functions import crs
 from ..operators import curves, namespaces, resolve
 from ..operators.rules import RULES
-from . import mesh, structure
+from . import mesh, samples, structure
 from .validate import rule_results
 
 SEG = """seg AS (SELECT a.curve_id, a.curve_ord, a.pos AS i, a.point_id AS ia, b.point_id AS ib, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS by_, q.z AS bz
@@ -212,7 +212,7 @@ ring AS (SELECT surface_id, CASE WHEN l[1] = l[len(l)] THEN l ELSE list_append(l
 TEXT = "array_to_string(list_transform(l, lambda q: concat(CAST(CAST(q.x AS DECIMAL(20,6)) AS VARCHAR), ' ', CAST(CAST(q.y AS DECIMAL(20,6)) AS VARCHAR), ' ', CAST(CAST(q.z AS DECIMAL(20,6)) AS VARCHAR))), ',')"
 
 QUERIES |= {f"geometry_{k}": geometry_query(k) for k in ("edges", "faces", "solids")} | {"components": components, "curves_arcs": arcs, "curves_splines": splines}
-QUERIES |= {"structure_codes": structure.planted, "reprojection": reprojection, "rule_statuses": rule_statuses, "namespace_lookups": lookups}
+QUERIES |= {"structure_codes": structure.planted, "reprojection": reprojection, "rule_statuses": rule_statuses, "namespace_lookups": lookups, "document_rules": samples.issues}
 SQL |= {
     "geometry_edges": f"{mesh.ctes()} SELECT curve_id AS id, count(*) AS n_vertices, string_agg({FMT}, ',' ORDER BY pos) AS vertices FROM curve_vertex JOIN point ON point.id = point_id GROUP BY curve_id HAVING count(*) >= 2",
     "geometry_faces": f"{mesh.ctes()}, {RING} SELECT surface_id AS id, CAST(len(l) AS BIGINT) AS n_vertices, {TEXT} AS vertices FROM ring",
@@ -240,6 +240,7 @@ _TITLES = ", ".join(f"({i}, '{r}', '{RULES[r][0]}', '{RULES[r][1]}')" for i, r i
 _QUICK_SQL = " UNION ALL ".join(f"SELECT '{n}' AS rule FROM ({ORACLES[n][1]}) r" for n in QUICK)
 SQL |= {
     "structure_codes": structure.planted_sql(),
+    "document_rules": samples.issues_sql(),
     "reprojection": REPROJECTION_SQL,
     "rule_statuses": f"""{mesh.ctes()}, found AS ({_QUICK_SQL}), titles(i, rule, name, class) AS (VALUES (0, 'Structure', 'Structure', ''), {_TITLES})
  SELECT d AS dataset_id, t.rule, name, class AS conformance_class, CASE WHEN count(f.rule) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(f.rule) AS issues, count(f.rule) AS errors
