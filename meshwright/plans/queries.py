@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import Tolerances
 from ..functions import crs
-from ..operators import curves, namespaces, resolve
+from ..operators import curves, inline, namespaces, resolve
 from ..operators.rules import RULES
 from . import mesh, samples, structure
 from .validate import rule_results
@@ -193,6 +193,26 @@ def rule_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUICK = ("TR-05", "TR-07", "TR-10", "TR-18")
 
 
+#: One document: a square of side #, its edges in mixed directions, and features of every type of inline topology.
+SQUARE = """{"points":[{"features":[{"id":"a","place":{"coordinates":[0,0]}},{"id":"b","place":{"coordinates":[#,0]}},{"id":"c","geometry":{"coordinates":[#,#]}},{"id":"d","place":{"coordinates":[0,#]}}]}],
+"edges":[{"features":[{"id":"ab","topology":{"type":"LineString","references":["a","b"]}},{"id":"cb","topology":{"type":"Edge","references":["c","b"]}},{"id":"cd","topology":{"references":["c","nobody","d"]}},{"id":"ad","topology":{"type":"linestring","references":["a","d"]}},{"id":"short","topology":{"type":"Edge","references":["a","nobody"]}}]}],
+"faces":[{"features":[{"id":"square","topology":{"type":"Polygon","references":[["ab","cb","cd","ad"]]}},{"id":"both","topology":{"type":"MultiLineString","references":[["a","b"],["c","nobody"],["c","d","a"]]}},{"id":"one","topology":{"type":"Node","references":["c"]}},{"id":"walk","topology":{"directed_references":[{"ref":"ab"},{"ref":"cb","orientation":"-"},{"ref":"cd"}]}},{"id":"whole","topology":{"type":"AggregatePolygon","references":["square","walk","nobody"]}},{"id":"odd","topology":{"type":"Node","references":[["a"]]}}]}]}"""
+_RING, _WALK = "[[0.0,0.0],[#.0,0.0],[#.0,#.0],[0.0,#.0],[0.0,0.0]]", "[[0.0,0.0],[#.0,0.0],[#.0,#.0],[0.0,#.0]]"
+#: Its geometries.
+SQUARES = [
+    ("ab", "LineString", "[[0.0,0.0],[#.0,0.0]]"), ("cb", "LineString", "[[#.0,#.0],[#.0,0.0]]"), ("cd", "LineString", "[[#.0,#.0],[0.0,#.0]]"), ("ad", "LineString", "[[0.0,0.0],[0.0,#.0]]"),
+    ("square", "Polygon", f"[{_RING}]"), ("both", "MultiLineString", "[[[0.0,0.0],[#.0,0.0]],[[#.0,#.0],[0.0,#.0],[0.0,0.0]]]"), ("one", "Point", "[#.0,#.0]"),
+    ("walk", "Polygon", f"[{_WALK}]"), ("whole", "MultiPolygon", f"[[{_RING}],[{_WALK}]]"),
+]
+
+
+def inline_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geometries of inline topology in one document for each part."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    docs = part.select(F.concat(F.lit("d:"), "p_partkey").alias("dataset_id"), F.parse_json(F.replace(F.lit(SQUARE), F.lit("#"), (1 + F.col("p_partkey") % 7).cast("string"))).alias("doc"))
+    return inline.converted(docs)
+
+
 def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What customers' compact names mean among the suppliers' and nations' full ones, by prefixes of several sources."""
     names = namespaces.merged(namespaces.of_context([{"s": "http://e/supplier/", "x": "http://e/x", "n": {"@id": "http://e/nation#"}}, "http://remote/"]), namespaces.normalised(["s=http://other/", "http://e/supplier/"]))
@@ -212,7 +232,7 @@ ring AS (SELECT surface_id, CASE WHEN l[1] = l[len(l)] THEN l ELSE list_append(l
 TEXT = "array_to_string(list_transform(l, lambda q: concat(CAST(CAST(q.x AS DECIMAL(20,6)) AS VARCHAR), ' ', CAST(CAST(q.y AS DECIMAL(20,6)) AS VARCHAR), ' ', CAST(CAST(q.z AS DECIMAL(20,6)) AS VARCHAR))), ',')"
 
 QUERIES |= {f"geometry_{k}": geometry_query(k) for k in ("edges", "faces", "solids")} | {"components": components, "curves_arcs": arcs, "curves_splines": splines}
-QUERIES |= {"structure_codes": structure.planted, "reprojection": reprojection, "rule_statuses": rule_statuses, "namespace_lookups": lookups, "document_rules": samples.issues}
+QUERIES |= {"structure_codes": structure.planted, "reprojection": reprojection, "rule_statuses": rule_statuses, "namespace_lookups": lookups, "document_rules": samples.issues, "inline_topology": inline_topology}
 SQL |= {
     "geometry_edges": f"{mesh.ctes()} SELECT curve_id AS id, count(*) AS n_vertices, string_agg({FMT}, ',' ORDER BY pos) AS vertices FROM curve_vertex JOIN point ON point.id = point_id GROUP BY curve_id HAVING count(*) >= 2",
     "geometry_faces": f"{mesh.ctes()}, {RING} SELECT surface_id AS id, CAST(len(l) AS BIGINT) AS n_vertices, {TEXT} AS vertices FROM ring",
@@ -241,6 +261,8 @@ _QUICK_SQL = " UNION ALL ".join(f"SELECT '{n}' AS rule FROM ({ORACLES[n][1]}) r"
 SQL |= {
     "structure_codes": structure.planted_sql(),
     "document_rules": samples.issues_sql(),
+    "inline_topology": "SELECT concat('d:', p_partkey) AS dataset_id, id, geom_type, replace(c, '#', CAST(1 + p_partkey % 7 AS VARCHAR)) AS coordinates FROM part CROSS JOIN (VALUES "
+    + ", ".join(f"('{i}', '{t}', '{c}')" for i, t, c in SQUARES) + ") AS v(id, geom_type, c)",
     "reprojection": REPROJECTION_SQL,
     "rule_statuses": f"""{mesh.ctes()}, found AS ({_QUICK_SQL}), titles(i, rule, name, class) AS (VALUES (0, 'Structure', 'Structure', ''), {_TITLES})
  SELECT d AS dataset_id, t.rule, name, class AS conformance_class, CASE WHEN count(f.rule) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(f.rule) AS issues, count(f.rule) AS errors
