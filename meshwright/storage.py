@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -35,4 +36,18 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path  # for release
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes stored tables that no plan reads any more, and lets Spark drop the shuffle files of plans that are gone."""
+    spark = None
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            spark = df.sparkSession
+            delete(spark, path)
+    if spark is not None:
+        gc.collect()
+        spark._jvm.System.gc()
