@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import delete, shared_dir, stored
+from ..storage import delete, release, shared_dir, stored
 
-__all__ = ["HOT", "HOT_ROWS", "delete", "few", "hot_join", "keyed", "shared_dir", "stored", "texts", "unkeyed"]
+__all__ = ["HOT", "HOT_ROWS", "delete", "few", "hot_join", "keyed", "release", "shared_dir", "stored", "texts", "unkeyed"]
 
 #: A key is hot when it holds at least 1/HOT of all rows, or HOT_ROWS: at most HOT keys and one for each HOT_ROWS rows.
 HOT, HOT_ROWS = 256, 1_000_000

@@ -6,8 +6,8 @@ q-grams; buckets of one suffix are done.  In the next step an anchor's bucket is
 or a class of it, agrees, all its strings repeat.  Buckets with several classes are refined in rounds, with one representative of each class.  A round
 looks at stretches of starts at the same offsets from the anchor, first of 64 starts, then of a quarter each time.  All strings of a stretch share its core; suffixes are
 put into the buckets of their cores, and those that are alone there have no repeat in that stretch and leave.  Suffixes that agree on all bytes
-of the stretch repeat with all its strings.  The others go on to the next round, whose cores are longer, so its buckets refine those before.  No string is written for each start, and the last
-word is always a comparison of bytes.
+of the stretch (by a digest of 256 bits) repeat with all its strings.  The others go on to the next round, whose cores are longer, so its buckets refine those before.  No string is
+written for each start, and a round's tables are deleted when the next one has its own.
 
 Identifiers are digests, so they name the same bucket everywhere and nothing has to be ranked by a sort over all suffixes.  Every join back goes by
 counts: hot identifiers are joined by broadcast, no group meets in one task, and no pairs are formed.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, hot_join, keyed, stored, texts
+from .common import few, hot_join, keyed, release, stored, texts
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -112,18 +113,25 @@ def sampled(docs: DataFrame, length: int, q: int) -> DataFrame:
     return texts(docs).mapInPandas(made, "doc_id long, v long, lo array<int>, hi array<int>, ahead array<short>, g array<long>, c array<long>")
 
 
-def repeated(docs: DataFrame, length: int = 200, q: int = 48) -> DataFrame:
-    """doc_id, v, lo, hi: ranges of starts whose strings of that length also start elsewhere."""
+def repeated(docs: DataFrame, length: int = 200, q: int = 48) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, v, lo, hi: ranges of starts whose strings of that length also start elsewhere; and the stored tables that this reads."""
     rows = stored(sampled(docs, length, q))
     each = rows.select("doc_id", "v", F.inline(F.arrays_zip("lo", "hi", "ahead", "g", "c")))
     total = rows.agg(F.coalesce(F.sum(F.size("g")), F.lit(0))).first()[0]
-    buckets = each.groupBy("g").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1")
-    near = stored(hot_join(each, stored(buckets), "g", "n", total, "doc_id").where("n > 1").drop("n"))
+    buckets = stored(each.groupBy("g").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1"))
+    near = stored(hot_join(each, buckets, "g", "n", total, "doc_id").where("n > 1").drop("n"))
+    del each
+    release(rows, buckets)
     mixed = near.where("mixed").withColumn("k", F.struct(F.col("g").alias("a"), F.col("c").alias("b")))
     classes = stored(mixed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "v", "lo", "hi", "ahead")).alias("rep")))
     known = hot_join(mixed.select("doc_id", "v", "lo", "hi", "k"), classes.where("n > 1").select("k", "n"), "k", "n", mixed.count(), "doc_id").where("n > 1")
-    whole = near.where("not mixed").select("doc_id", "v", "lo", "hi").unionByName(known.select("doc_id", "v", "lo", "hi"))
-    return whole.unionByName(refined(bodies(docs, classes, length), length, q))
+    whole = stored(near.where("not mixed").select("doc_id", "v", "lo", "hi").unionByName(known.select("doc_id", "v", "lo", "hi")))
+    reps = bodies(docs, classes, length)
+    del mixed, known
+    release(near, classes)
+    parts = refined(reps, length, q)
+    release(reps)
+    return reduce(DataFrame.unionByName, [whole, *parts]), [whole, *parts]
 
 
 def bodies(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
@@ -150,8 +158,8 @@ def bodies(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
     return stored(rows.dropDuplicates(["doc_id", "v", "lo"]))
 
 
-def refined(reps: DataFrame, length: int, q: int) -> DataFrame:
-    """doc_id, v, lo, hi: ranges of the representatives' starts (of classes that are not done) whose strings another representative has too."""
+def refined(reps: DataFrame, length: int, q: int) -> list[DataFrame]:
+    """doc_id, v, lo, hi: stored tables of ranges of the representatives' starts (of classes that are not done) whose strings another representative has too."""
     last = length - q
     size = 1
     while size * 8 <= length:
@@ -160,27 +168,30 @@ def refined(reps: DataFrame, length: int, q: int) -> DataFrame:
     first = F.col("lo") - F.col("hi") - F.col("ahead") + last
     cur = reps.select("doc_id", "v", "lo", "done", "bytes", first.alias("i"), (F.lit(last) - F.col("ahead")).alias("j"))
     cur = cur.withColumn("s", F.explode(F.array(*[F.lit(x) for x in range(0, last + 1, size)])))
-    out = None
+    out, before = [], None
     while True:
         cur = cur.withColumn("e", F.least(F.col("s") + size - 1, F.lit(last))).where("e >= i and s <= j")
         core = F.substring(F.col("bytes"), F.col("e") - F.col("i") + 1, F.col("s") + length - F.col("e"))
         cur = cur.withColumn("k", F.xxhash64("s", core))
         found = stored(cur.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("done")).alias("open")).where("n > 1"))
         total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        cur = stored(hot_join(cur, found.where("open > 0"), "k", "n", total, "lo").where("n > 1").drop("k", "n", "open"))
+        left = stored(hot_join(cur, found.where("open > 0"), "k", "n", total, "lo").where("n > 1").drop("k", "n", "open"))
+        release(found, *([before] if before is not None else []))
         full = (F.col("i") <= F.col("s")) & (F.col("e") <= F.col("j"))
         hull = F.substring(F.col("bytes"), F.col("s") - F.col("i") + 1, F.col("e") - F.col("s") + length)
-        whole = cur.where(full).withColumn("hull", hull)
+        # digests of 256 bits stand for the bytes
+        whole = left.where(full).withColumn("hull", F.unhex(F.sha2(hull, 256)))
         twice = stored(whole.groupBy("hull").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        whole = hot_join(whole, twice, "hull", "n", cur.count(), "lo").withColumn("hit", F.col("n").isNotNull()).drop("hull", "n")
-        cur = stored(whole.unionByName(cur.where(~full).withColumn("hit", F.lit(False))))
+        whole = hot_join(whole, twice, "hull", "n", left.count(), "lo").withColumn("hit", F.col("n").isNotNull()).drop("hull", "n")
+        before = stored(whole.unionByName(left.where(~full).withColumn("hit", F.lit(False))))
+        release(left, twice)
         at = F.col("lo") - F.col("i")
-        hits = cur.where("hit and not done").select("doc_id", "v", (at + F.col("s")).alias("lo"), (at + F.col("e")).alias("hi"))
-        out = hits if out is None else out.unionByName(hits)
+        out.append(stored(before.where("hit and not done").select("doc_id", "v", (at + F.col("s")).alias("lo"), (at + F.col("e")).alias("hi"))))
         if size == 1:
+            release(before)
             return out
         size //= 4
-        cur = cur.select("doc_id", "v", "lo", (F.col("done") | F.col("hit")).alias("done"), "bytes", "i", "j", F.explode(F.sequence(F.col("s"), F.col("e"), F.lit(size))).alias("s"))
+        cur = before.select("doc_id", "v", "lo", (F.col("done") | F.col("hit")).alias("done"), "bytes", "i", "j", F.explode(F.sequence(F.col("s"), F.col("e"), F.lit(size))).alias("s"))
 
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, _given boolean"
@@ -199,8 +210,10 @@ def cut(data: bytes, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[bytes
 def deduplicated(docs: DataFrame, length: int = 200, q: int = 48) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay)."""
     docs = keyed(docs)
-    ranges = repeated(docs, length, q).groupBy("doc_id", "v").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    ranges = stored(ranges)
+    found, read = repeated(docs, length, q)
+    ranges = stored(found.groupBy("doc_id", "v").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))
+    del found
+    release(*read)
     ids = ranges.select(F.col("doc_id").alias("id"))
     rows = texts(docs, "_given")
 
