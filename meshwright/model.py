@@ -9,6 +9,8 @@ from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame
 
+from .storage import stored
+
 
 @dataclass(frozen=True)
 class Tolerances:
@@ -36,6 +38,19 @@ class Topology:
     shell_face: DataFrame
     observation_curve: DataFrame
 
+    def kept(self) -> Topology:
+        """The same tables, each written to the shared folder when it is first used, so that plans over them stay small and read it instead of making it again."""
+        return _Kept(**{f.name: getattr(self, f.name) for f in fields(self)})
+
     def mapped(self, change) -> Topology:
         """The same tables, each changed by change(name, table)."""
         return replace(self, **{f.name: change(f.name, getattr(self, f.name)) for f in fields(self)})
+
+
+class _Kept(Topology):
+    def __getattribute__(self, name: str):
+        value = super().__getattribute__(name)
+        if isinstance(value, DataFrame) and not hasattr(value, "_stored_at"):
+            value = stored(value)
+            object.__setattr__(self, name, value)
+        return value

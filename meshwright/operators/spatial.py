@@ -67,7 +67,7 @@ def group_pairs(boxes: DataFrame, keys: list[str], left: list[str], right: list[
 
     Groups of up to SMALL boxes are joined with themselves on their keys, dealt out once; the few larger ones go through the grid.
     """
-    counted = boxes.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    counted = stored(boxes.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))))
     small = counted.where(F.col("_n") <= SMALL)
     carried = list(dict.fromkeys(["ord", *left, *right, *(f"{a}{i}" for a in AXES for i in (1, 2))]))
     side = lambda s: small.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in carried])
@@ -76,7 +76,7 @@ def group_pairs(boxes: DataFrame, keys: list[str], left: list[str], right: list[
         overlap = overlap & (F.col(f"a_{a}1") <= F.col(f"b_{a}2")) & (F.col(f"b_{a}1") <= F.col(f"a_{a}2"))
     columns = [*keys, *[f"a_{c}" for c in ["ord", *left]], *[f"b_{c}" for c in ["ord", *right]]]
     pairs = side("a").join(side("b"), keys).where(overlap).select(*columns)
-    large = stored(counted.where(F.col("_n") > SMALL).drop("_n"))
+    large = counted.where(F.col("_n") > SMALL).drop("_n")
     if not large.isEmpty():
         pairs = pairs.unionByName(box_pairs(large, keys, left, right))
     return pairs if where is None else pairs.where(where)

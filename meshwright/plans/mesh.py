@@ -100,7 +100,7 @@ def ctes(orders: str = "orders", string: str = "VARCHAR") -> str:
 
 
 def mesh(spark: SparkSession, sf_dir: str) -> Topology:
-    """The mesh of a folder's orders as one dataset; the lots are stored once, so orders are read once."""
+    """The mesh of a folder's orders as one dataset; the lots are stored once, so orders are read once, and each table when it is first used."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     lot = stored(spark.sql(TABLES["lot"].format(orders="{orders}"), orders=orders))
     rest = {name: sql.format(orders="{orders}", string="STRING") for name, sql in TABLES.items() if name != "lot"}
@@ -116,4 +116,4 @@ def mesh(spark: SparkSession, sf_dir: str) -> Topology:
         solid_face=table("solid_id, solid_ord, face_idx, face_id FROM solid_face"),
         shell_face=table("solid_id, solid_ord, 0 AS shell_idx, 'outer' AS shell_type, face_idx, face_id, orientation FROM solid_face"),
         observation_curve=spark.createDataFrame([], "dataset_id string, ref string, source string"),
-    )
+    ).kept()
