@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import few, hot_join, stored, texts
+from .common import few, hot_join, release, stored, texts
 from .components import components
 
 WORD = re.compile(r"\w+")
@@ -227,7 +227,9 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, sim
                     out.append((row.c, row.m, row.wa, row.wb))
             yield pd.DataFrame(out, columns=["c", "m", "wa", "wb"])
 
-    return stored(sides.repartition("c", "g").sortWithinPartitions("c", "g", "member").mapInPandas(tested, "c long, m long, wa long, wb long"))
+    out = stored(sides.repartition("c", "g").sortWithinPartitions("c", "g", "member").mapInPandas(tested, "c long, m long, wa long, wb long"))
+    release(likely)
+    return out
 
 
 def _by(pairs: DataFrame, key: str, table: DataFrame) -> tuple[DataFrame, str, str, int]:
@@ -304,7 +306,8 @@ def crossing(docs: DataFrame, reps: DataFrame, stars: DataFrame, found: DataFram
         each(F.col("nm"), lambda j: place(True, F.col("b"), j, 0)),
     )
     rows = rows.withColumn("places", F.when(F.col("apart"), apart).otherwise(each(F.col("nr"), lambda i: place(True, i, F.col("b"), 1))))
-    rows = stored(rows.select("c", "doc_id", "component", "weight", "sketch", "places"))
+    held = rows = stored(rows.select("c", "doc_id", "component", "weight", "sketch", "places"))
+    release(at, split)
     bodies = few(texts(docs), rows.select(F.col("doc_id").alias("id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = rows.join(bodies, "doc_id").select("c", F.explode("places").alias("p"), "doc_id", "component", "weight", "sketch", "text")
     rows = rows.select("c", "p.own", "p.i", "p.j", "p.side", "doc_id", "component", "weight", "sketch", "text")
@@ -322,7 +325,9 @@ def crossing(docs: DataFrame, reps: DataFrame, stars: DataFrame, found: DataFram
         yield pd.DataFrame(members.links(group) if len(group) > 1 else [], columns=["c", "m", "wa", "wb"])
 
     keys = ["c", "own", "i", "j"]
-    return stored(rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compared, "c long, m long, wa long, wb long"))
+    out = stored(rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compared, "c long, m long, wa long, wb long"))
+    release(held)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, margin: float | None = 5.0) -> DataFrame:
@@ -334,21 +339,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ma
     reps = stored(rows.join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"], "left_semi").select("doc_id", "size", "bands", "sketch"))
     each = reps.select("doc_id", F.explode("bands").alias("k"))
     buckets = stored(each.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    placed = stored(hot_join(each, buckets, "k", "n", total * BANDS, "doc_id").where("n > 1"))
-    shared = placed.count()
-    placed = stored(placed.withColumn("weight", F.sum("n").over(Window.partitionBy("doc_id"))))  # at most one row a band
+    shared = stored(hot_join(each, buckets, "k", "n", total * BANDS, "doc_id").where("n > 1"))
+    places = shared.count()
+    placed = stored(shared.withColumn("weight", F.sum("n").over(Window.partitionBy("doc_id"))))  # at most one row a band
+    release(rows, classes, buckets, shared)
     top = F.max(F.struct("weight", F.xxhash64("doc_id").alias("r"), F.col("doc_id").alias("v")))
     centres = stored(placed.groupBy("k").agg(top.alias("top"), F.count(F.lit(1)).alias("n")))
-    placed = stored(hot_join(placed.drop("n"), centres, "k", "n", shared, "doc_id"))
-    stars = placed.where("doc_id <> top.v").select(F.col("top.v").alias("c"), F.col("doc_id").alias("m"), F.col("top.weight").alias("wa"), F.col("weight").alias("wb"))
+    centred = hot_join(placed.drop("n"), centres, "k", "n", places, "doc_id")
+    stars = centred.where("doc_id <> top.v").select(F.col("top.v").alias("c"), F.col("doc_id").alias("m"), F.col("top.weight").alias("wa"), F.col("weight").alias("wb"))
     stars = stored(stars.distinct())
+    release(placed, centres)
     links = verified(docs, reps, stars, width, similarity, margin)
     found = stored(components(links.withColumnsRenamed({"c": "a", "m": "b"})))
     more = crossing(docs, reps, stars, found, width, similarity, margin)
+    release(stars, reps)
     if not more.isEmpty():
+        release(found)
         found = stored(components(links.unionByName(more).withColumnsRenamed({"c": "a", "m": "b"})))
+    release(links, more)
     groups = members.withColumnRenamed("rep", "node").groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(found, "node", "left").withColumn("near_id", F.coalesce("component", "node"))
-    sizes = groups.groupBy("near_id").agg(F.sum("n").alias("near_size"), F.count(F.lit(1)).alias("classes"))
-    groups = stored(hot_join(stored(groups), stored(sizes), "near_id", "classes", total, "node").select(F.col("node").alias("rep"), "n", "near_id", "near_size"))
+    groups = stored(groups)
+    sizes = stored(groups.groupBy("near_id").agg(F.sum("n").alias("near_size"), F.count(F.lit(1)).alias("classes")))
+    release(found)
+    parts, groups = groups, stored(hot_join(groups, sizes, "near_id", "classes", total, "node").select(F.col("node").alias("rep"), "n", "near_id", "near_size"))
+    release(parts, sizes)
     out = hot_join(members, groups, "rep", "n", total, "doc_id")
     return out.select("doc_id", F.col("rep").alias("class_id"), "near_id", "near_size", (F.col("doc_id") == F.col("near_id")).alias("kept"))

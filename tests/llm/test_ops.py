@@ -544,3 +544,44 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
             assert left[7].text.startswith("mail <EMAIL>") and left[8].text == prose(97, 9000) and all(left[d][n] == f"{n}{d}" for d in (2, 3, 8) for n in names)
         pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "")
         assert pieces.select("doc_id").distinct().count() == len(left)
+
+
+@pytest.mark.parametrize("small", [0, 40, 100_000])
+def test_components_of_any_size(spark, small):
+    from meshwright.llm.components import components
+
+    order = np.random.default_rng(3).permutation(90).tolist()
+    edges = [(order[i], order[i + 1]) for i in range(60)] + [(order[70], order[k]) for k in range(71, 80)] + [(500, 500)]
+    weighted = [(int(a), int(b), 1, 2) for a, b in edges]
+    got = {r.node: r.component for r in components(spark.createDataFrame(weighted, "a long, b long, wa long, wb long"), small).collect()}
+    want = {n: min(order[:61]) for n in order[:61]} | {n: min(order[70:80]) for n in order[70:80]}
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long"), small).count() == 0
+
+
+def test_near_duplicates_leave_few_jobs_and_tables(spark):
+    """The driver remembers jobs, and tables that are not released lie about: a chain of texts, each near the next, takes neither many of the one nor of the other."""
+    from pathlib import Path
+
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(words[i : i + 200])) for i in range(120)], "doc_id long, text string").coalesce(1)
+    folder = Path(minhash.stored(docs)._stored_at.removeprefix("file://")).parent
+    before, sc = set(folder.iterdir()), spark.sparkContext
+    sc.setJobGroup("chain", "")
+    out = minhash.near_duplicates(docs)
+    got = {(r.near_id, r.near_size) for r in out.collect()}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(0, 120)}
+    assert len(set(folder.iterdir()) - before) <= 16
+    assert len(sc.statusTracker().getJobIdsForGroup("chain")) <= 120
+
+
+def test_pipeline_hands_over_small_batches(spark):
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for set_to, want in (("10000", 1000), ("0", 1000), ("7", 7)):
+        spark.conf.set(name, set_to)
+        corpus_pipeline.batched(spark)
+        assert int(spark.conf.get(name)) == want
+    spark.conf.unset(name)
