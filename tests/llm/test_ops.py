@@ -585,3 +585,38 @@ def test_pipeline_hands_over_small_batches(spark):
         corpus_pipeline.batched(spark)
         assert int(spark.conf.get(name)) == want
     spark.conf.unset(name)
+
+
+def test_sentencepiece_folds_many_words_at_once(monkeypatch):
+    """Words outside the dictionary are folded together, with the results of folding each; only very long ones and those with gaps are folded one by one."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    table, rng, alone = sentencepiece_codec.Pieces(path), np.random.default_rng(4), []
+    words = {"".join(rng.choice(list("aeionrst.,é"), rng.integers(1, 40))) for _ in range(3000)} | {"y" * 63, "y" * 64, "ab" * 900, "▁▁▁", "漢", "😀"}
+    words |= {"▁" + w for w in words}
+    want = {w: np.array(table.fold(w), "<u4").tobytes() for w in words}
+    fold = table.fold
+    monkeypatch.setattr(table, "fold", lambda w: alone.append(w) or fold(w))
+    assert table.encode_all(sorted(words)) == want
+    assert table.encode_all([]) == {}
+    assert all(len(w) > 63 or not set(w) <= set(table.ids) for w in alone)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert all(np.frombuffer(table.encode_all([w])[w], "<u4").tolist() == sp.encode(w.replace("▁", "")) for w in sorted(words)[-300:] if w.startswith("▁") and w.strip("▁"))
+    few = sentencepiece_codec.Merges({"ab": (-1.0, 5), "bcc": (-2.0, 6), "cc": (-3.0, 9), "c": (-4.0, 7)}, list("abcd"))
+    symbols, sizes = few.fold(["abcc", "bcc", "d", "x", "ccc", "abab"], 8)
+    assert sizes.tolist() == [2, 1, 1, 1, 2, 2]
+    assert symbols.tolist() == [0, 2, 1, 6, -1, 2, 3, 0, 0]
+
+
+def test_sentencepiece_forgets_words_but_not_the_dictionary(spark, monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece_codec, "TOGETHER", 50)
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 5)
+    texts = [prose(k, 40) + f" q{k * 977}z" for k in range(30)] + ["", None, "漢 字 a▁b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = {r.doc_id: (r.ids, r.round_trip) for r in sentencepiece_codec.encoded(docs, path, frequent=20).collect()}
+    assert got == {i: (sp.encode(text(t)), sp.decode(sp.encode(text(t))) == text(t)) for i, t in enumerate(texts)}
