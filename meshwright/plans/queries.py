@@ -11,7 +11,7 @@ from ..model import Tolerances
 from ..functions import crs
 from ..operators import curves, inline, namespaces, resolve
 from ..operators.rules import RULES
-from . import mesh, samples, structure
+from . import graphs, mesh, samples, structure
 from .validate import rule_results
 
 SEG = """seg AS (SELECT a.curve_id, a.curve_ord, a.pos AS i, a.point_id AS ia, b.point_id AS ib, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS by_, q.z AS bz
@@ -271,3 +271,5 @@ SQL |= {
  SELECT ref, CASE WHEN k % 3 = 2 AND k IN (SELECT n_nationkey FROM nation) THEN ref
    ELSE CASE WHEN k IN (SELECT s_suppkey FROM supplier) THEN concat('http://e/supplier/', k) WHEN k IN (SELECT n_nationkey FROM nation) THEN concat('http://e/nation#', k) END END AS found FROM refs""",
 }
+QUERIES |= graphs.QUERIES
+SQL |= graphs.SQL
