@@ -38,9 +38,11 @@ def properly_cross(p1: Vector, p2: Vector, p3: Vector, p4: Vector, tolerance: fl
     """Whether the open segments p1-p2 and p3-p4 meet in one point: not parallel, coplanar within the tolerance, both parameters strictly inside."""
     d1, d2, r = minus(p2, p1), minus(p4, p3), minus(p3, p1)
     n = cross(d1, d2)
-    q = dot(n, n)
-    rn = dot(r, n)
-    t, s = dot(cross(r, d2), n), dot(cross(r, d1), n)
+    return inside_both(dot(n, n), dot(r, n), dot(cross(r, d2), n), dot(cross(r, d1), n), tolerance)
+
+
+def inside_both(q: Column, rn: Column, t: Column, s: Column, tolerance: float = CROSSING_TOLERANCE) -> Column:
+    """properly_cross by q = n·n, rn = r·n, t = (r x d2)·n and s = (r x d1)·n, where n = d1 x d2."""
     square = tolerance * tolerance
     # t/q and s/q lie in (0, 1); q is never 0 here, and try_divide keeps the discarded branch from raising
     inside = lambda x: (F.try_divide(x, q) > 0.0) & (F.try_divide(x, q) < 1.0)

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import arc_points, chord_centre, circle_points, circumcentre, let, turns_clockwise
@@ -48,71 +44,107 @@ def densified(arcs: DataFrame, sagitta: float = 0.02) -> DataFrame:
     return arcs.withColumn("line", let(shape, drawn))
 
 
-def tangents(points: np.ndarray, h: np.ndarray, first: np.ndarray | None, last: np.ndarray | None) -> np.ndarray:
-    """Derivatives at the knots of the C2 cubic through points; clamped by both end tangents, else with relaxed ends."""
-    n = len(points)
-    a, b = np.zeros((n, n)), np.zeros_like(points)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = 1 / h[i - 1], 2 * (1 / h[i - 1] + 1 / h[i]), 1 / h[i]
-        b[i] = 3 * ((points[i + 1] - points[i]) / h[i] ** 2 + (points[i] - points[i - 1]) / h[i - 1] ** 2)
-    if first is not None and last is not None:
-        a[0, 0] = a[-1, -1] = 1
-        b[0], b[-1] = first, last
-    else:
-        a[0, :2], b[0] = (2 * h[0], h[1]), 3 * (points[1] - points[0])
-        a[-1, -2:], b[-1] = (h[-1], 2 * h[-1]), 3 * (points[-1] - points[-2])
-    return np.linalg.solve(a, b)
-
-
-def spline(points: np.ndarray, sagitta: float, first: np.ndarray | None = None, last: np.ndarray | None = None, alpha: float = 0.5) -> np.ndarray:
-    """Vertices of the spline: every span is halved until its middle lies within sagitta of the chord."""
-    if len(points) < 2 or sagitta <= 0:
-        raise ValueError("a spline needs two points and a positive sagitta")
-    h = np.linalg.norm(np.diff(points, axis=0), axis=1) ** alpha
-    if (h == 0).any() or (len(points) == 2 and (first is None or last is None)):
-        return points
-    d = tangents(points, h, first, last)
-    out = [points[0]]
-    for i in range(len(h)):
-
-        def at(u: float, i: int = i) -> np.ndarray:
-            return (2 * u**3 - 3 * u**2 + 1) * points[i] + (u**3 - 2 * u**2 + u) * h[i] * d[i] + (3 * u**2 - 2 * u**3) * points[i + 1] + (u**3 - u**2) * h[i] * d[i + 1]
-
-        spans = [(0.0, 1.0, points[i], points[i + 1], 0)]
-        while spans:
-            lo, hi, p, q, depth = spans.pop()
-            m = at((lo + hi) / 2)
-            along = q - p
-            k = float(along @ along)
-            t = min(1.0, max(0.0, float((m - p) @ along) / k)) if k else 0.0
-            if depth >= DEPTH or np.linalg.norm(m - (p + t * along)) <= sagitta:
-                out.append(q)
-            else:
-                spans += [((lo + hi) / 2, hi, m, q, depth + 1), (lo, (lo + hi) / 2, p, m, depth + 1)]
-    return np.array(out)
+def _v(*parts: tuple[Column | float, Column]) -> Column:
+    """The sum of multiples of vectors of three."""
+    return F.array(*[sum((k * F.get(v, F.lit(i)) for k, v in parts[1:]), parts[0][0] * F.get(parts[0][1], F.lit(i))) for i in range(3)])
 
 
-def splined(rows: DataFrame, sagitta: float = 0.02, alpha: float = 0.5) -> DataFrame:
-    """id, line and fault of rows (id, p: control points, first and last: tangent vectors or null), in Arrow batches.
+def _dot(u: Column, v: Column) -> Column:
+    return sum((F.get(u, F.lit(i)) * F.get(v, F.lit(i)) for i in (1, 2)), F.get(u, F.lit(0)) * F.get(v, F.lit(0)))
+
+
+def slopes(points: Column, h: Column, first: Column, last: Column) -> Column:
+    """Derivatives at the knots of the C2 cubic through points (of three ordinates) with spans h; clamped by both end tangents, else with relaxed ends.
 
-    A spline that can't be drawn has no line, and a fault that says why.
+    The system has three diagonals: one pass forward eliminates the lower, one backward solves it.
     """
+    n = F.size(points)
+    at, span = (lambda i: F.get(points, i)), (lambda i: F.get(h, i))
+    clamped = first.isNotNull() & last.isNotNull()
+    row = lambda a, b, c, r: F.struct(a.alias("a"), b.alias("b"), c.alias("c"), r.alias("r"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+
+    def inner(i: Column) -> Column:
+        lo, hi = 1 / span(i - 1), 1 / span(i)
+        return row(lo, 2 * (lo + hi), hi, _v((3 * hi * hi, at(i + 1)), (3 * (lo * lo - hi * hi), at(i)), (-3 * lo * lo, at(i - 1))))
+
+    head = F.when(clamped, row(zero, one, zero, first)).otherwise(row(zero, 2 * span(F.lit(0)), span(F.lit(1)), _v((F.lit(3.0), at(F.lit(1))), (F.lit(-3.0), at(F.lit(0))))))
+    tail = F.when(clamped, row(zero, one, zero, last)).otherwise(row(span(n - 2), 2 * span(n - 2), zero, _v((F.lit(3.0), at(n - 1)), (F.lit(-3.0), at(n - 2)))))
+    rows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i == 0, head).when(i == n - 1, tail).otherwise(inner(i)))
+
+    def forward(acc: Column, x: Column) -> Column:
+        def made(q: Column) -> Column:
+            return F.array_append(acc, F.struct((x["c"] / q["m"]).alias("c"), _v((1 / q["m"], x["r"]), (-x["a"] / q["m"], q["d"])).alias("d")))
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lines, faults = [], []
-            for p, a, b in zip(pdf["p"], pdf["first"], pdf["last"], strict=True):
-                line, fault = None, None
-                try:
-                    ends = (None, None) if a is None or b is None else (np.array(a, float), np.array(b, float))
-                    line = spline(np.array([list(x) for x in p], float), sagitta, *ends, alpha=alpha).tolist()
-                except (ValueError, TypeError, np.linalg.LinAlgError) as e:
-                    fault = str(e) or type(e).__name__
-                lines.append(line)
-                faults.append(fault)
-            yield pd.DataFrame({"id": pdf["id"], "line": lines, "fault": faults})
-
-    return rows.select("id", "p", "first", "last").mapInPandas(made, "id string, line array<array<double>>, fault string")
+        before = F.get(acc, F.size(acc) - 1)
+        return let(F.struct((x["b"] - x["a"] * F.coalesce(before["c"], zero)).alias("m"), F.coalesce(before["d"], F.array(zero, zero, zero)).alias("d")), made)
+
+    def backward(acc: Column, x: Column) -> Column:
+        return F.array_append(acc, F.when(F.size(acc) == 0, x["d"]).otherwise(_v((one, x["d"]), (-x["c"], F.get(acc, F.size(acc) - 1)))))
+
+    solved = F.aggregate(rows, F.array().cast("array<struct<c:double,d:array<double>>>"), forward)
+    return F.reverse(F.aggregate(F.reverse(solved), F.array().cast("array<array<double>>"), backward))
+
+
+def flattened(points: Column, h: Column, d: Column, sagitta: float) -> Column:
+    """Vertices of the cubics between points: every span is halved until its middle lies within sagitta of the chord, at most DEPTH times.
+
+    A level halves all spans that still need it, so the levels are a bounded fold over arrays.
+    """
+    start = F.transform(
+        F.sequence(F.lit(0), F.size(points) - 2),
+        lambda i: F.struct(
+            F.get(points, i).alias("a"), F.get(points, i + 1).alias("b"), _v((F.get(h, i), F.get(d, i))).alias("da"), _v((F.get(h, i), F.get(d, i + 1))).alias("db"),
+            F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), F.get(points, i).alias("p"), F.get(points, i + 1).alias("q"), F.lit(False).alias("done"),
+        ),
+    )
+
+    def middle(s: Column) -> Column:
+        u = (s["lo"] + s["hi"]) / 2
+        return let(u, lambda u: F.struct(u.alias("u"), _v((2 * u * u * u - 3 * u * u + 1, s["a"]), (u * u * u - 2 * u * u + u, s["da"]), (3 * u * u - 2 * u * u * u, s["b"]), (u * u * u - u * u, s["db"])).alias("m")))
+
+    def halved(s: Column) -> Column:
+        same = lambda lo, hi, p, q, done: F.struct(*[s[c].alias(c) for c in ("a", "b", "da", "db")], lo.alias("lo"), hi.alias("hi"), p.alias("p"), q.alias("q"), F.lit(done).alias("done"))
+
+        def judged(x: Column) -> Column:
+            one = F.lit(1.0)
+            along, to = _v((one, s["q"]), (F.lit(-1.0), s["p"])), _v((one, x["m"]), (F.lit(-1.0), s["p"]))
+
+            def off(q: Column) -> Column:
+                t = F.coalesce(F.least(F.greatest(F.try_divide(_dot(q["to"], q["along"]), _dot(q["along"], q["along"])), F.lit(0.0)), one), F.lit(0.0))
+                return let(t, lambda t: let(_v((one, q["to"]), (-t, q["along"])), lambda w: F.sqrt(_dot(w, w)) <= sagitta))
+
+            close = let(F.struct(along.alias("along"), to.alias("to")), off)
+            return F.when(close, F.array(same(s["lo"], s["hi"], s["p"], s["q"], True))).otherwise(F.array(same(s["lo"], x["u"], s["p"], x["m"], False), same(x["u"], s["hi"], x["m"], s["q"], False)))
+
+        return F.when(s["done"], F.array(s)).otherwise(let(middle(s), judged))
+
+    level = lambda acc, _: F.when(F.forall(acc, lambda s: s["done"]), acc).otherwise(F.flatten(F.transform(acc, halved)))
+    spans = F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), start, level)
+    return F.concat(F.array(F.get(points, F.lit(0))), F.transform(spans, lambda s: s["q"]))
+
+
+def splined(rows: DataFrame, sagitta: float = 0.02, alpha: float = 0.5) -> DataFrame:
+    """rows (p: control points; first and last: tangent vectors or null) with line and fault.
+
+    The spline is clamped to its tangents where both are given.  Knots lie apart by the distance to the power of alpha (0 uniform, 0.5 centripetal, 1 chordal).  Lines have a
+    third ordinate where a control point has one (those without count as 0).  Points that coincide with the next, and two points without
+    tangents, give the straight line through all.  A spline that can't be drawn has no line, and a fault that says why.
+    """
+    padded = lambda c: F.transform(F.array(*[F.lit(i) for i in range(3)]), lambda i: F.coalesce(F.get(c, i), F.lit(0.0)).cast("double"))
+    finite = F.forall("p", lambda q: q.isNotNull() & (F.size(q) >= 2) & F.forall(q, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))))
+    fault = F.when(F.lit(sagitta <= 0), "SAGITTA_NOT_POSITIVE").when(F.coalesce(F.size("p"), F.lit(0)) < 2, "TOO_FEW_POINTS").when(~finite, "INVALID_COORDINATES")
+    tangents_given = F.col("first").isNotNull() & F.col("last").isNotNull()
+    rows = rows.withColumn("fault", fault).withColumn("_deep", F.exists("p", lambda q: F.size(q) > 2)).withColumn("_p", F.when(F.col("fault").isNull(), F.transform("p", padded)))
+    rows = rows.withColumn("_first", F.when(tangents_given, padded(F.col("first")))).withColumn("_last", F.when(tangents_given, padded(F.col("last"))))
+    gap = F.zip_with(F.slice("_p", F.lit(1), F.size("_p") - 1), F.slice("_p", F.lit(2), F.size("_p") - 1), lambda a, b: let(_v((F.lit(1.0), b), (F.lit(-1.0), a)), lambda w: F.pow(F.sqrt(_dot(w, w)), F.lit(alpha))))
+    rows = rows.withColumn("_h", gap)
+    straight = F.exists("_h", lambda x: x == 0) | ((F.size("_p") == 2) & ~tangents_given)
+    rows = rows.withColumn("_d", F.when(~straight, slopes(F.col("_p"), F.col("_h"), F.col("_first"), F.col("_last"))))
+    drawn = F.when(F.col("_d").isNull(), F.col("_p")).otherwise(flattened(F.col("_p"), F.col("_h"), F.col("_d"), sagitta))
+    rows = rows.withColumn("_line", drawn)
+    line = F.when(F.col("_deep"), F.col("_line")).otherwise(F.transform("_line", lambda q: F.slice(q, 1, 2)))
+    return rows.withColumn("line", line).drop("_deep", "_p", "_first", "_last", "_h", "_d", "_line")
 
 
 def chord_statistics(arcs: DataFrame, sagitta: float = 0.02) -> DataFrame:

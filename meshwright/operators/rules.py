@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geometry import distance, fan_volume, properly_cross
+from ..functions.geometry import cross, distance, dot, fan_volume, inside_both
 from ..model import Tolerances, Topology
 from ..plans.derive import XYZ, D, curve_ends, ring_coordinates, segments, solid_boxes
 from ..storage import stored
@@ -36,12 +36,23 @@ def issues(df: DataFrame, number: int, code: str | Column, object_id: str, *deta
     return df.select(D, F.lit(f"TR-{number:02d}").alias("rule"), code.alias("code"), F.lit("error").alias("severity"), F.col(object_id).alias("object_id"), text.alias("detail"))
 
 
-def ends(prefix: str) -> tuple:
-    return tuple(tuple(F.col(f"{prefix}{e}{c}") for c in XYZ) for e in "ab")
+def crossed(pairs: DataFrame) -> DataFrame:
+    """Pairs of segments (a_ax … a_bz, b_ax … b_bz) that properly cross (``geometry.properly_cross`` says when).
 
-
-def crossing() -> Column:
-    return properly_cross(*ends("a_"), *ends("b_"))
+    Every step has columns of its own, and the last a row number that the filter reads: that keeps the optimizer from moving it, with all steps written out,
+    into the join's condition, where the pair loop grows beyond what the JVM compiles.
+    """
+    c = F.col
+    minus = lambda to, of, name: {f"_{name}{x}": c(f"{to}{x}") - c(f"{of}{x}") for x in XYZ}
+    vector = lambda name: tuple(c(f"_{name}{x}") for x in XYZ)
+    named = lambda name, v: {f"_{name}{x}": e for x, e in zip(XYZ, v, strict=True)}
+    kept = pairs.columns
+    pairs = pairs.withColumns(minus("a_b", "a_a", "d") | minus("b_b", "b_a", "e") | minus("b_a", "a_a", "r"))
+    d, e, r, n = map(vector, "dern")
+    pairs = pairs.withColumns(named("n", cross(d, e)) | named("u", cross(r, e)) | named("v", cross(r, d)))
+    pairs = pairs.withColumns({"_q": dot(n, n), "_rn": dot(r, n), "_t": dot(vector("u"), n), "_s": dot(vector("v"), n)})
+    pairs = pairs.withColumn("_hit", inside_both(c("_q"), c("_rn"), c("_t"), c("_s"))).withColumn("_row", F.monotonically_increasing_id())
+    return pairs.where("_hit and _row >= 0").select(kept)
 
 
 SEGMENT = [f"{e}{c}" for e in "ab" for c in XYZ]
@@ -75,7 +86,7 @@ def unknown_points(t: Topology, tol: Tolerances) -> DataFrame:
 def curve_self_intersection(t: Topology, tol: Tolerances) -> DataFrame:
     long = t.curve.where("n_vertices >= 4").select(D, F.col("id").alias("curve_id"))
     s = boxed(segments(t, dense=True).join(long, [D, "curve_id"], "left_semi")).withColumn("ord", F.col("seg_idx"))
-    pairs = group_pairs(s, [D, "curve_id"], SEGMENT, SEGMENT, (F.col("b_ord") >= F.col("a_ord") + 2) & crossing())
+    pairs = crossed(group_pairs(s, [D, "curve_id"], SEGMENT, SEGMENT, F.col("b_ord") >= F.col("a_ord") + 2))
     first = pairs.groupBy(D, "curve_id").agg(F.min(F.struct("a_ord", "b_ord")).alias("m"))
     return issues(first, 2, "CURVE_SELF_INTERSECTION", "curve_id", "m.a_ord", "m.b_ord")
 
@@ -120,7 +131,7 @@ def curve_crossings(t: Topology, tol: Tolerances) -> DataFrame:
     cols = ["curve_id", "a_id", "b_id", *SEGMENT]
     pairs = box_pairs(s, [D], cols, cols)
     apart = (F.col("a_a_id") != F.col("b_a_id")) & (F.col("a_a_id") != F.col("b_b_id")) & (F.col("a_b_id") != F.col("b_a_id")) & (F.col("a_b_id") != F.col("b_b_id"))
-    hit = pairs.where((F.col("a_curve_id") != F.col("b_curve_id")) & apart & crossing()).select(D, "a_curve_id", "b_curve_id").distinct()
+    hit = crossed(pairs.where((F.col("a_curve_id") != F.col("b_curve_id")) & apart)).select(D, "a_curve_id", "b_curve_id").distinct()
     return issues(hit, 14, "CURVE_INTERSECTION_NOT_AT_NODE", "a_curve_id", "b_curve_id")
 
 
@@ -164,7 +175,7 @@ def ring_self_intersection(t: Topology, tol: Tolerances) -> DataFrame:
     cols = ["a_id", "b_id", "total", *SEGMENT]
     apart = (F.col("a_a_id") != F.col("b_a_id")) & (F.col("a_a_id") != F.col("b_b_id")) & (F.col("a_b_id") != F.col("b_a_id")) & (F.col("a_b_id") != F.col("b_b_id"))
     closing = (F.col("a_ord") == 0) & (F.col("b_ord") == F.col("a_total") - 1)
-    p = group_pairs(s, [D, "surface_id", "ring_idx"], cols, cols, (F.col("b_ord") >= F.col("a_ord") + 2) & ~closing & apart & crossing())
+    p = crossed(group_pairs(s, [D, "surface_id", "ring_idx"], cols, cols, (F.col("b_ord") >= F.col("a_ord") + 2) & ~closing & apart))
     first = p.groupBy(D, "surface_id", "ring_idx").agg(F.min(F.struct("a_ord", "b_ord")).alias("m"))
     return issues(first, 15, "SURFACE_SELF_INTERSECTION", "surface_id", "ring_idx", "m.a_ord", "m.b_ord")
 
@@ -218,10 +229,12 @@ def thin_solids(t: Topology, tol: Tolerances) -> DataFrame:
 @rule(24, 5, "Solid self-intersection")
 def solid_self_intersection(t: Topology, tol: Tolerances) -> DataFrame:
     m = t.solid_face.join(t.ring_member.withColumnRenamed("surface_id", "face_id"), [D, "face_id"])
-    s = boxed(m.join(segments(t), [D, "curve_id"])).withColumn("ord", F.struct("face_idx", "ring_idx", "member_idx", "seg_idx"))
-    cols = ["face_idx", *SEGMENT]
-    p = group_pairs(s, [D, "solid_id"], cols, cols, (F.col("a_face_idx") != F.col("b_face_idx")) & crossing())
-    first = p.groupBy(D, "solid_id").agg(F.min(F.struct("a_ord", "b_ord")).alias("m"))
+    # segments of one face are not compared, so the face alone orders a pair
+    s = boxed(m.join(segments(t), [D, "curve_id"])).withColumn("ord", F.col("face_idx"))
+    place = ["face_idx", "ring_idx", "member_idx", "seg_idx"]
+    p = crossed(group_pairs(s, [D, "solid_id"], [*place, *SEGMENT], [*place, *SEGMENT], F.col("a_face_idx") != F.col("b_face_idx")))
+    at = lambda side: F.struct(*[F.col(f"{side}_{c}").alias(c) for c in place])
+    first = p.groupBy(D, "solid_id").agg(F.min(F.struct(at("a").alias("a_ord"), at("b").alias("b_ord"))).alias("m"))
     return issues(first, 24, "SOLID_SELF_INTERSECTION", "solid_id", "m.a_ord.face_idx", "m.b_ord.face_idx")
 
 

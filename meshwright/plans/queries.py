@@ -162,13 +162,37 @@ SELECT CAST(k AS VARCHAR) AS id, CASE WHEN k % 10 = 0 THEN 'CircleByCenter' ELSE
 
 
 def splines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Splines through five points made from each part: vertices of each within a sagitta of 0.02."""
+    """Splines through five points made from each part, every other one clamped: vertices of each within a sagitta of 0.02."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     k = F.col("p_partkey")
-    pts = F.array(*[F.array((i * 4).cast("double") if not isinstance(i, int) else F.lit(4.0 * i), ((k * (i + 3)) % 11).cast("double")) for i in range(5)])
-    rows = part.select(k.cast("string").alias("id"), pts.alias("p"), F.lit(None).cast("array<double>").alias("first"), F.lit(None).cast("array<double>").alias("last"))
-    ends = lambda i: F.array_join(F.transform(F.element_at("line", F.lit(i)), lambda v: v.cast("decimal(20,6)")), " ")
-    return curves.splined(rows).select("id", F.size("line").cast("long").alias("n_vertices"), ends(1).alias("first"), ends(-1).alias("last"))
+    pts = F.array(*[F.array(F.lit(4.0 * i), ((k * (i + 3)) % 11).cast("double")) for i in range(5)])
+    clamp = lambda x, y: F.when(k % 2 == 0, F.array(F.lit(x), F.lit(y)))
+    rows = part.select(k.cast("string").alias("id"), pts.alias("p"), clamp(1.0, 0.0).alias("first"), clamp(0.0, 2.0).alias("last"))
+    vertices = F.array_join(F.transform("line", lambda v: F.concat(F.get(v, F.lit(0)).cast("decimal(20,6)").cast("string"), F.lit(" "), F.get(v, F.lit(1)).cast("decimal(20,6)").cast("string"))), ",")
+    return curves.splined(rows).select("id", F.size("line").cast("long").alias("n_vertices"), vertices.alias("vertices"))
+
+
+_AT_U = "(2*{u}*{u}*{u} - 3*{u}*{u} + 1) * p{c} + ({u}*{u}*{u} - 2*{u}*{u} + {u}) * h * d{c} + (3*{u}*{u} - 2*{u}*{u}*{u}) * q{c} + ({u}*{u}*{u} - {u}*{u}) * h * e{c}"
+_AT = {(u, c): _AT_U.format(u=u, c=c) for u in ("lo", "hi", "((lo + hi) / 2)") for c in "xy"}
+_SPAN = f"SELECT *, {_AT['lo', 'x']} AS ax, {_AT['lo', 'y']} AS ay, {_AT['hi', 'x']} AS bx, {_AT['hi', 'y']} AS by_, {_AT['((lo + hi) / 2)', 'x']} AS mx, {_AT['((lo + hi) / 2)', 'y']} AS my FROM"
+_FLAT = "(SELECT sqrt((mx - ax - t * (bx - ax)) ** 2 + (my - ay - t * (by_ - ay)) ** 2) <= 0.02 FROM (SELECT least(1.0, greatest(0.0, ((mx - ax) * (bx - ax) + (my - ay) * (by_ - ay)) / nullif((bx - ax) ** 2 + (by_ - ay) ** 2, 0))) AS t) z)"
+SPLINE_SQL = f"""WITH RECURSIVE p AS (SELECT p_partkey AS k, i, CAST(4 * i AS DOUBLE) AS x, CAST(p_partkey * (i + 3) % 11 AS DOUBLE) AS y FROM part CROSS JOIN (SELECT unnest(range(5)) AS i) r),
+h AS (SELECT a.k, a.i, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy, sqrt(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2)) AS h FROM p a JOIN p b ON b.k = a.k AND b.i = a.i + 1),
+sys AS (SELECT p.k, p.i, CASE WHEN p.k % 2 = 0 AND p.i IN (0, 4) THEN 0 WHEN p.i = 4 THEN l.h ELSE coalesce(1 / l.h, 0) END AS a,
+  CASE WHEN p.k % 2 = 0 AND p.i IN (0, 4) THEN 1 WHEN p.i = 0 THEN 2 * r.h WHEN p.i = 4 THEN 2 * l.h ELSE 2 * (1 / l.h + 1 / r.h) END AS b,
+  CASE WHEN p.i = 4 OR p.k % 2 = 0 AND p.i = 0 THEN 0 WHEN p.i = 0 THEN (SELECT n.h FROM h n WHERE n.k = p.k AND n.i = 1) ELSE 1 / r.h END AS c,
+  CASE WHEN p.k % 2 = 0 AND p.i = 0 THEN 1.0 WHEN p.k % 2 = 0 AND p.i = 4 THEN 0.0 WHEN p.i = 0 THEN 3 * (r.qx - r.px) WHEN p.i = 4 THEN 3 * (l.qx - l.px) ELSE 3 * ((r.qx - r.px) / r.h ** 2 + (l.qx - l.px) / l.h ** 2) END AS rx,
+  CASE WHEN p.k % 2 = 0 AND p.i = 0 THEN 0.0 WHEN p.k % 2 = 0 AND p.i = 4 THEN 2.0 WHEN p.i = 0 THEN 3 * (r.qy - r.py) WHEN p.i = 4 THEN 3 * (l.qy - l.py) ELSE 3 * ((r.qy - r.py) / r.h ** 2 + (l.qy - l.py) / l.h ** 2) END AS ry
+  FROM p LEFT JOIN h l ON l.k = p.k AND l.i = p.i - 1 LEFT JOIN h r ON r.k = p.k AND r.i = p.i),
+fwd(k, i, c, dx, dy) AS (SELECT k, i, c / b, rx / b, ry / b FROM sys WHERE i = 0
+  UNION ALL SELECT s.k, s.i, s.c / (s.b - s.a * f.c), (s.rx - s.a * f.dx) / (s.b - s.a * f.c), (s.ry - s.a * f.dy) / (s.b - s.a * f.c) FROM fwd f JOIN sys s ON s.k = f.k AND s.i = f.i + 1),
+bwd(k, i, x, y) AS (SELECT k, i, dx, dy FROM fwd WHERE i = 4 UNION ALL SELECT f.k, f.i, f.dx - f.c * w.x, f.dy - f.c * w.y FROM bwd w JOIN fwd f ON f.k = w.k AND f.i = w.i - 1),
+cubic AS (SELECT h.*, u.x AS dx, u.y AS dy, v.x AS ex, v.y AS ey FROM h JOIN bwd u ON u.k = h.k AND u.i = h.i JOIN bwd v ON v.k = h.k AND v.i = h.i + 1),
+span AS ({_SPAN} (SELECT *, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS depth FROM cubic)
+  UNION ALL {_SPAN} (SELECT k, i, px, py, qx, qy, h, dx, dy, ex, ey, CASE half WHEN 0 THEN lo ELSE (lo + hi) / 2 END AS lo, CASE half WHEN 0 THEN (lo + hi) / 2 ELSE hi END AS hi, depth + 1 AS depth
+    FROM span CROSS JOIN (VALUES (0), (1)) AS z(half) WHERE depth < 20 AND NOT {_FLAT})),
+leaf AS (SELECT k, i, hi, bx AS x, by_ AS y FROM span WHERE depth >= 20 OR {_FLAT} UNION ALL SELECT k, -1, 0.0, x, y FROM p WHERE i = 0)
+SELECT CAST(k AS VARCHAR) AS id, count(*) AS n_vertices, string_agg(concat(CAST(CAST(x AS DECIMAL(20,6)) AS VARCHAR), ' ', CAST(CAST(y AS DECIMAL(20,6)) AS VARCHAR)), ',' ORDER BY i, hi) AS vertices FROM leaf GROUP BY k"""
 
 
 def reprojection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,6 +265,7 @@ SQL |= {
  SELECT feature_id, 'edges' AS kind, count(DISTINCT curve_id) AS n FROM up JOIN ring_member ON surface_id = s GROUP BY feature_id
  UNION ALL SELECT feature_id, 'points', count(DISTINCT point_id) FROM up JOIN ring_member rm ON surface_id = s JOIN curve_vertex cv ON cv.curve_id = rm.curve_id GROUP BY feature_id""",
     "curves_arcs": ARC_SQL,
+    "curves_splines": SPLINE_SQL,
 }
 
 _N = "(1.0 / 298.257222101 / (2 - 1.0 / 298.257222101))"
