@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pickle
+
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import delete, release, shared_dir, stored
 
-__all__ = ["HOT", "HOT_ROWS", "delete", "few", "hot_join", "keyed", "release", "shared_dir", "stored", "texts", "unkeyed"]
+__all__ = ["HOT", "HOT_ROWS", "carried", "delete", "few", "hot_join", "keyed", "opened", "release", "shared_dir", "stored", "texts", "unkeyed"]
 
 #: A key is hot when it holds at least 1/HOT of all rows, or HOT_ROWS: at most HOT keys and one for each HOT_ROWS rows.
 HOT, HOT_ROWS = 256, 1_000_000
@@ -56,3 +59,16 @@ def few(rows: DataFrame, ids: DataFrame, column: str, keep: bool = True) -> Data
     ids = stored(ids.distinct())
     held = F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids
     return rows.join(held, rows[column] == ids["id"], "left_semi" if keep else "left_anti")
+
+
+def carried(spark: SparkSession, value: object) -> Broadcast:
+    """value for all executors (``opened`` there).  It is pickled with the classes of this package in it, as executors need no copy of the package; plain broadcasts only name them."""
+    return spark.sparkContext.broadcast({"raw": cloudpickle.dumps(value)})
+
+
+def opened(held: Broadcast) -> object:
+    """What a broadcast carries, unpickled once by each worker: the worker keeps it in the broadcast's own value from task to task."""
+    found = held.value
+    if "value" not in found:
+        found["value"] = pickle.loads(found.pop("raw"))
+    return found["value"]

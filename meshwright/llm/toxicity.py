@@ -8,12 +8,12 @@ reach the k-th best cosine found, so the k nearest examples are exact.  Their vo
 isotonic regression on votes that leave each example out.  The nearest examples come with the score as evidence.
 
 Bounds: the examples are at most ``per_class`` labelled rows of each label (those with the least
-hash of their doc_id), and the vocabulary at most ``max_terms`` of their words (those of the most examples, then by spelling).
+hash of their doc_id); the vocabulary is all their words.
 Document frequencies are those of all documents, and every whole text is scored.
 
 Defined results: texts without any known word, null and empty ones too, get the share of toxic rows among examples
-without words; where there are none, or where votes do not tell the labels apart (a rank sum that chance reaches once in a thousand), a score
-is the share of toxic rows but below the threshold, so that what is not told apart is not predicted; without labelled rows every score is 0; of repeated labels of a document the largest counts; rows of
+without words; where there are none, the share of toxic rows but below the threshold.  The less the votes tell the labels apart (their rank sum against what chance reaches
+once in a thousand), the more scores lean to the share of toxic rows, or half the threshold if that is less, so that little is predicted from labels that tell little; without labelled rows every score is 0; of repeated labels of a document the largest counts; rows of
 documents that repeat are scored one by one and alike; labels without a document, or without a value, are ignored; equally near examples come in the index's order (most
 frequent word, leading word, doc_id); an empty table gives an empty result; very long texts cost time in proportion to their length and memory in
 proportion to their different words; extra columns are not read.
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import carried, opened, stored, texts
 
 WORD = re.compile(r"[^\W\d_]{2,}")
 BLOCK = 32
@@ -55,7 +55,7 @@ def examples_of(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame
     return texts(docs).join(F.broadcast(ids), "doc_id")  # at most 2 * per_class ids
 
 
-def vocabulary(examples: DataFrame, max_terms: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+def vocabulary(examples: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The words of the examples, those of the most examples first, and in how many other and toxic ones each is."""
 
     def counted(batches: Iterator) -> Iterator:
@@ -66,7 +66,7 @@ def vocabulary(examples: DataFrame, max_terms: int) -> tuple[list[str], np.ndarr
             yield pd.DataFrame([(w, n[0][w], n[1][w]) for w in n[0].keys() | n[1].keys()], columns=["term", "n0", "n1"])
 
     t = examples.select("text", "toxic").mapInPandas(counted, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1"))
-    rows = t.orderBy(F.desc(F.col("a0") + F.col("a1")), "term").limit(max_terms).collect()
+    rows = t.orderBy(F.desc(F.col("a0") + F.col("a1")), "term").collect()  # the words of a bounded sample
     return [r.term for r in rows], np.array([r.a0 for r in rows], float), np.array([r.a1 for r in rows], float)
 
 
@@ -86,18 +86,19 @@ def relevance(a0: np.ndarray, a1: np.ndarray, n0: int, n1: int) -> np.ndarray:
     return out
 
 
-def separate(votes: np.ndarray, labels: np.ndarray) -> bool:
-    """Whether toxic examples' votes exceed the others' by more than chance explains (rank sum, one in a thousand)."""
+def confidence(votes: np.ndarray, labels: np.ndarray) -> float:
+    """How far the votes are to be believed, from 0 to 1: it rises with the rank sum by which toxic examples' votes exceed the others', up to what chance reaches once in a thousand."""
     a, b = np.sort(votes[labels == 0]), votes[labels == 1]
     if not len(a) or not len(b):
-        return False
+        return 0.0
     wins = (np.searchsorted(a, b, "left") + np.searchsorted(a, b, "right")).sum() / 2
-    return wins - len(a) * len(b) / 2 >= 3.1 * np.sqrt(len(a) * len(b) * (len(a) + len(b) + 1) / 12)
+    z = (wins - len(a) * len(b) / 2) / np.sqrt(len(a) * len(b) * (len(a) + len(b) + 1) / 12)
+    return float(min(1.0, max(0.0, z / 3.1)) ** 4)
 
 
 def vectors(rows: DataFrame, terms: list[str], keep: str) -> DataFrame:
     """rows' columns keep with the ids and counts of the known words in each text."""
-    held = rows.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})  # at most max_terms words
+    held = rows.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})  # the words of a bounded sample
 
     def made(batches: Iterator) -> Iterator:
         known = held.value.get
@@ -198,14 +199,14 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p for p, _ in knots]), np.maximum.accumulate([v for _, v in knots])
 
 
-def score(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_terms: int = 200_000, k: int = 16, threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, per_class: int = 1000, k: int = 16, threshold: float = 0.3) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted (the score reaches the threshold), evidence (doc_ids of its nearest examples)."""
     examples = stored(examples_of(docs, labels, per_class))
-    terms, a0, a1 = vocabulary(examples, max_terms)
+    terms, a0, a1 = vocabulary(examples)
     found = stored(vectors(texts(docs), terms, "doc_id long"))
     n = found.count()
     df = np.ones(max(len(terms), 1))
-    for i, c in found.select(F.explode("ids").alias("i")).groupBy("i").count().collect():  # at most max_terms rows
+    for i, c in found.select(F.explode("ids").alias("i")).groupBy("i").count().collect():  # a row for each word of a bounded sample
         df[i] = c
     rows = vectors(examples.select("doc_id", "toxic", "weight", "text"), terms, "doc_id long, toxic int, weight double").collect()  # at most 2 * per_class rows
     importance = np.log((n + 1.0) / df) + 1.0
@@ -221,11 +222,13 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_terms:
     place = {d: i for i, d in enumerate(index.docs.tolist())}
     left_out = [(index.vote(*weighted(r.ids, r.counts, importance), k, prior, place[r.doc_id])[0], r.toxic, r.weight) for r in rows if r.ids]
     votes = [np.array(x, float) for x in zip(*left_out, strict=True)]
-    knots = isotonic(*votes) if votes and separate(*votes[:2]) else (np.zeros(1), np.full(1, untold))
-    held = docs.sparkSession.sparkContext.broadcast((index, importance, knots, base, prior))  # bounded by per_class and max_terms
+    knots = isotonic(*votes) if votes else (np.zeros(1), np.full(1, untold))
+    lean, told = min(share, threshold / 2), confidence(*votes[:2]) if votes else 0.0
+    knots = knots[0], lean + told * (np.asarray(knots[1]) - lean)
+    held = carried(docs.sparkSession, (index, importance, knots, base, prior))  # bounded by per_class
 
     def scored(batches: Iterator) -> Iterator:
-        index, importance, (x, y), base, prior = held.value
+        index, importance, (x, y), base, prior = opened(held)
         for pdf in batches:
             scores, evidence = [], []
             for ids, counts in zip(pdf["ids"], pdf["counts"], strict=True):
