@@ -46,14 +46,19 @@ def as_shapes(rows: DataFrame, column: str = "coordinates") -> DataFrame:
 class Sources:
     """What references mean: what each document has, by dataset and id, else what the index of graphs has under any name that the prefixes allow."""
 
-    def __init__(self, known: DataFrame, graph: DataFrame | None, names: DataFrame | None):
-        self.known = known
+    def __init__(self, graph: DataFrame | None, names: DataFrame | None):
+        self.known: DataFrame | None = None
         self.graph = None if graph is None else stored(as_shapes(graph.where("coordinates is not null").select("key", "geom_type", "coordinates")).select("key", F.struct("geom_type", *SHAPE).alias("g")))
         self.names = names
 
     def add(self, rows: DataFrame) -> None:
         new = stored(rows.where("id is not null").select(D, "id", "at", *SHAPE).groupBy(D, "id").agg(F.max_by(F.struct(*SHAPE), "at").alias("x")))
-        self.known = new.unionByName(self.known.join(new, [D, "id"], "left_anti"))
+        if self.known is None:
+            self.known = new
+        elif self.known.join(new, [D, "id"], "left_semi").isEmpty():
+            self.known = self.known.unionByName(new)
+        else:
+            self.known = stored(new.unionByName(self.known.join(new, [D, "id"], "left_anti")))
 
     def graphed(self, refs: DataFrame) -> DataFrame:
         """dataset_id, ref and g, what the index has for references (dataset_id, ref)."""
@@ -144,6 +149,8 @@ def curved(t: DataFrame, sources: Sources, natives: DataFrame, densify: bool, sa
     Where all points that a curve refers to have a native position, it is drawn there, as the tolerance is in those units, and then moved to longitude and latitude; else among the coordinates at hand.
     """
     t = t.where(F.col("type").isin("cubicspline", *(ARCS if densify else ())))
+    if t.isEmpty():
+        return t.select(*KEY, F.lit("").alias("geom_type"), *shaped()).limit(0)
     role = lambda path, name: t.select(*KEY, F.lit(name).alias("role"), F.posexplode(items("f", path)).alias("o", "v")).select(*KEY, "role", "o", text("v").alias("ref"))
     refs = role("$.topology.references", "a").unionByName(role("$.topology.startTangentVector.references", "b")).unionByName(role("$.topology.endTangentVector.references", "c")).where("ref is not null")
     at = sources.looked_up(refs).join(natives.select(D, F.col("id").alias("ref"), "native", "system"), [D, "ref"], "left")
@@ -165,7 +172,7 @@ def curved(t: DataFrame, sources: Sources, natives: DataFrame, densify: bool, sa
         arcs = curves.densified(arcs.withColumn("p", p).withColumn("type", name), sagitta)
         made = made.unionByName(arcs.where("line is not null").select(*KEY, "line", "system", (F.col("type") == "CircleByCenter").alias("round")))
     made = made.withColumn("line", F.transform("line", lambda q: crs.moved(q, F.col("system"))))
-    return made.select(*KEY, F.when(F.col("round"), "Polygon").otherwise("LineString").alias("geom_type"), *shaped(line=F.when(~F.col("round"), F.col("line")), rings=F.when(F.col("round"), F.array("line"))))
+    return stored(made.select(*KEY, F.when(F.col("round"), "Polygon").otherwise("LineString").alias("geom_type"), *shaped(line=F.when(~F.col("round"), F.col("line")), rings=F.when(F.col("round"), F.array("line")))))
 
 
 def spline_extras(t: DataFrame, sources: Sources) -> DataFrame:
@@ -187,8 +194,7 @@ def spline_extras(t: DataFrame, sources: Sources) -> DataFrame:
 def decomposed(t: DataFrame, sources: Sources) -> DataFrame:
     """The edges and points of polygons (t: topologies with ord) whose references are lines or points, as features after them.
 
-    An edge comes once for each id, a point once for each position, in the order of references; a point has the id under which the index has its exact position (of several the
-    last key), else that of its reference and its number among the points.  What lies deeper is left out.
+    An edge comes once for each id, a point once for each position, in the order of references; a point has the id under which the index has its exact position (of several keys an IRI), else that of its reference and its number among the points.  What lies deeper is left out.
     """
     refs = references(t).join(t.select(*KEY, "ord"), KEY)
     at = sources.looked_up(refs.where("ref is not null"))
@@ -204,7 +210,7 @@ def decomposed(t: DataFrame, sources: Sources) -> DataFrame:
     points = listed.select(D, "ord", F.posexplode("all").alias("n", "s")).select(D, "ord", (F.col("n") + 1).alias("n"), "s.m.*", "s.c")
     points = points.withColumn("ck", F.to_json("c"))
     if sources.graph is not None:
-        named = sources.graph.where("g.point is not null").groupBy(F.to_json("g.point").alias("ck")).agg(F.max("key").alias("name"))
+        named = sources.graph.where("g.point is not null").groupBy(F.to_json("g.point").alias("ck")).agg(F.max(F.struct(F.contains("key", F.lit("://")), "key"))["key"].alias("name"))
         points = points.join(named, "ck", "left")
     else:
         points = points.withColumn("name", F.lit(None).cast("string"))
@@ -250,7 +256,7 @@ def converted(
         lost = docs.select(D).join(inline.select(D), D, "left_anti")
         if not lost.isEmpty():
             raise ValueError("no point geometries found in documents or graphs")
-    sources = Sources(docs.sparkSession.createDataFrame([], f"{D} string, id string, x struct<{','.join(f'{c}:{t}' for c, t in SHAPE.items())}>"), graph, names)
+    sources = Sources(graph, names)
     sources.add(inline.where("point is not null or line is not null or rings is not null or polygons is not null"))
     natives = stored(f.where("native is not null and id is not null").groupBy(D, "id").agg(F.max_by("native", "at").alias("native"), F.first("system").alias("system")))
     properties = lambda v: F.coalesce(F.when(kind(get(v, "$.properties")).startswith("OBJECT"), F.to_json(get(v, "$.properties"))), F.lit("{}"))
@@ -258,6 +264,7 @@ def converted(
     out = [inline.select(D, place(0).alias("ord"), F.lit("points").alias("mode"), "id", "geom_type", *SHAPE, "geometries", properties("f").alias("properties"))]
     t = stored(topologies(f).withColumn("ord", reduce(lambda c, k: c.when(F.col("key") == k[1], place(k[0])), enumerate(levels, 1), F.when(F.lit(False), ""))).withColumn("ord", F.coalesce("ord", place(90))))
 
+    seen: list[DataFrame] = []  # the topologies that have come to something
     for key in levels:
         own = t.where(F.col("key") == key)
         if own.isEmpty():
@@ -268,7 +275,9 @@ def converted(
         ring = F.when((F.col("geom_type") == "Polygon") & F.lit(key == "edges"), F.get("rings", F.lit(0)))
         sources.add(made.withColumn("line", F.coalesce("line", ring)).withColumn("rings", F.when(ring.isNull(), F.col("rings"))))
         out.append(made.select(D, "ord", F.lit(key).alias("mode"), "id", "geom_type", *SHAPE, F.lit(None).cast("string").alias("geometries"), properties("f").alias("properties")))
-        out.append(spline_extras(own, sources))
+        seen.append(made.select(*KEY))
+        if not own.where("type = 'cubicspline'").isEmpty():
+            out.append(stored(spline_extras(own, sources)))
 
     alone = t.where("key = 'features'")
     drawn = curved(alone, sources, natives, densify, sagitta, alpha).withColumn("geometries", F.lit(None).cast("string"))
@@ -279,12 +288,15 @@ def converted(
         asked = rest.join(found.select(*KEY), KEY, "left_anti").withColumn("ref", F.col("id"))
         whole = asked.join(sources.graphed(asked), [D, "ref"]).select(*KEY, "g.geom_type", *[F.col("g")[c].alias(c) for c in SHAPE], F.lit(None).cast("string").alias("geometries"))
         found = stored(found.unionByName(whole))
-    single = found.join(alone.select(*KEY, "id", "ord", "f"), KEY)
+    single = stored(found.join(alone.select(*KEY, "id", "ord", "f"), KEY))
+    seen.append(found.select(*KEY))
     kinds = reduce(lambda c, kv: c.when(F.col("geom_type") == kv[0], kv[1]), MODES.items(), F.when(F.lit(False), ""))
     out.append(single.select(D, "ord", F.coalesce(kinds, F.lit("faces")).alias("mode"), "id", "geom_type", *SHAPE, "geometries", properties("f").alias("properties")))
-    out.append(spline_extras(alone, sources))
-    areas = alone.join(found.where(F.col("geom_type").isin("Polygon", "MultiPolygon")).select(*KEY), KEY, "left_semi").join(drawn.select(*KEY), KEY, "left_anti")
-    if components is not None:
+    if not alone.where("type = 'cubicspline'").isEmpty():
+        out.append(stored(spline_extras(alone, sources)))
+    areas = stored(alone.join(found.where(F.col("geom_type").isin("Polygon", "MultiPolygon")).select(*KEY), KEY, "left_semi").join(drawn.select(*KEY), KEY, "left_anti"))
+    wanted = "edges" in mode or "points" in mode
+    if wanted and components is not None:
         held = components.select("key").distinct()
         ids = areas.select(D, F.col("id").alias("ref")).where("ref is not null").distinct()
         if names is not None:
@@ -293,11 +305,12 @@ def converted(
         else:
             named = ids.join(held.withColumnRenamed("key", "ref"), "ref", "left_semi").select(D, F.col("ref").alias("id"), F.col("ref").alias("found"))
         known = stored(areas.join(named, [D, "id"], "left"))
-        out.append(of_components(known.where("found is not null"), components))
+        out.append(stored(of_components(known.where("found is not null"), components)))
         areas = known.where("found is null").drop("found")
-    out.append(decomposed(areas, sources))
+    if wanted:
+        out.append(stored(decomposed(areas, sources)))
 
-    rows = reduce(DataFrame.unionByName, [o.select(*OUT) for o in out]).where(F.contains(F.lit(mode), F.col("mode")))
+    rows = stored(reduce(DataFrame.unionByName, [o.select(*OUT) for o in out]).where(F.contains(F.lit(mode), F.col("mode"))))
     points = rows.where(F.startswith("ord", F.lit("00"))).select(D, "id").distinct()
     control = F.contains("properties", F.lit('"role":"spline-control-point"'))
     again = rows.where(control).join(points, [D, "id"], "left_semi").select(D, "ord")
@@ -307,7 +320,7 @@ def converted(
         counted = rows.where(~F.startswith("ord", F.lit("00")))
         rows = rows.where(F.startswith("ord", F.lit("00"))).unionByName(counted.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= number).drop("_n"))
     why = F.when(F.size(items("f", "$.topology.references")) + F.size(items("f", "$.topology.directed_references")) + F.size(items("f", "$.topology.shells")) == 0, "NO_REFERENCES").when(F.lit(graph is None), "REFERENCES_UNKNOWN").otherwise("REFERENCES_AND_ID_UNKNOWN")
-    reasons = t.join(found.select(*KEY).unionByName(reduce(DataFrame.unionByName, [o.select(D, "ord") for o in out]).join(t, [D, "ord"]).select(*KEY)).distinct(), KEY, "left_anti").select(D, "id", why.alias("reason"))
+    reasons = t.join(reduce(DataFrame.unionByName, seen).distinct(), KEY, "left_anti").select(D, "id", why.alias("reason"))
     rows, reasons = stored(rows), stored(reasons)
     release(f)
     return rows, reasons

@@ -7,6 +7,7 @@ JSON text, as each kind nests differently.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql.window import Window
 from ..functions.geometry import chain
 from ..model import Topology
 from ..plans.derive import D, located
+from ..storage import stored
+from .spatial import box_pairs
 
 
 def position() -> Column:
@@ -125,16 +128,39 @@ def mismatches(declared: DataFrame) -> DataFrame:
     return declared.where(F.concat(F.lower("type"), F.lit("s")) != F.lower("key"))
 
 
-def cleaned(t: Topology, tolerance: float = 1e-9) -> Topology:
-    """t without coincident geometry: points within the tolerance on every axis become their first, curves of the same points (either way round) and
-    surfaces of the same curves too; references follow, and a curve that was the other way round is walked the other way.
+def representatives(point: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """dataset_id, id and to: the point that each point (id, ord, x, y, z) becomes where points less than the tolerance apart on every axis are one.
+
+    In their order, a point becomes the first point before it that is near and stands for itself; without one it stands for itself.  Points of equal positions are one row
+    first, so a popular position costs no pairs; near ones meet by a grid.  A point is decided once all near ones before it are, in rounds until all are.
+    """
+    p = point.where("x is not null and y is not null and z is not null").select(D, "id", "ord", "x", "y", "z")
+    first = stored(p.groupBy(D, "x", "y", "z").agg(F.min(F.struct("ord", "id")).alias("f")).select(D, "x", "y", "z", "f.ord", F.col("f.id").alias("first")))
+    boxes = first
+    for c in "xyz":
+        boxes = boxes.withColumn(f"{c}1", F.col(c) - 0.55 * tolerance).withColumn(f"{c}2", F.col(c) + 0.55 * tolerance)
+    near = box_pairs(boxes, [D], ["first", *"xyz"], ["first", *"xyz"], 2 * tolerance)
+    for c in "xyz":
+        near = near.where(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) < tolerance)
+    near = stored(near.select(D, F.col("a_first").alias("before"), F.col("a_ord").alias("at"), F.col("b_first").alias("first")))
+    decided = [first.join(near.select(D, "first"), [D, "first"], "left_anti").select(D, "first", F.col("first").alias("to"))]
+    wait = stored(near.select(D, "first").distinct())
+    while not wait.isEmpty():
+        known = reduce(DataFrame.unionByName, decided)
+        told = near.join(wait, [D, "first"], "left_semi").join(known.select(D, F.col("first").alias("before"), (F.col("to") == F.col("first")).alias("own")), [D, "before"], "left")
+        now = told.groupBy(D, "first").agg(F.bool_and(F.col("own").isNotNull()).alias("ready"), F.min_by("before", F.when(F.col("own"), F.col("at"))).alias("_to")).where("ready")
+        now = stored(now.select(D, "first", F.coalesce("_to", "first").alias("to")))
+        decided.append(now)
+        wait = stored(wait.join(now, [D, "first"], "left_anti"))
+    whole = first.join(reduce(DataFrame.unionByName, decided), [D, "first"]).select(D, "x", "y", "z", "to")
+    return p.join(whole, [D, "x", "y", "z"]).select(D, "id", "to")
 
-    Points are put into cells of the tolerance after rounding, so the first of a cell stands for it.
+
+def cleaned(t: Topology, tolerance: float = 1e-9) -> Topology:
+    """t without coincident geometry: near points become one (``representatives``), curves of the same points (either way round) and
+    surfaces of the same curves become their first too; references follow, and a curve that was the other way round is walked the other way.
     """
-    cell = F.struct(*[F.round(F.col(c) / tolerance).alias(c) for c in "xyz"])
-    point = t.point.where("x is not null").withColumn("cell", cell)
-    first = point.groupBy(D, "cell").agg(F.min_by("id", "ord").alias("to"))
-    moved = point.join(first, [D, "cell"]).select(D, F.col("id").alias("point_id"), "to")
+    moved = stored(representatives(t.point, tolerance).withColumnRenamed("id", "point_id"))
     vertex = t.curve_vertex.join(moved, [D, "point_id"], "left").withColumn("point_id", F.coalesce("to", "point_id")).drop("to").select(*t.curve_vertex.columns)
 
     line = F.transform(F.array_sort(F.collect_list(F.struct("pos", "point_id"))), lambda s: s["point_id"])

@@ -11,12 +11,12 @@ from ..model import Tolerances
 from ..functions import crs
 from ..operators import curves, inline, namespaces, resolve
 from ..operators.rules import RULES
-from . import graphs, mesh, samples, structure
+from . import conversion, graphs, mesh, samples, structure
 from .validate import rule_results
 
 SEG = """seg AS (SELECT a.curve_id, a.curve_ord, a.pos AS i, a.point_id AS ia, b.point_id AS ib, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS by_, q.z AS bz
  FROM curve_vertex a JOIN curve_vertex b ON a.curve_id = b.curve_id AND b.pos = a.pos + 1 JOIN point p ON p.id = a.point_id JOIN point q ON q.id = b.point_id)"""
-BOX = """box AS (SELECT solid_id, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2, min(z) AS z1, max(z) AS z2
+BOX = """box AS MATERIALIZED (SELECT solid_id, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2, min(z) AS z1, max(z) AS z2
  FROM solid_face sf JOIN ring_member rm ON rm.surface_id = sf.face_id JOIN curve_vertex cv ON cv.curve_id = rm.curve_id JOIN point p ON p.id = cv.point_id GROUP BY solid_id)"""
 DIR = """cend AS (SELECT curve_id, arg_min(point_id, pos) AS f, arg_max(point_id, pos) AS l FROM curve_vertex GROUP BY curve_id),
 dir AS (SELECT rm.*, CASE orientation WHEN '-' THEN l ELSE f END AS s, CASE orientation WHEN '-' THEN f ELSE l END AS e FROM ring_member rm LEFT JOIN cend USING (curve_id))"""
@@ -296,5 +296,5 @@ SQL |= {
  SELECT ref, CASE WHEN k % 3 = 2 AND k IN (SELECT n_nationkey FROM nation) THEN ref
    ELSE CASE WHEN k IN (SELECT s_suppkey FROM supplier) THEN concat('http://e/supplier/', k) WHEN k IN (SELECT n_nationkey FROM nation) THEN concat('http://e/nation#', k) END END AS found FROM refs""",
 }
-QUERIES |= graphs.QUERIES
-SQL |= graphs.SQL
+QUERIES |= graphs.QUERIES | conversion.QUERIES
+SQL |= graphs.SQL | conversion.SQL

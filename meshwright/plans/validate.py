@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..model import Tolerances, Topology
 from ..operators.rules import CLASSES, RULES
+from ..sources import raw
 from ..storage import stored
+from . import structure as raw_structure
 from .derive import D
 
 ISSUE = ("dataset_id", "rule", "code", "severity", "object_id", "detail")
@@ -38,11 +40,10 @@ def structure(t: Topology) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def validate(t: Topology, tolerances: Tolerances | None = None, classes: Iterable[str] | None = None, progress: Callable[[str], None] | None = None) -> DataFrame:
-    """All issues.  Datasets with an error of structure, or all in 2D, get no rule issues.  classes: ids like CC-01; none means all, unknown ones match nothing."""
+def validate(t: Topology, tolerances: Tolerances | None = None, classes: Iterable[str] | None = None, progress: Callable[[str], None] | None = None, first: DataFrame | None = None) -> DataFrame:
+    """All issues.  first: those of structure, if they are known already.  Datasets with an error of structure, or all in 2D, get no rule issues.  classes: ids like CC-01; none means all, unknown ones match nothing."""
     tol, chosen = tolerances or Tolerances(), set(classes or ())
-    first = structure(t)
-    first = stored(first)
+    first = stored(structure(t) if first is None else first.select(*ISSUE))
     stop = first.select(D).distinct()
     parts = [first]
     for number in CLASSES:
@@ -55,6 +56,13 @@ def validate(t: Topology, tolerances: Tolerances | None = None, classes: Iterabl
     return reduce(DataFrame.unionByName, parts).select(*ISSUE)
 
 
+def validate_raw(docs: DataFrame, tolerances: Tolerances | None = None, classes: Iterable[str] | None = None, progress: Callable[[str], None] | None = None) -> DataFrame:
+    """All issues of models in their raw form (dataset_id, doc): structure, then the rules where structure is sound."""
+    first = stored(raw_structure.structure_issues(docs))
+    t = raw.load(docs.join(first.select(D).distinct(), D, "left_anti")).kept()
+    return validate(t, tolerances, classes, progress, first)
+
+
 def datasets(t: Topology) -> DataFrame:
     """The ids of all datasets that have any record."""
     return reduce(DataFrame.unionByName, [getattr(t, f.name).select(D) for f in fields(t)]).distinct()
