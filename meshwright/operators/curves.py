@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import arc_points, chord_centre, circle_points, circumcentre, let, turns_clockwise
@@ -147,6 +147,16 @@ def splined(rows: DataFrame, sagitta: float = 0.02, alpha: float = 0.5) -> DataF
     return rows.withColumn("line", line).drop("_deep", "_p", "_first", "_last", "_h", "_d", "_line")
 
 
+def spline(points, sagitta: float, first=None, last=None, alpha: float = 0.5) -> list[list[float]]:
+    """The vertices of one spline (a list of positions), by the active session; raises where it can't be drawn."""
+    real = lambda v: None if v is None else [float(x) for x in v]
+    rows = SparkSession.active().createDataFrame([([real(p) for p in points], real(first), real(last))], "p array<array<double>>, first array<double>, last array<double>")
+    found = splined(rows, sagitta, alpha).first()
+    if found.fault:
+        raise ValueError(found.fault)
+    return found.line
+
+
 def chord_statistics(arcs: DataFrame, sagitta: float = 0.02) -> DataFrame:
     """arcs (radius, sweep in radians) with their length, chords, chord_angle, chord_length and the sagitta that these chords reach."""
     from ..functions.geometry import chord_count
