@@ -16,7 +16,7 @@ from ..functions import crs
 from ..functions.geometry import chain
 from ..sources.csdm import get, items, kind, number, text
 from ..sources.features import KEYS, LEVELS, SHAPE, D, coordinates, normalised
-from ..storage import release, stored
+from ..storage import discard, stored
 from . import curves, namespaces
 
 KEY = [D, "key", "at"]
@@ -322,7 +322,7 @@ def converted(
     why = F.when(F.size(items("f", "$.topology.references")) + F.size(items("f", "$.topology.directed_references")) + F.size(items("f", "$.topology.shells")) == 0, "NO_REFERENCES").when(F.lit(graph is None), "REFERENCES_UNKNOWN").otherwise("REFERENCES_AND_ID_UNKNOWN")
     reasons = t.join(reduce(DataFrame.unionByName, seen).distinct(), KEY, "left_anti").select(D, "id", why.alias("reason"))
     rows, reasons = stored(rows), stored(reasons)
-    release(f)
+    discard(f)
     return rows, reasons
 
 

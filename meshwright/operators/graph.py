@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import chain, local_name
 from ..sources.turtle import DCT, GEOJSON, RDF, TOPO, D, directed, items, value
-from ..storage import release, stored
+from ..storage import discard, stored
 
 GEOMETRY = ["geom_type", "coordinates", "geometries"]
 #: Geometry types of the vocabulary, whose names are those of GeoJSON.
@@ -50,7 +50,7 @@ def with_lists(t: DataFrame) -> DataFrame:
         known = step.select(D, "cell", F.when(F.col("_up").isNotNull(), F.col("_up")).otherwise(F.col("up")).alias("up"), (F.col("pos") + F.when(F.col("_up").isNotNull(), F.col("_pos")).otherwise(0)).alias("pos"), F.col("_up").isNull().alias("done"))
         nxt = stored(known)
         moved = not nxt.where("not done and up is not null").isEmpty()
-        release(at)
+        discard(at)
         at = nxt.drop("done")
         if not moved:
             break
@@ -173,7 +173,7 @@ class Levels:
         return segs.select(D, "node", "o", chain(F.col("segs")).alias("ring")).groupBy(D, "node").agg(ordered("ring", "o").alias("rings"))
 
     def close(self) -> None:
-        release(self.node, self.refs, self.lines, self.rings)
+        discard(self.node, self.refs, self.lines, self.rings)
 
 
 def oriented(rings: Column, sign: Column) -> Column:
@@ -215,7 +215,7 @@ def resolved(t: DataFrame) -> DataFrame:
     topology = all_.select(D, "s", "geom_type", F.when(single, F.get(text, F.lit(0))).when(F.col("geom_type") != "GeometryCollection", joined(text)).alias("coordinates"), F.when(F.col("geom_type") == "GeometryCollection", joined(whole)).alias("geometries"))
     out = stored(own.select(D, "s", "geom_type", "coordinates", none.alias("geometries")).unionByName(topology))
     level.close()
-    release(own, faces, shells, kind)
+    discard(own, faces, shells, kind)
     return out
 
 
@@ -263,7 +263,7 @@ def reached(starts: DataFrame, link: DataFrame) -> DataFrame:
         frontier = stored(new.join(known, [D, "s", "to"], "left_anti"))
         rounds.append(frontier)
         known = reduce(DataFrame.unionByName, rounds)
-    release(step)
+    discard(step)
     return known
 
 
@@ -277,7 +277,7 @@ def components(t: DataFrame, collections: bool = False) -> DataFrame:
     point = level.points.join(level.node, [D, "s"], "left_anti").select(D, F.col("s").alias("to"), F.lit("points").alias("kind"), F.to_json("c").alias("coordinates"))
     out = stored(known.join(edge.unionByName(point), [D, "to"]).select(D, "s", "kind", F.col("to").alias("component"), "coordinates"))
     level.close()
-    release(own)
+    discard(own)
     return out
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crs
-from ..storage import release, stored
+from ..storage import discard, stored
 from .csdm import get, items, kind, text
 
 D = "dataset_id"
@@ -51,7 +51,7 @@ def walked(rows: DataFrame, strict: bool = True) -> DataFrame:
         out.append(stored(seen.where((type_ == "Feature") | plain | (odd & F.lit(strict))).select(D, "key", "at", f.alias("f"), "crs")))
         inner = seen.where(k.startswith("ARRAY") | (type_ == "FeatureCollection")).select(D, "key", "at", F.coalesce(F.when(type_.isNotNull(), system_name(get("v", "$.coordRefSys"))), F.col("crs")).alias("crs"), F.posexplode(F.when(type_.isNull(), items("v", "$")).otherwise(items("v", "$.features"))).alias("i", "v"))
         wait, before = stored(inner.select(D, "key", F.concat("at", F.format_string(".%08d", "i")).alias("at"), "v", "crs")), wait
-        release(before)
+        discard(before)
     return reduce(DataFrame.unionByName, out) if out else wait.withColumnRenamed("v", "f")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import let
-from ..storage import release, stored
+from ..storage import discard, stored
 from .csdm import items, kind
 from .turtle import RDF, TOPO, D
 
@@ -141,10 +141,10 @@ def expanded(docs: DataFrame) -> DataFrame:
     step, out = Step(), []
     while not wait.isEmpty():
         now = stored(step.read(wait))
-        release(wait)
+        discard(wait)
         out.append(stored(step.told(now)))
         wait = stored(step.next(now))
-        release(now)
+        discard(now)
     return reduce(DataFrame.unionByName, out) if out else wait.select(D, "at", "s", "p", empty.alias("o"), empty.alias("o_kind"), "pos")
 
 

@@ -41,6 +41,13 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no plan reads any more."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            delete(df.sparkSession, path)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes stored tables that no plan reads any more, and lets Spark drop the shuffle files of plans that are gone."""
     spark = None
