@@ -207,9 +207,7 @@ def searched(indexed: DataFrame, q: DataFrame, index: Index, k: int, rows: int)
     halves, counts, share, first, parts = index.parted()
     enough, every = int(np.ceil(share * counts.sum())), counts.tolist()
     slices = max(1, -(-q.count() // rows))
-    low = {}  # the first cell of each block
-    for c, b in enumerate(first.tolist()):
-        low.setdefault(b, c)
+    last = first + parts - 1  # the last block of each cell, which rises with the cell, so a block's first cell is found in it
     kind = dict(indexed.dtypes)["v"]
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +221,7 @@ def searched(indexed: DataFrame, q: DataFrame, index: Index, k: int, rows: int)
                         visited.setdefault(int(first[c]) + p, []).append(c)
                 out = []
                 for block, its in visited.items():
-                    base = low.get(block, its[0])
+                    base = int(np.searchsorted(last, block))
                     bits = np.zeros(max(its) - base + 1, np.uint8)
                     bits[np.array(its) - base] = 1
                     out.append((qid, v, block, qid % slices if slices > 1 else 0, np.packbits(bits).tobytes()))
@@ -233,7 +231,7 @@ def searched(indexed: DataFrame, q: DataFrame, index: Index, k: int, rows: int)
         entry, x, cell = left.column("id").to_numpy(), matrix(left.column("v")), left.column("cell").to_numpy()
         out_q, out_id, out_score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if left.num_rows and right.num_rows:
-            base = low.get(left.column("block")[0].as_py(), int(cell[0]))
+            base = int(np.searchsorted(last, left.column("block")[0].as_py()))
             names, y, bits = right.column("q").to_numpy(), matrix(right.column("v")), right.column("cells").to_pylist()
             span = int(cell.max()) - base + 1
             for at in range(0, len(names), STEP):
