@@ -1,6 +1,7 @@
 """Documents with holes, voids, levels and observations, one dataset for each part, and the issues that their faults have.
 
 They reach what the mesh over orders does not: second rings, inner shells, levels, observed curves and many datasets at once.
+A part's key decides the size and place of its boxes, how far the second of a pair stands off, and where a hole's ring begins.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ LOOPS = {"x0": (0, 4, 6, 2), "x1": (1, 3, 7, 5), "y0": (0, 1, 5, 4), "y1": (2, 6
 APPLIED = ("TR-03", "TR-04", "TR-08", "TR-25")
 
 
-def box(name: str, low: float, high: float) -> dict:
-    """The features of one box."""
+def box(name: str, low: int | str, high: int | str) -> dict:
+    """The features of one box; its coordinates are marks that the part's numbers replace."""
     corner = lambda c: f"{name}{c}"
     edge = lambda a, b: f"{name}{min(a, b)}-{max(a, b)}"
     sides = {f: list(zip(loop, loop[1:] + loop[:1], strict=True)) for f, loop in LOOPS.items()}
     edges = sorted({(min(s), max(s)) for loop in sides.values() for s in loop})
     return {
-        "points": [{"id": corner(c), "place": {"coordinates": [high if c >> k & 1 else low for k in range(3)]}} for c in range(8)],
+        "points": [{"id": corner(c), "place": {"coordinates": [f"@{high if c >> k & 1 else low}@" for k in range(3)]}} for c in range(8)],
         "edges": [{"id": edge(*e), "topology": {"references": [corner(e[0]), corner(e[1])]}} for e in edges],
         "rings": [{"id": f"r{name}{f}", "topology": {"directed_references": [{"ref": edge(*s), "orientation": "+" if s[0] < s[1] else "-"} for s in loop]}} for f, loop in sides.items()],
         "faces": [{"id": f"{name}{f}", "topology": {"directed_references": [{"ref": f"r{name}{f}"}]}} for f in LOOPS],
@@ -56,8 +57,8 @@ def hollow(outer: str = "+", inner: str = "-", *more: dict) -> str:
 
 
 def pair(first: dict, second: dict) -> str:
-    """Two boxes that overlap, each with a solid of its own."""
-    return document(box("a", 0, 10), box("b", 5, 15), shell("sa", "a", "+"), shell("sb", "b", "+"), solid("v", "sa", **first), solid("w", "sb", **second))
+    """Two boxes, each with a solid of its own."""
+    return document(box("a", 0, 10), box("b", "near", "far"), shell("sa", "a", "+"), shell("sb", "b", "+"), solid("v", "sa", **first), solid("w", "sb", **second))
 
 
 def with_hole(*hole: str) -> str:
@@ -69,30 +70,39 @@ def with_hole(*hole: str) -> str:
 
 
 LOOSE = {"edges": [{"id": "loose", "topology": {"references": ["a0", "a7"]}}]}
-#: Document and the issues it has: rule, code, object, detail.
+#: Document, and what is wrong with it: rule, code, object, detail, and the signed volume of boxes of size 1 that ends the detail.
 CASES = [
-    (hollow(), []),
-    (hollow("+", "+"), [("TR-25", "INNER_SHELL_ORIENTATION_REVERSED", "v", "1|8.0")]),
-    (hollow("-", "-"), [("TR-25", "SHELL_ORIENTATION_REVERSED", "v", "0|-1000.0")]),
-    (hollow("+", "-", LOOSE), [("TR-03", "DANGLING_CURVE", "loose", "")]),
-    (hollow("+", "-", LOOSE, {"observedVectors": [{"topology": {"ref": "loose"}}]}), []),
-    (hollow("+", "-", LOOSE, {"vectorObservations": [{"topology": {"directed_references": [{"ref": "loose"}]}}]}), []),
-    (pair({}, {}), [("TR-08", "SOLID_OVERLAP", "v", "w|default")]),
-    (pair({"levels": ["L1"]}, {"levels": ["L2"]}), []),
-    (pair({"levels": ["L1", "L2"]}, {"floors": ["L2"]}), [("TR-08", "SOLID_OVERLAP", "v", "w|default")]),
-    (pair({"theme": "air"}, {}), []),
-    (pair({}, {"parent_id": "v"}), []),
-    (with_hole("b0-4+", "b4-6+", "b2-6-", "b0-2-"), []),
-    (with_hole("b0-4+", "b4-6+", "b2-6+", "b0-2-"), [("TR-04", "SURFACE_RING_NOT_CLOSED", "ax0", "1|1|b4-6")]),
+    (hollow(), None),
+    (hollow("+", "+"), ("TR-25", "INNER_SHELL_ORIENTATION_REVERSED", "v", "1|", 8)),
+    (hollow("-", "-"), ("TR-25", "SHELL_ORIENTATION_REVERSED", "v", "0|", -1000)),
+    (hollow("+", "-", LOOSE), ("TR-03", "DANGLING_CURVE", "loose", "", None)),
+    (hollow("+", "-", LOOSE, {"observedVectors": [{"topology": {"ref": "loose"}}]}), None),
+    (hollow("+", "-", LOOSE, {"vectorObservations": [{"topology": {"directed_references": [{"ref": "loose"}]}}]}), None),
+    (pair({}, {}), ("TR-08", "SOLID_OVERLAP", "v", "w|default", None)),
+    (pair({"levels": ["L1"]}, {"levels": ["L2"]}), None),
+    (pair({"levels": ["L1", "L2"]}, {"floors": ["L2"]}), ("TR-08", "SOLID_OVERLAP", "v", "w|default", None)),
+    (pair({"theme": "air"}, {}), None),
+    (pair({}, {"parent_id": "v"}), None),
+    (with_hole("b0-4+", "b4-6+", "b2-6-", "b0-2-"), None),
 ]
+#: The last case's ring: it breaks after its second and after its third edge, wherever it begins.
+BROKEN = ("b0-4+", "b4-6+", "b2-6+", "b0-2-")
+N = len(CASES) + 1
+#: Numbers of a part with the key k.
+SIZE, ORIGIN, OFF, TURN = "1 + k % 5", "k % 3 * 100", "k % 7 * 2", f"k // {N} % 4"
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The issues of four rules in one document for each part, with the case that its key decides."""
-    texts = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(CASES)], "case int, json string")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("d:"), "p_partkey").alias("dataset_id"), (F.col("p_partkey") % len(CASES)).cast("int").alias("case"))
-    docs = part.join(F.broadcast(texts), "case").select("dataset_id", F.parse_json("json").alias("doc"))
-    t = csdm.load(docs).mapped(lambda _, df: stored(df))
+    texts = [(i, turn, text) for turn in range(4) for i, text in enumerate([text for text, _ in CASES] + [with_hole(*BROKEN[turn:], *BROKEN[:turn])])]
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
+    number = lambda e: F.expr(f"cast({e.replace('//', 'div')} as int)")
+    part = part.select(F.concat(F.lit("d:"), "k").alias("dataset_id"), number(f"k % {N}").alias("case"), number(TURN).alias("turn"), number(SIZE).alias("size"), number(ORIGIN).alias("origin"), number(OFF).alias("off"))
+    docs = part.join(F.broadcast(spark.createDataFrame(texts, "case int, turn int, json string")), ["case", "turn"])
+    json = F.col("json")
+    for mark, at in {"0": F.lit(0), "4": F.lit(4), "6": F.lit(6), "10": F.lit(10), "near": F.col("off"), "far": F.col("off") + 10}.items():
+        json = F.replace(json, F.lit(f'"@{mark}@"'), (F.col("origin") + F.col("size") * at).cast("string"))
+    t = csdm.load(docs.select("dataset_id", F.parse_json(json).alias("doc"))).mapped(lambda _, df: stored(df))
     out = None
     for name in APPLIED:
         found = RULES[name][2](t, Tolerances())
@@ -101,5 +111,11 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issues_sql() -> str:
-    rows = ", ".join(f"({i}, '{rule}', '{code}', '{obj}', '{detail}')" for i, (_, found) in enumerate(CASES) for rule, code, obj, detail in found)
-    return f"SELECT concat('d:', p_partkey) AS dataset_id, rule, code, object_id, detail FROM part JOIN (VALUES {rows}) AS f(c, rule, code, object_id, detail) ON p_partkey % {len(CASES)} = c"
+    """Volumes grow with the cube of the size; boxes that stand off by ten or more don't overlap; the first break of a ring is where its beginning leaves it."""
+    value = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'"
+    rows = ", ".join(f"({', '.join(map(value, (i, *found)))})" for i, (_, found) in enumerate(CASES) if found)
+    return f"""WITH p AS (SELECT k, {SIZE} AS size, {OFF} AS off, {TURN} AS turn FROM (SELECT p_partkey AS k FROM part) q),
+broken AS (SELECT k, unnest([1, 2]) AS edge, (unnest([1, 2]) - turn + 4) % 4 AS place FROM p WHERE k % {N} = {N - 1})
+SELECT concat('d:', k) AS dataset_id, rule, code, object_id, concat(detail, CAST(volume * size ** 3 AS DOUBLE)) AS detail
+FROM p JOIN (VALUES {rows}) AS f(c, rule, code, object_id, detail, volume) ON k % {N} = c WHERE rule <> 'TR-08' OR off < 10
+UNION ALL SELECT concat('d:', k), 'TR-04', 'SURFACE_RING_NOT_CLOSED', 'ax0', concat('1|', min(place), '|', CASE arg_min(edge, place) WHEN 1 THEN 'b4-6' ELSE 'b2-6' END) FROM broken GROUP BY k"""
