@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Topology
+from ..storage import stored
 
 D = "dataset_id"
 COLLECTIONS = ("points", "edges", "rings", "faces", "shells", "solids", "observedVectors", "vectorObservations")
@@ -59,6 +60,14 @@ def features(docs: DataFrame, collection: str) -> DataFrame:
     return each.select(D, (F.col("i").cast("long") * (1 << 32) + F.col("j")).alias("ord"), "f", text("f", "$.id").alias("id"))
 
 
+def every_feature(docs: DataFrame, collections: tuple[str, ...] = COLLECTIONS) -> DataFrame:
+    """dataset_id, collection, ord, f and id of the features in all feature collections of several keys: one pass over the documents."""
+    keys = F.array(*[F.struct(F.lit(name).alias("collection"), items("doc", f"$.{name}").alias("all")) for name in collections])
+    each = docs.select(D, F.explode(keys).alias("k")).select(D, "k.collection", F.posexplode("k.all").alias("i", "c"))
+    each = each.select(D, "collection", "i", F.posexplode(items("c", "$.features")).alias("j", "f")).where(kind("f").startswith("OBJECT"))
+    return each.select(D, "collection", (F.col("i").cast("long") * (1 << 32) + F.col("j")).alias("ord"), "f", text("f", "$.id").alias("id"))
+
+
 def directed(path: str, drop_bad: bool) -> Column:
     """Directed references as structs ref and orientation (default +); other orientations are dropped, or read as +."""
     refs = F.transform(items("f", path), lambda m: F.struct(text(m, "$.ref").alias("ref"), kind(get(m, "$.orientation")).alias("k"), text(m, "$.orientation").alias("o")))
@@ -70,25 +79,27 @@ def directed(path: str, drop_bad: bool) -> Column:
 
 
 def load(docs: DataFrame) -> Topology:
-    """The tables of all documents (dataset_id, doc)."""
+    """The tables of all documents (dataset_id, doc), which are taken apart once: their features are stored, and every table reads those of its collections."""
+    every = stored(every_feature(docs))
+    of_key = lambda name: every.where(F.col("collection") == name).drop("collection")
     truthy = ~kind(get("f", "$.place")).isin("VOID", "OBJECT<>")
     source = F.when(truthy, get("f", "$.place")).otherwise(get("f", "$.geometry"))
-    point = features(docs, "points").withColumn("s", source).where("id is not null").where(kind(get("s", "$.coordinates")).startswith("ARRAY"))
+    point = of_key("points").withColumn("s", source).where("id is not null").where(kind(get("s", "$.coordinates")).startswith("ARRAY"))
     xyz = F.transform(items("s", "$.coordinates"), lambda c: number(c))
     point = point.withColumn("c", xyz).select(D, "id", "ord", *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate("xyz")], F.size("c").alias("n"))
     refs = F.transform(items("f", "$.topology.references"), lambda r: text(r))
-    curve = features(docs, "edges").withColumn("v", refs).where("id is not null").where(F.forall("v", lambda r: r.isNotNull()))
+    curve = of_key("edges").withColumn("v", refs).where("id is not null").where(F.forall("v", lambda r: r.isNotNull()))
     vertex = curve.select(D, F.col("id").alias("curve_id"), F.col("ord").alias("curve_ord"), F.posexplode("v").alias("pos", "point_id"))
     last = lambda df: df.groupBy(D, "id").agg(F.max_by("m", "ord").alias("m"))
-    rings = last(features(docs, "rings").where("id is not null").withColumn("m", directed("$.topology.directed_references", True)))
-    face = features(docs, "faces").where("id is not null").withColumn("m", directed("$.topology.directed_references", True))
+    rings = last(of_key("rings").where("id is not null").withColumn("m", directed("$.topology.directed_references", True)))
+    face = of_key("faces").where("id is not null").withColumn("m", directed("$.topology.directed_references", True))
     on_face = face.select(D, "id", "ord", F.posexplode("m").alias("pos", "r")).select(D, "id", "ord", "pos", F.col("r.ref").alias("ring"))
     on_face = on_face.join(rings.select(D, F.col("id").alias("ring"), "m"), [D, "ring"])
     listed = on_face.groupBy(D, "id", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("rings"))
     member = listed.select(D, F.col("id").alias("surface_id"), F.col("ord").alias("surface_ord"), F.posexplode("rings").alias("ring_idx", "m"))
     member = member.select(D, "surface_id", "surface_ord", "ring_idx", F.posexplode("m").alias("member_idx", "e")).select(D, "surface_id", "surface_ord", "ring_idx", "member_idx", F.col("e.ref").alias("curve_id"), F.col("e.orientation").alias("orientation"))
-    shells = last(features(docs, "shells").where("id is not null").withColumn("m", directed("$.topology.directed_references", False)))
-    solid = features(docs, "solids").where("id is not null").withColumn("s", F.transform(items("f", "$.topology.shells"), lambda r: text(r, "$.ref")))
+    shells = last(of_key("shells").where("id is not null").withColumn("m", directed("$.topology.directed_references", False)))
+    solid = of_key("solids").where("id is not null").withColumn("s", F.transform(items("f", "$.topology.shells"), lambda r: text(r, "$.ref")))
     p = lambda name: text("f", f"$.properties.{name}")
     floors = F.when(kind(get("f", "$.properties.levels")) != "VOID", items("f", "$.properties.levels")).otherwise(items("f", "$.properties.floors"))
     names = F.transform(floors, lambda x: text(x))
@@ -102,8 +113,8 @@ def load(docs: DataFrame) -> Topology:
     of = of.select("*", F.col("e.ref").alias("face_id"), F.col("e.orientation").alias("o"))
     final = of.groupBy(D, "solid_id", "shell_idx", "face_id").agg(F.max_by("o", "k").alias("orientation"))
     of = of.join(final, [D, "solid_id", "shell_idx", "face_id"]).withColumn("face_idx", (F.col("shell_idx").cast("long") * (1 << 20) + F.col("k")).cast("int"))
-    seen = features(docs, "observedVectors").select(D, text("f", "$.topology.ref").alias("ref"), F.lit("observedVectors").alias("source"))
-    more = features(docs, "vectorObservations").select(D, F.explode(items("f", "$.topology.directed_references")).alias("r")).select(D, text("r", "$.ref").alias("ref"), F.lit("vectorObservations").alias("source"))
+    seen = of_key("observedVectors").select(D, text("f", "$.topology.ref").alias("ref"), F.lit("observedVectors").alias("source"))
+    more = of_key("vectorObservations").select(D, F.explode(items("f", "$.topology.directed_references")).alias("r")).select(D, text("r", "$.ref").alias("ref"), F.lit("vectorObservations").alias("source"))
     return Topology(
         point=point,
         curve=curve.select(D, "id", "ord", F.size("v").cast("long").alias("n_vertices")),
